@@ -34,7 +34,7 @@ def repeated_window_words(words: Column, n: Column, width: int = 3) -> list[tupl
     def same(a: Column, b: Column) -> Column:
         mask = F.col("_mask")
         at = lambda k, j: F.get(F.col("_words"), (k.bitwiseAND(mask)).cast("int") + j)
-        equal = (F.shiftright(a.bitwiseXOR(b), 0).bitwiseAND(F.bitwise_not(mask)) == 0)
+        equal = (a.bitwiseXOR(b).bitwiseAND(F.bitwise_not(mask)) == 0)
         for j in range(width):
             equal = equal & (at(a, j) == at(b, j))
         return F.coalesce(equal, F.lit(False))
