@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, html, lattice, licenses, minhash, mixing, quality, sharding
+from gristmill.llm import decontaminate, html, lattice, licenses, minhash, mixing, quality, sharding, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_shard": op3_shard,
     "op4_quality_rules": op4_quality_rules,
     "op5_lm_score": op5_lm_score,
+    "op6_warc": op6_warc,
     "op7_html_text": op7_html_text,
     "op8_license_scan": op8_license_scan,
     "op9_mix": op9_mix,
