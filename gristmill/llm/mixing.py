@@ -20,7 +20,7 @@ from gristmill.llm.ordering import running
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 SPREAD = 1 << 30
 
 
@@ -51,7 +51,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     sized = docs.select(F.col(key).alias("_key"), *keep, src.alias("_src"), F.size(plain_words(text_or_empty(text))).cast("long").alias("size"), F.pmod(F.xxhash64(F.col(key), F.col(text), F.lit(seed)), F.lit(SPREAD)).alias("_u"))
     sized = written(sized)
     per_source = targets(sized.groupBy("_src").agg(F.sum("size").alias("source_size")), **options)
-    buckets = int(max(8, min(65_536, sized.count() // BUCKET_ROWS)))
+    buckets = int(max(64, min(65_536, sized.count() // BUCKET_ROWS)))
     spread = sized.withColumn("_bucket", F.floor(F.col("_u") * buckets / SPREAD).cast("int"))
     spread = spread.withColumn("_row", F.row_number().over(Window.partitionBy("_src", "_bucket").orderBy("_u", "_key")))
     summed = running(spread, ["_src"], ["_bucket"], [F.col("_row")], {"_before": "size"})
