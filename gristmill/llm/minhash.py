@@ -8,7 +8,9 @@ Texts with equal shingle sets form a class; only its smallest doc_id, the repres
 In a band's bucket every representative is first compared with the smallest one: a star, not all
 pairs. Components of the confirmed links are found; then only pairs of a bucket whose components
 differ are left to compare: for STARS rounds against one member of the bucket's largest component,
-then what remains in full, so that no candidate stays unseen. All comparisons use the full
+then what remains in full, so that no candidate stays unseen. Pairs of small buckets are rows; a large
+bucket is cut into blocks, and a task compares two blocks by a product of shingle matrices and
+returns links only. All comparisons use the full
 shingle sets of the texts.
 
 Scale: one scan makes the signatures, which are written. Shuffles carry band hashes and ids; texts
@@ -32,7 +34,9 @@ from gristmill.llm.common import small, text_or_empty, written
 WIDTH = 5
 PERMUTATIONS, ROWS = 36, 3
 SIMILARITY = (75, 100)
-STARS = 3
+STARS = 1
+#: Buckets above LARGE members are compared in blocks of BLOCK.
+LARGE, BLOCK = 16, 512
 _SIGNATURE = "_key bigint, n_shingles bigint, fp binary, bands array<bigint>"
 
 
@@ -103,6 +107,58 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     return both.select("a", "b", "ta", "tb").mapInArrow(_compare(*similarity, width), "a bigint, b bigint")
 
 
+def _product(num: int, den: int, width: int):
+    """Links between different components of two blocks: (a, b), at most one for each two components."""
+    def run(table: pa.Table) -> pa.Table:
+        keys, roots, left, right = (table.column(c).to_numpy() for c in ("_key", "root", "left", "right"))
+        kind = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        if len(np.unique(roots)) < 2:
+            return kind.empty_table()
+        owner, held, sizes, row = [], [], [], 0
+        for chunk in table.column("_t").chunks:
+            for _, data, offsets in blocks.text_blocks(chunk):
+                hashes, first = blocks.shingles(data, offsets, width)
+                for i in range(len(offsets) - 1):
+                    own = np.unique(hashes[first[i] : first[i + 1]])
+                    owner.append(np.full(len(own), row))
+                    held.append(own)
+                    sizes.append(len(own))
+                    row += 1
+        _, column, times = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        owner, shared = np.concatenate(owner), times[column] > 1  # a shingle of one text is in no intersection
+        owner, column = owner[shared], column[shared]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        common = np.zeros((row, row), np.float32)
+        at, n = 0, len(column)
+        while at < n:
+            stop = int(np.searchsorted(column, column[at] + 4096))
+            _, local = np.unique(column[at:stop], return_inverse=True)
+            dense = np.zeros((row, int(local.max()) + 1), np.float32)
+            dense[owner[at:stop], local] = 1
+            common += dense @ dense.T
+            at = stop
+        size = np.array(sizes)
+        linked = (common > 0) & (den * common >= num * (size[:, None] + size[None, :] - common)) & (roots[:, None] < roots[None, :])
+        linked &= (left[:, None] & right[None, :]) | (right[:, None] & left[None, :])
+        x, y = np.nonzero(linked)
+        _, one = np.unique(np.stack((roots[x], roots[y])), axis=1, return_index=True)
+        return pa.Table.from_arrays([pa.array(keys[x[one]]), pa.array(keys[y[one]])], schema=kind)
+    return run
+
+
+def _confirm_blocks(members: DataFrame, docs: DataFrame, key: str, text: str, similarity: tuple[int, int], width: int) -> DataFrame:
+    """(a, b): links between components inside the buckets of members (band, _key, root, size), block against block."""
+    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = members.select("band", "_key", "root", n.alias("n"), F.pmod(F.xxhash64("_key", "band"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block"))
+    dealt = dealt.select("band", "_key", "root", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    dealt = dealt.select("band", "_key", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
+    ids = small(written(members.select(F.col("_key").alias("_id")).distinct()))
+    texts = docs.select(F.col(key).cast("long").alias("_id"), text_or_empty(text).alias("_t")).join(ids, "_id", "left_semi").dropDuplicates(["_id"])
+    rows = dealt.join(texts, dealt["_key"] == texts["_id"]).select("band", "i", "j", "_key", "root", "left", "right", "_t")
+    return rows.groupBy("band", "i", "j").applyInArrow(_product(*similarity, width), "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) for every id in links (a, b): root is the smallest id that can be reached. Large-star, small-star."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -132,31 +188,34 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     ready = sig.where("n_shingles > 0 and _key is not null")
     classes = ready.groupBy("fp").agg(F.min("_key").alias("rep"))
     classes = written(classes)
-    reps = ready.join(classes.select("fp", F.col("rep").alias("_key")), ["fp", "_key"], "left_semi").select("_key", "n_shingles", "bands").dropDuplicates(["_key", "bands"])
-    crowded = reps.select("_key", F.explode("bands").alias("band")).groupBy("band").agg(F.min("_key").alias("hub"), F.max("_key").alias("far")).where("hub < far").select("band", "hub")
-    members = written(reps.select("_key", "n_shingles", "bands", F.explode("bands").alias("band")).join(crowded, "band"))
+    reps = ready.join(classes.select("fp", F.col("rep").alias("_key")), ["fp", "_key"], "left_semi")
+    banded = reps.select("_key", "n_shingles", F.explode("bands").alias("band"))
+    crowded = banded.groupBy("band").agg(F.min("_key").alias("hub"), F.max("_key").alias("far")).where("hub < far").select("band", "hub")
+    members = written(banded.join(crowded, "band"))
     pairs = written(members.where("_key <> hub").select(F.col("_key").alias("a"), F.col("hub").alias("b")).distinct())
     links = written(confirm(pairs, docs, key, text, similarity, width))
     seen, num, den = pairs, *similarity
     roots = written(components(links))
     for step in range(1, stars + 2):
-        at = members.join(roots.withColumnRenamed("id", "_key"), "_key", "left").select("band", "_key", "n_shingles", "bands", F.coalesce("root", "_key").alias("root"))
-        mixed = at.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band")
-        open_ = written(at.join(mixed, "band", "left_semi"))
+        at = members.join(roots.withColumnRenamed("id", "_key"), "_key", "left").select("band", "_key", "n_shingles", F.coalesce("root", "_key").alias("root"))
+        sizes = at.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).where("r0 < r1").select("band", "size")
+        open_ = written(at.join(sizes, "band"))
         if step <= stars:
             # Everyone outside a bucket's largest component against one member of it, another one each time.
             parts = open_.groupBy("band", "root").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("_key", F.lit(step)), F.col("_key").alias("b")))["b"].alias("b"))
             heads = parts.groupBy("band").agg(F.max(F.struct("n", F.col("root").alias("r"), "b")).alias("h")).select("band", "h.r", "h.b")
             todo = open_.select("band", "_key", "root").join(heads, "band").where("root <> r").select("_key", "b")
         else:
-            # What is left in full; a pair comes from the least of the bands that it shares.
+            # What is left in full: pairs of small buckets, blocks of large ones.
             fits = f"{den} * x.n_shingles >= {num} * y.n_shingles and {den} * y.n_shingles >= {num} * x.n_shingles"
-            todo = open_.alias("x").join(open_.alias("y"), F.expr(f"x.band = y.band and x.root < y.root and {fits} and x.band = array_min(array_intersect(x.bands, y.bands))")).select(F.col("x._key").alias("_key"), F.col("y._key").alias("b"))
+            few = open_.where(F.col("size") <= LARGE)
+            todo = few.alias("x").join(few.alias("y"), F.expr(f"x.band = y.band and x.root < y.root and {fits}")).select(F.col("x._key").alias("_key"), F.col("y._key").alias("b"))
+            fresh = _confirm_blocks(open_.where(F.col("size") > LARGE), docs, key, text, similarity, width)
+            links = links.unionByName(written(fresh.distinct()))
         todo = written(todo.select(F.greatest("_key", "b").alias("a"), F.least("_key", "b").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"))
-        if todo.limit(1).count():
-            fresh = written(confirm(todo, docs, key, text, similarity, width))
-            seen, links = seen.unionByName(todo), links.unionByName(fresh)
-            roots = written(components(links))
+        links = links.unionByName(written(confirm(todo, docs, key, text, similarity, width)))
+        seen = seen.unionByName(todo)
+        roots = written(components(links))
     final = classes.join(roots, classes["rep"] == roots["id"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     out = sig.join(final, "fp", "left")
     component = F.when(F.col("_key").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "_key"))
