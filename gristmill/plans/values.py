@@ -63,9 +63,9 @@ def f47(spark, d):
     return f45(spark, d).select(X.tier(1 - F.col("dist"), 0.2, 0.1).alias("tier")).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query("f48_rounded", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 3) AS net FROM lineitem")
+@query("f48_rounded", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 5) AS net FROM lineitem")
 def f48(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 3).alias("net"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 5).alias("net"))
 
 
 @query("f50_backfill_order", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_custkey END, 100000 + c_nationkey) AS pos FROM customer")
