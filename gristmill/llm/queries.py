@@ -68,4 +68,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"list_filter(string_split_regex({_LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_PLAIN = "list_filter(string_split_regex({t}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+_DECONTAMINATE = f"""
+WITH b AS (SELECT item_id::VARCHAR AS item, {_ALNUM} AS w FROM benchmark),
+     win AS (SELECT DISTINCT item, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT item, w, least(len(w), {decontaminate.WIDTH}) AS n, unnest(range(1, len(w) - least(len(w), {decontaminate.WIDTH}) + 2)) AS i FROM b WHERE len(w) > 0)),
+     d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+     sizes AS (SELECT DISTINCT n FROM win),
+     pos AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+     hit AS (SELECT pos.doc_id, pos.n, i, item FROM pos JOIN win ON pos.s = win.s AND pos.n = win.n),
+     cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+     items AS (SELECT doc_id, count(*) AS n_items, sha256(array_to_string(list_sort(list(item)), ',')) AS h FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND coalesce(n_hit, 0) * {decontaminate.SHARE_OF} >= len(w) AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_NEAR = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_PLAIN.format(t=_LOWER)} AS w FROM documents),
+     sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {minhash.WIDTH - 1}], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {minhash.WIDTH - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+     link AS (SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2) p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+     both_ways AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+     reach(id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.root FROM reach r JOIN both_ways e ON e.a = r.id WHERE r.root < e.b),
+     best AS (SELECT id, min(root) AS root FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, root AS component_id, d.doc_id = root AS kept FROM d JOIN best ON best.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
+
+_NORM = "lower(trim(regexp_replace(x, '[\\x20\\x09-\\x0D]+', ' ', 'g')))"
+
+_QUALITY = f"""
+WITH d AS (SELECT doc_id, coalesce('h' || source, 'n') AS host, coalesce(text, '') AS t, {_PLAIN.format(t="coalesce(text, '')")} AS w FROM documents),
+     tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+     rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE c > 1) GROUP BY 1),
+     lines AS (SELECT doc_id, host, t, {_NORM} AS x FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS x FROM d)),
+     ln AS (SELECT doc_id, host, t, x, len(string_split(x, ' ')) AS n FROM lines WHERE x <> ''),
+     hosts AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY 1),
+     often AS (SELECT host, x FROM (SELECT host, x, count(DISTINCT t) AS c FROM ln GROUP BY 1, 2) JOIN hosts USING (host) WHERE c > {quality.LINE_DOCS} AND c > texts * {quality.LINE_SHARE}),
+     cut AS (SELECT doc_id, sum(n)::BIGINT AS words, coalesce(sum(n) FILTER (WHERE o.x IS NOT NULL), 0)::BIGINT AS removed FROM ln LEFT JOIN often o ON o.host = ln.host AND o.x = ln.x GROUP BY 1),
+     base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+                     (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
+                     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS n_removed_words, coalesce(words, 0) AS line_words
+              FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN cut USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_removed_words > 0 AND line_words - n_removed_words < line_words * {quality.LEFT_SHARE}) AS kept, n_removed_words
+FROM base"""
+
+_NOTICES = ", ".join(f"('{label}', {sorted(set(licenses._words(t)))})" for label, t in licenses.TEMPLATES)
+
+_LICENSES = f"""
+WITH d AS (SELECT doc_id, {_LOWER} AS t, {_ALNUM} AS w FROM documents),
+     ph AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (VALUES {", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES)}) p(words, label) WHERE w[i] = words[1] AND w[i : i + len(words) - 1] = words),
+     base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS l FROM ph GROUP BY 1),
+     bl AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(x, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda y: y <> '')) AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
+     hit AS (SELECT doc_id, label, len(list_intersect(s, words)) / len(words) AS c FROM bl, (VALUES {_NOTICES}) n(label, words) WHERE len(list_intersect(s, words)) >= ceil({licenses.THRESHOLD} * len(words))),
+     more AS (SELECT doc_id, list(DISTINCT label) AS l, max(c) AS best FROM hit GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(more.l, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN greatest(coalesce(best, 0.0), {licenses.PHRASE_SCORE}) ELSE coalesce(best, 0.0) END::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""
+
+#: The others have no SQL: hash orders, lattices, archives, page trees and byte strings are tested against plain Python.
+ORACLES: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op2_minhash_dedup": _NEAR, "op4_quality_rules": _QUALITY, "op8_license_scan": _LICENSES}
