@@ -53,6 +53,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct _row, so that no name in it clashes with an operator's own."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has no more than the given rows, which are counted; else df for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

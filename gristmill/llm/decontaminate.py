@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ALNUM_GAP, alnum_words, ascii_lower, small, text_or_empty, written
+from gristmill.llm.common import ALNUM_GAP, alnum_words, ascii_lower, packed, small, text_or_empty, written
 
 WIDTH = 13
 MAX_BROADCAST = 200_000
@@ -96,18 +96,20 @@ def report(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 def remove_documents(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that are not contaminated."""
     bad = small(written(report(docs, benchmark, key, text, **options).where("contaminated").select(F.col(key).alias("_key"), "_h").distinct()))
-    marked = docs.withColumn("_h", F.xxhash64(text_or_empty(text)))
-    return marked.join(bad, marked[key].eqNullSafe(bad["_key"]) & (marked["_h"] == bad["_h"]), "left_anti").select(*docs.columns)
+    marked = packed(docs).withColumn("_t", F.xxhash64(text_or_empty(F.col("_row")[text])))
+    return marked.join(bad, F.col("_row")[key].eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_h")), "left_anti").select("_row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH) -> DataFrame:
     """docs with every hit word, and the gap before it, cut out of the text."""
     windows = written(test_windows(benchmark, item, item_text, width))
     spans = _spans(find_hits(docs, windows, key, text))
-    marked = docs.withColumn("_h", F.xxhash64(text_or_empty(text)))
+    marked = packed(docs).withColumn("_t", F.xxhash64(text_or_empty(F.col("_row")[text])))
+    body = F.col("_row")[text]
     word = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
-    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*{word}+"), F.lit(0))
-    tail = F.regexp_extract(F.col(text), r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*$", 0)
+    pieces = F.regexp_extract_all(body, F.lit(rf"[^0-9A-Za-z\x{{80}}-\x{{10FFFF}}]*{word}+"), F.lit(0))
+    tail = F.regexp_extract(body, r"[^0-9A-Za-z\x{80}-\x{10FFFF}]*$", 0)
     left = F.filter(pieces, lambda p, i: ~F.exists("spans", lambda s: (i >= s.pos) & (i < s.pos + s.len)))
-    joined = marked.join(spans.withColumnRenamed("_h", "_h2"), marked[key].eqNullSafe(spans["_key"]) & (F.col("_h") == F.col("_h2")), "left")
-    return joined.withColumn(text, F.when(F.col("spans").isNull(), F.col(text)).otherwise(F.concat(F.array_join(left, ""), tail))).select(*docs.columns)
+    joined = marked.join(spans, F.col("_row")[key].eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_h")), "left")
+    cut = F.when(F.col("spans").isNull(), body).otherwise(F.concat(F.array_join(left, ""), tail))
+    return joined.select(F.col("_row").withField(f"`{text}`", cut).alias("_row")).select("_row.*")

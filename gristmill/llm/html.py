@@ -29,7 +29,7 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 #: Parts that are no content: by tag, and by words in class, id or role.
 NO_CONTENT = frozenset("nav footer aside form head button dialog menu".split())
 MARKS = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|footer|sidebar|side|aside|ad|ads|advert|adverts|advertisement|sponsor|sponsored|promo|banner|comment|comments|disqus|reply|replies|respond|cookie|cookies|consent|notice|alert|popup|modal|overlay|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|search|breadcrumb|breadcrumbs|pagination|pager|toolbar|widget|masthead|skip|copyright|contentinfo|complementary)(?:$|[\s_-])", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z][^<>]*+>", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?、。，；：？！…]")
@@ -75,8 +75,10 @@ def runs(html: str) -> list[tuple[str, Part, int]]:
                 linked += len(piece.strip())
 
     at, end = 0, len(html)
+    close = html.rfind(">") + 1  # no tag ends after it
+    last = html.rfind("<!--")
     while at < end:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, end if last >= at else close) if at < max(close, last) else None
         if not m:
             add(html[at:])
             break
@@ -102,9 +104,9 @@ def runs(html: str) -> list[tuple[str, Part, int]]:
             continue
         attributes = m[3] or ""
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             if not attributes.endswith("/"):
-                at = close.end() if close else end
+                at = shut.end() if shut else end
             text.append(" ") if text else None
             continue
         if tag in VOID:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import blocks
-from gristmill.llm.common import small, text_or_empty, written
+from gristmill.llm.common import packed, small, text_or_empty, written
 
 WIDTH = 5
 PERMUTATIONS, ROWS = 36, 3
@@ -225,4 +225,4 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs without those whose document is not the first of its component."""
     dropped = written(near_duplicates(docs, key, text, **options).where("not kept").select(F.col(key).alias("_gone")).distinct())
-    return docs.join(small(dropped), docs[key].cast("long") == F.col("_gone"), "left_anti")
+    return packed(docs).join(small(dropped), F.col("_row")[key].cast("long") == F.col("_gone"), "left_anti").select("_row.*")

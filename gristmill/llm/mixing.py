@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import plain_words, small, text_or_empty, written
+from gristmill.llm.common import packed, plain_words, small, text_or_empty, written
 from gristmill.llm.ordering import running
 
 MAX_EPOCHS = 3
@@ -81,6 +81,6 @@ def take(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     """The mix itself: each row of docs as often as it is taken."""
     counts = mix(docs.select(F.col(key), F.col(text), F.col(source), F.xxhash64(text_or_empty(text)).alias("_h")), key, text, source, keep=("_h",), **options)
     chosen = written(counts.where("copies > 0").groupBy(F.col(key).alias("_k"), "_h").agg(F.max("copies").alias("copies")))
-    marked = docs.withColumn("_h2", F.xxhash64(text_or_empty(text)))
-    out = marked.join(chosen, marked[key].eqNullSafe(chosen["_k"]) & (F.col("_h2") == F.col("_h")))
-    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).drop("_copy")
+    marked = packed(docs).withColumn("_t", F.xxhash64(text_or_empty(F.col("_row")[text])))
+    out = marked.join(chosen, F.col("_row")[key].eqNullSafe(F.col("_k")) & (F.col("_t") == F.col("_h")))
+    return out.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import plain_words, small, text_or_empty, written
+from gristmill.llm.common import packed, plain_words, small, text_or_empty, written
 
 SYMBOLS = r"[#*$%&|<>]"
 #: A line is boilerplate if more different texts of its host hold it than both of these allow.
@@ -132,12 +132,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", key: str =
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", **limits: float) -> DataFrame:
     """The rows of docs whose document is kept; rows with a null key are judged on base metrics alone."""
-    bad = judge(docs, text, host, key, **limits).where(~F.col("kept") & F.col(key).isNotNull()).select(key).distinct()
-    kept = docs.join(bad, key, "left_anti").select(*docs.columns)
+    bad = judge(docs, text, host, key, **limits).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_bad")).distinct()
+    kept = packed(docs).join(bad, F.col("_row")[key] == F.col("_bad"), "left_anti").select("_row.*")
     lost = kept.where(F.col(key).isNull())
     if docs.where(F.col(key).isNull()).limit(1).count() == 0:
         return kept
-    good = base_metrics(lost.withColumn("_row", F.struct(*docs.columns)), text, ("_row",)).where(~F.col("base_failed")).select("_row.*")
+    good = base_metrics(packed(lost).withColumn("_text", F.col("_row")[text]), "_text", ("_row",)).where(~F.col("base_failed")).select("_row.*")
     return kept.where(F.col(key).isNotNull()).unionByName(good)
 
 
@@ -145,6 +145,6 @@ def strip_frequent_lines(docs: DataFrame, text: str = "text", host: str = "sourc
     """docs with frequent lines taken out of the texts; needs a small set of frequent lines per host, collected per host as an array."""
     often = frequent_lines(docs, text, host, min_docs, share).groupBy("_host").agg(F.collect_set("h").alias("_often"))
     norm = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
-    df = docs.withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n"))).join(small(written(often)), "_host", "left")
-    left = F.array_join(F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.coalesce("_often", F.array().cast("array<bigint>")), F.xxhash64(norm(x)))), "\n")
-    return df.withColumn(text, left).select(*docs.columns)
+    df = packed(docs).withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col("_row")[host].cast("string")), F.lit("n"))).join(small(written(often)), "_host", "left")
+    left = F.array_join(F.filter(F.split(F.col("_row")[text], "\n"), lambda x: ~F.array_contains(F.coalesce("_often", F.array().cast("array<bigint>")), F.xxhash64(norm(x)))), "\n")
+    return df.select(F.col("_row").withField(f"`{text}`", left).alias("_row")).select("_row.*")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import blocks
-from gristmill.llm.common import small, text_or_empty, written
+from gristmill.llm.common import packed, small, text_or_empty, written
 
 LENGTH, KEY = 50, 32
 BUCKET_BYTES = 6 << 20
@@ -358,6 +358,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     copies, hits = find_repeats(rows.where("_id is not null"), length)
     cut = _cut_texts(rows, hits, length, KEY, True).select(F.col("_id").alias("_c"), "kept")
     gone = copies.select(F.col("_id").alias("_g")).withColumn("_copy", F.lit(True))
-    out = docs.join(cut, docs[key].cast("long") == F.col("_c"), "left").join(small(gone), docs[key].cast("long") == F.col("_g"), "left")
-    body = F.when(F.coalesce("_copy", F.lit(False)), F.lit(b"")).otherwise(F.coalesce("kept", text_or_empty(docs[text]).cast("binary")))
-    return out.select(*[docs[c] for c in docs.columns], body.alias("kept_bytes"))
+    own = F.col("_row")[key].cast("long")
+    out = packed(docs).join(cut, own == F.col("_c"), "left").join(small(gone), own == F.col("_g"), "left")
+    body = F.when(F.coalesce("_copy", F.lit(False)), F.lit(b"")).otherwise(F.coalesce("kept", text_or_empty(F.col("_row")[text]).cast("binary")))
+    return out.select("_row.*", body.alias("kept_bytes"))
