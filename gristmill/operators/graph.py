@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.sources.files import shared_folder
+
 #: Edges up to which an algorithm without a distributed form may run on one machine.
 LOCAL_EDGES = 200_000
 
@@ -21,6 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: computed once, and with sizes from which joins are planned."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False, cap: int | None = None) -> DataFrame:
     """(id, hop) of nodes within `hops` of the seeds; with a cap the first by (hop, id)."""
     links = edges.select("src", "dst")
@@ -113,6 +122,62 @@ def communities(adjacency: DataFrame, rounds: int = 10) -> DataFrame:
     return labels.select("id", F.col("label").alias("community"))
 
 
+def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of labels (id, label) on links (a, b, w) that hold both directions; 0 for no links."""
+    at = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+    parts = at.groupBy("la").agg(F.sum("w").alias("all"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("w")).otherwise(0.0)).alias("own"))
+    whole, own, squares = parts.agg(F.sum("all"), F.sum("own"), F.sum(F.col("all") * F.col("all"))).first()
+    return own / whole - resolution * squares / whole**2 if whole else 0.0
+
+
+def _settle(links: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """(id, label): each node in the community that gains most, by rounds in which about half of the nodes may move."""
+    nodes = stored(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).withColumn("label", F.col("id")))
+    whole = nodes.agg(F.sum("k")).first()[0] or 1.0
+    still = 0
+    for step in range(rounds):
+        sizes = nodes.groupBy("label").agg(F.sum("k").alias("all"), F.count("*").alias("n"))
+        near = links.where("a <> b").join(nodes.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label", "w")
+        near = near.unionByName(nodes.select("id", "label", F.lit(0.0).alias("w")))  # staying is a choice
+        votes = near.groupBy("id", "label").agg(F.sum("w").alias("w")).join(sizes, "label").join(nodes.select("id", "k", F.col("label").alias("old")), "id")
+        own = F.col("label") == F.col("old")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("all") - F.when(own, F.col("k")).otherwise(0.0)) / whole
+        best = votes.groupBy("id", "k", "old").agg(
+            F.min(F.struct((-F.round(gain, 9)).alias("g"), (~own).alias("far"), "label", "n")).alias("x"), F.max(F.when(own, F.col("n"))).alias("n"))
+        # Of two single nodes that would change places only one moves.
+        free = (F.pmod(F.xxhash64("id", F.lit(step)), F.lit(2)) == 0) & ~((F.col("n") == 1) & (F.col("x.n") == 1) & (F.col("x.label") > F.col("old")))
+        nodes = stored(best.select("id", "k", F.when(free, F.col("x.label")).otherwise(F.col("old")).alias("label"), "old"))
+        moved = nodes.where("label <> old").count()
+        nodes = nodes.drop("old")
+        still = 0 if moved else still + 1
+        if still == 2:
+            break
+    return nodes.select("id", "label")
+
+
+def modular_communities(adjacency: DataFrame, min_size: int = 1, resolution: float = 1.0, levels: int = 4, rounds: int = 8) -> DataFrame:
+    """(id, community) of communities with at least min_size nodes, by greedy modularity on a graph that shrinks level by level.
+
+    adjacency: (a, b, w), undirected; a community is named by its smallest node. A level that does
+    not raise the modularity is given up and ends the search. Every step is a join or an aggregate.
+    """
+    way = adjacency.select("a", "b", F.col("w").cast("double").alias("w"))
+    links = stored(way.unionByName(way.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    members = stored(links.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
+    best = modularity(links, members, resolution)
+    for _ in range(levels):
+        labels = _settle(links, resolution, rounds)
+        value = modularity(links, labels, resolution)
+        if value <= best + 1e-9:
+            break
+        best = value
+        members = stored(members.withColumnRenamed("label", "_l").join(labels.withColumnRenamed("id", "_l"), "_l").select("id", "label"))
+        named = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+        links = stored(named.groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")))
+    named = members.groupBy("label").agg(F.min("id").alias("community"), F.count("*").alias("n")).where(F.col("n") >= min_size)
+    return members.join(named, "label").select("id", "community")
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
     """(id, betweenness) of the simple undirected graph, exact: one search per source, sources dealt over the tasks.
 

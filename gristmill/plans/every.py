@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from gristmill.plans import filters, graphs, joins, ordering, states, summaries, texts, values
+from gristmill.plans import exchange, filters, graphs, joins, ordering, states, summaries, texts, values
 from gristmill.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "filters", "graphs", "joins", "ordering", "states", "summaries", "texts", "values"]
+__all__ = ["ORACLES", "QUERIES", "exchange", "filters", "graphs", "joins", "ordering", "states", "summaries", "texts", "values"]

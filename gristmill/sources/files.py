@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import tempfile
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,22 +27,47 @@ def coerced(df: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(c).try_cast(k).alias(c) for c, k in kinds.items()])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the checkpoint folder, which driver and executors share; a folder is made only where none is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        context = spark.sparkContext
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="gristmill-"))
+        base = context._jsc.sc().getCheckpointDir().get()
+    return f"{base.rstrip('/')}/files/{uuid.uuid4().hex}"
+
+
 def _stem(c):
     return F.regexp_replace(F.regexp_replace(c, r"^.*/", ""), r"\.[^.]*$", "")
 
 
+def paired(texts: DataFrame, notes: DataFrame, path: str = "path") -> DataFrame:
+    """(stem, the columns of both): texts and notes whose paths have one stem; both must be there and the note's id not empty."""
+    named = lambda df: df.select(_stem(F.col(path)).alias("stem"), *[c for c in df.columns if c != path])
+    return named(texts).join(named(notes).where("id is not null and id <> ''"), "stem")
+
+
+def admitted(files: DataFrame, suffixes: Sequence[str], most_bytes: int, seen: DataFrame | None = None) -> DataFrame:
+    """(path, length, hash) of files (path, length, content) with one of the suffixes, not too large, whose content isn't among the seen hashes."""
+    fits = F.lit(False)
+    for suffix in suffixes:
+        fits = fits | F.lower("path").endswith(suffix.lower())
+    hashed = files.where(fits & (F.col("length") <= most_bytes)).select("path", "length", F.sha2("content", 256).alias("hash"))
+    return hashed if seen is None else hashed.join(seen.select("hash"), "hash", "left_anti").select("path", "length", "hash")
+
+
 def documents_with_sidecars(spark: SparkSession, folder: str, schema: str = "id string, title string, medium string") -> DataFrame:
-    """Markdown files and their JSON sidecars, joined on the file's stem; both must be there and the id not empty."""
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(_stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("text"))
-    notes = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).select(_stem(F.col("_metadata.file_path")).alias("stem"), "*")
-    return texts.join(notes.where("id is not null and id <> ''"), "stem")
+    """Markdown files and their JSON sidecars, as paired() joins them."""
+    path = F.col("_metadata.file_path").alias("path")
+    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(path, F.col("value").alias("text"))
+    notes = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).select(path, "*")
+    return paired(texts, notes)
 
 
-def folder_scan(spark: SparkSession, folder: str, pattern: str, most_bytes: int, seen: DataFrame | None = None) -> DataFrame:
-    """(path, length, hash) of files below folder that match, are small enough and whose hash isn't among the seen ones."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).where(F.col("length") <= most_bytes)
-    hashed = files.select("path", "length", F.sha2("content", 256).alias("hash"))
-    return hashed if seen is None else hashed.join(seen.select("hash"), "hash", "left_anti")
+def folder_scan(spark: SparkSession, folder: str, suffixes: Sequence[str], most_bytes: int, seen: DataFrame | None = None) -> DataFrame:
+    """The admitted() files below folder."""
+    return admitted(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder), suffixes, most_bytes, seen)
 
 
 def source_items(df: DataFrame, source_type: str, external_id: str, title: str) -> DataFrame:
@@ -48,6 +75,12 @@ def source_items(df: DataFrame, source_type: str, external_id: str, title: str)
     return df.select(F.lit(source_type).alias("source_type"), F.col(external_id).cast("string").alias("external_id"), F.col(title).alias("title"))
 
 
+def new_items(items: DataFrame, seen: DataFrame) -> DataFrame:
+    """One tick of a feed: items (source_type, external_id, ...) that were not seen; of an item that stands there twice one."""
+    key = ["source_type", "external_id"]
+    return items.join(seen.select(*key), key, "left_anti").dropDuplicates(key)
+
+
 def gold(spark: SparkSession, glob: str, schema: str = "pair_id string, label string") -> DataFrame:
     """JSON lines of several files; blank and unlabelled rows are left out, of equal pairs the last file's stays."""
     rows = spark.read.schema(schema).json(glob).withColumn("_f", F.col("_metadata.file_path")).where("pair_id is not null and label is not null")
@@ -59,7 +92,8 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def export_new(df: DataFrame, flag: str, path: str) -> DataFrame:
-    """Writes the rows whose flag is null and returns all with the flag set."""
-    df.where(F.col(flag).isNull()).drop(flag).write.mode("append").json(path)
-    return df.withColumn(flag, F.coalesce(F.col(flag), F.lit(True)))
+def export_new(df: DataFrame, flag: str, path: str, when: str = "true") -> DataFrame:
+    """Writes the rows whose flag is null and for which `when` holds; returns all rows, theirs with the flag set."""
+    due = F.col(flag).isNull() & F.coalesce(F.expr(when), F.lit(False))
+    df.where(due).drop(flag).write.mode("append").json(path)
+    return df.withColumn(flag, F.when(due, F.lit(True)).otherwise(F.col(flag)))

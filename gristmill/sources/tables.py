@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +25,13 @@ def insert(df: DataFrame, path: str) -> DataFrame:
     return df
 
 
+def insert_returning(df: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """Appends df as a batch of its own and returns columns of the rows as they were stored."""
+    batch = f"{path.rstrip('/')}/batch={uuid.uuid4().hex}"
+    df.write.parquet(batch)
+    return df.sparkSession.read.schema(df.schema).parquet(batch).select(*columns)
+
+
 def insert_ignore(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """base plus those new rows whose keys it doesn't have; of new rows with equal keys one."""
     return base.unionByName(new.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti").select(*base.columns))

@@ -41,6 +41,27 @@ def test_communities_partition_two_cliques(spark):
     assert len(got) == 10 and len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1 and got[0] != got[12]
 
 
+def test_modular_communities_of_a_ring_of_cliques(spark):
+    edges = [(a, b, 1.0) for base in range(0, 60, 10) for a in range(base, base + 5) for b in range(a + 1, base + 5)]
+    edges += [(base + 4, (base + 10) % 60, 1.0) for base in range(0, 60, 10)] + [(100, 101, 1.0)]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    got = {r.id: r.community for r in graph.modular_communities(df, min_size=3).collect()}
+    assert got == {i: i // 10 * 10 for base in range(0, 60, 10) for i in range(base, base + 5)}
+    assert {r.community for r in graph.modular_communities(df).collect()} == {0, 10, 20, 30, 40, 50, 100}
+    assert graph.modular_communities(df.limit(0)).count() == 0
+
+
+def test_modularity_beats_label_propagation(spark):
+    rng = random.Random(5)
+    edges = [(a, b, 1.0) for a in range(60) for b in range(a + 1, 60) if rng.random() < (0.45 if a % 4 == b % 4 else 0.04)]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    both = df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
+    one = graph.modularity(both, graph.communities(df).withColumnRenamed("community", "label"))
+    two = graph.modularity(both, graph.modular_communities(df).withColumnRenamed("community", "label"))
+    planted = graph.modularity(both, spark.createDataFrame([(i, i % 4) for i in range(60)], "id long, label long"))
+    assert two >= one - 1e-9 and two >= planted - 0.02
+
+
 def test_fiedler_splits_two_parts(spark):
     value, sides = graph.fiedler(spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (1, 3, 1.0), (4, 5, 1.0), (5, 6, 1.0), (4, 6, 1.0), (3, 4, 0.01)], "a long, b long, w double"))
     side = dict(zip(sides["id"], sides["side"], strict=True))
@@ -118,8 +139,9 @@ def test_sources(spark, tmp_path):
     (tmp_path / "b.md").write_text("text b")
     (tmp_path / "c.json").write_text('{"id": "", "title": "C"}')
     assert [(r.stem, r.text, r.id) for r in files.documents_with_sidecars(spark, str(tmp_path)).collect()] == [("a", "text a", "1")]
-    found = files.folder_scan(spark, str(tmp_path), "*.md", 100)
-    assert found.count() == 2 and files.folder_scan(spark, str(tmp_path), "*.md", 100, found.limit(1)).count() == 1
+    found = files.folder_scan(spark, str(tmp_path), [".md"], 100)
+    assert found.count() == 2 and files.folder_scan(spark, str(tmp_path), [".MD"], 100, found.limit(1)).count() == 1
+    assert files.folder_scan(spark, str(tmp_path), [".md", ".json"], 15).count() == 2
     (tmp_path / "g1.jsonl").write_text('{"pair_id": "p", "label": "same"}\n\n{"pair_id": "q"}\n')
     (tmp_path / "g2.jsonl").write_text('{"pair_id": "p", "label": "different"}\n')
     assert [tuple(r) for r in files.gold(spark, str(tmp_path / "*.jsonl")).collect()] == [("p", "different")]
@@ -127,6 +149,7 @@ def test_sources(spark, tmp_path):
     tables.insert(base, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
     assert {tuple(r) for r in tables.upsert(base, spark.createDataFrame([(2, "c")], "k long, v string"), ["k"]).collect()} == {(1, "a"), (2, "c")}
+    assert [r.k for r in tables.insert_returning(base.where("k = 2"), str(tmp_path / "r"), ["k"]).collect()] == [2]
     assert files.export_new(base.withColumn("done", F.lit(None).cast("boolean")), "done", str(tmp_path / "out")).where("done").count() == 2
 
 
