@@ -6,10 +6,11 @@ a response, the others are revisits without payload.
 
 Reading: the text source splits files at every occurrence of the magic "WARC/1.", wherever it stands.
 Each occurrence is a candidate; a task knows the offset of its candidates (sums of piece lengths per
-split come first) and the offset of the record that would follow each, from its header. Inside a
+split come first) and the offset of the record that would follow each, from its header. A header may
+hold the magic itself (in its URL) and so go on over pieces and splits. Inside a
 split chains are followed at once to the first offset beyond it; between splits pointer jumping,
 doubling each round, finds the candidates that are reachable from the file's start. All others are
-magic inside payloads. A second pass cuts the records; those that cross splits are put together.
+magic inside payloads or headers. A chain that stops before its file's end is an error. A second pass cuts the records; those that cross splits are put together.
 
 Scale: work is per split; tables about splits have one row per split and are all that is collected.
 """
@@ -30,7 +31,7 @@ MAGIC = b"WARC/1."
 ENTRY = "<urn:gristmill:record:"
 #: Shortest payload for which revisits are written.
 MIN_BYTES = 0
-_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n|\Z)", re.I)
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d+)[ \t]*(?=\r\n)", re.I)
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -71,13 +72,31 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col(f"{meta}.file_path").alias("file"), F.col(f"{meta}.file_block_start").alias("split"), F.col("value").cast("binary").alias("piece"))
 
 
-def _next(piece: bytes, offset: int) -> tuple[int, int] | None:
-    """(bytes of the header with its end, offset of the following record) if a record's header begins here."""
-    end = piece.find(b"\r\n\r\n", 0, 1 << 16)
-    if end < 0 or piece[1:3] != b"\r\n":
-        return None
-    m = _LENGTH.search(piece, 0, end + 2)
-    return (end + 4, offset + len(MAGIC) + end + 4 + int(m[1]) + 4) if m else None
+def _fields(piece: bytes) -> tuple[int | None, int]:
+    """(content length or None, place of the header's end or -1) that a header which is open at the piece's start finds in it.
+
+    Neither a length's line nor the end holds the magic, so each stands within one piece.
+    """
+    end = piece.find(b"\r\n\r\n")
+    m = _LENGTH.search(piece, 0, end + 2 if end >= 0 else len(piece))
+    return int(m[1]) if m else None, end
+
+
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per split its bytes, and the length and the header's end (from its start) for headers that earlier splits leave open."""
+    found: dict[tuple[str, int], list] = {}
+    for batch in batches:
+        for file, split, piece in zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), batch.column("piece"), strict=True):
+            piece = piece.as_py()
+            own = found.setdefault((file, split), [0, None, None])
+            if own[2] is None:
+                length, end = _fields(piece)
+                own[1] = length if own[1] is None else own[1]
+                own[2] = own[0] + end if end >= 0 else None
+            own[0] += len(piece) + len(MAGIC)
+    if found:
+        rows = [(*k, *v) for k, v in found.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k else pa.string()) for k in range(5)], ["file", "split", "n", "length", "stop"])
 
 
 def _walk(batches: Iterator[pa.RecordBatch], starts: dict[tuple[str, int], int]) -> Iterator[tuple[str, int, int | None, bytes]]:
@@ -91,55 +110,106 @@ def _walk(batches: Iterator[pa.RecordBatch], starts: dict[tuple[str, int], int])
             yield file, split, at - len(MAGIC) if at else None, piece
 
 
-def _chain(starts: dict[tuple[str, int], int]):
+def _chain(starts: dict[tuple[str, int], int], ahead: dict[tuple[str, int], tuple[int | None, int | None]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         links: dict[tuple[str, int], dict[int, int]] = {}
+        heads: dict[tuple[str, int], tuple[list, list]] = {}  # open headers: offsets, and (offset, length) once a length is known
         for file, split, offset, piece in _walk(batches, starts):
-            if offset is not None and (step := _next(piece, offset)):
-                links.setdefault((file, split), {})[offset] = step[1]
+            if offset is None:
+                continue
+            bare, sized = heads.setdefault((file, split), ([], []))
+            if piece[1:3] == b"\r\n":
+                bare.append(offset)
+            if not bare and not sized:
+                continue
+            length, end = _fields(piece)
+            if length is not None:
+                sized += [(o, length) for o in bare]
+                bare.clear()
+            if end >= 0:
+                links.setdefault((file, split), {}).update((o, offset + len(MAGIC) + end + 4 + n + 4) for o, n in sized)
+                bare.clear()
+                sized.clear()
+        for key, (bare, sized) in heads.items():
+            length, end = ahead[key]
+            if end is not None:
+                sized += [(o, length) for o in bare if length is not None]
+                links.setdefault(key, {}).update((o, end + 4 + n + 4) for o, n in sized)
         for (file, split), own in links.items():
             for offset in sorted(own, reverse=True):
                 own[offset] = own.get(own[offset], own[offset])
             at = sorted(own)
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(at)), pa.array([split] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([own[o] for o in at], pa.int64())], ["file", "split", "offset", "leave"])
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.string()), pa.array([split] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([own[o] for o in at], pa.int64())], ["file", "split", "offset", "leave"])
     return run
 
 
-def _cut(starts: dict[tuple[str, int], int], entries: dict[str, list[int]], parts: bool):
-    """Whole records, or (parts) the pieces of records that cross splits, by the offset where their record ends."""
+def _cut(starts: dict[tuple[str, int], int], sizes: dict[str, int], ahead: dict[tuple[str, int], tuple[int | None, int | None]], entries: dict[str, list[int]], parts: bool):
+    """Whole records, or (parts) the pieces of records that cross splits, by the offset where their record ends.
+
+    A chain that stops before its file's end is an error.
+    """
     names = ["file", "offset", "record"] if not parts else ["file", "stop", "offset", "record"]
     kinds = [pa.string(), pa.int64(), pa.binary()] if not parts else [pa.string(), pa.int64(), pa.int64(), pa.binary()]
 
+    def broken(file: str, offset: int) -> ValueError:
+        return ValueError(f"{file}: no whole record begins at byte {offset}")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         state: dict[tuple[str, int], list] = {}
         for file, split, offset, piece in _walk(batches, starts):
-            if offset is None:
-                continue
             own = state.get((file, split))
             if own is None:
                 known = entries.get(file, [])
-                i = bisect.bisect_left(known, offset)
-                own = state[file, split] = [known[i] if i < len(known) else -1, None, 0, []]
-            wanted, begun, stop, held = own  # the next record's offset; the open record's offset, end and bytes
-            if begun is not None:
-                held.append(MAGIC + piece)
-            elif offset == wanted and (step := _next(piece, offset)):
-                own[1:] = begun, stop, held = [offset, step[1], [MAGIC + piece]]
-                own[0] = stop
-            elif parts and (wanted < 0 or offset < wanted):
-                rows.append((file, wanted, offset, MAGIC + piece))
-            if own[1] is not None and offset + len(MAGIC) + len(piece) >= own[2] - 4:
+                i = bisect.bisect_left(known, offset or 0)
+                if i == len(known):
+                    raise broken(file, known[-1] if known else 0)
+                own = state[file, split] = [known[i], None, None, None, [], 0]
+            own[5] = len(piece) if offset is None else offset + len(MAGIC) + len(piece)
+            if offset is None:
+                continue
+            wanted, begun, length, stop, held, after = own  # the next record's offset; the open record's offset, length, end and bytes; the next magic's offset
+            if begun is None:
+                if offset < wanted:
+                    if parts:
+                        rows.append((file, wanted, offset, MAGIC + piece))
+                    continue
+                if offset > wanted or piece[1:3] != b"\r\n":
+                    raise broken(file, wanted)
+                begun = offset
+            held.append(MAGIC + piece)
+            if stop is None:
+                found, end = _fields(piece)
+                length = found if length is None else length
+                if end >= 0:
+                    if length is None:
+                        raise broken(file, begun)
+                    wanted = stop = offset + len(MAGIC) + end + 4 + length + 4
+            own[:4] = wanted, begun, length, stop
+            if stop is not None and after >= stop - 4:
                 if not parts:
-                    rows.append((file, own[1], b"".join(own[3])[: own[2] - own[1]]))
+                    rows.append((file, begun, b"".join(held)[: stop - begun]))
                     size += len(rows[-1][2])
-                own[1:] = None, 0, []
+                own[1:5] = None, None, None, []
             if size > 1 << 23:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
                 rows, size = [], 0
-        if parts:
-            rows += [(file, own[2], own[1], b"".join(own[3])) for (file, _), own in state.items() if own[1] is not None]
+        for (file, split), (wanted, begun, length, stop, held, after) in state.items():
+            if begun is None:
+                if wanted < after:
+                    raise broken(file, wanted)
+                continue
+            if stop is None:
+                more, end = ahead[file, split]
+                length = more if length is None else length
+                if end is None or length is None:
+                    raise broken(file, begun)
+                stop = end + 4 + length + 4
+            if stop - 4 > sizes[file]:
+                raise broken(file, begun)
+            if parts:
+                rows.append((file, stop, begun, b"".join(held)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
     return run
@@ -152,17 +222,23 @@ def _join_parts(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"file": [key[0].as_py()], "offset": [offset], "record": [whole[: stop - offset] if stop >= 0 else whole]}, schema=pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record", pa.binary())]))
 
 
-def reachable(spark: SparkSession, path: str) -> tuple[dict[tuple[str, int], int], dict[str, list[int]], bool]:
-    """(first offset of each split, offsets where verified chains enter splits, whether any file has several splits)."""
-    totals = _pieces(spark, path).groupBy("file", "split").agg(F.sum(F.octet_length("piece") + len(MAGIC)).alias("n")).collect()  # one row per split
+def reachable(spark: SparkSession, path: str) -> tuple[dict[tuple[str, int], int], dict[str, int], dict[tuple[str, int], tuple[int | None, int | None]], dict[str, list[int]], bool]:
+    """(first offset of each split, bytes of each file, (length, end) for headers that a split leaves open, offsets where verified chains enter splits, whether any file has several splits)."""
+    leads = sorted(_pieces(spark, path).mapInArrow(_leads, "file string, split bigint, n bigint, length bigint, stop bigint").collect(), key=lambda r: (r["file"], r["split"]))  # one row per split
     starts, at = {}, {}
-    for r in sorted(totals):
+    for r in leads:
         starts[r["file"], r["split"]] = at.get(r["file"], 0)
         at[r["file"]] = at.get(r["file"], 0) + r["n"]
+    sizes = {file: n - len(MAGIC) for file, n in at.items()}
+    ahead, later = {}, {}
+    for r in reversed(leads):
+        key = r["file"], r["split"]
+        ahead[key] = length, end = later.get(r["file"], (None, None))
+        later[r["file"]] = (r["length"], starts[key] + r["stop"]) if r["stop"] is not None else (length if r["length"] is None else r["length"], end)
     several = len(starts) > len(at)
     if not several:
-        return starts, {file: [0] for file in at}, False
-    hop = written(_pieces(spark, path).mapInArrow(_chain(starts), "file string, split bigint, offset bigint, leave bigint")).select("file", "offset", "leave")
+        return starts, sizes, ahead, {file: [0] for file in at}, False
+    hop = written(_pieces(spark, path).mapInArrow(_chain(starts, ahead), "file string, split bigint, offset bigint, leave bigint")).select("file", "offset", "leave")
     seen = written(hop.where("offset = 0").select("file", "offset"))
     known = seen.count()
     while True:
@@ -175,7 +251,7 @@ def reachable(spark: SparkSession, path: str) -> tuple[dict[tuple[str, int], int
     entries: dict[str, list[int]] = {}
     for file, offset in sorted(map(tuple, seen.collect())):  # about one row per split
         entries.setdefault(file, []).append(offset)
-    return starts, entries, True
+    return starts, sizes, ahead, entries, True
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -183,11 +259,11 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
     payload is the record's block after its HTTP header, if it has one. Empty files give no rows.
     """
-    starts, entries, several = reachable(spark, path)
+    starts, sizes, ahead, entries, several = reachable(spark, path)
     schema = "file string, offset bigint, record binary"
-    records = _pieces(spark, path).mapInArrow(_cut(starts, entries, False), schema)
+    records = _pieces(spark, path).mapInArrow(_cut(starts, sizes, ahead, entries, False), schema)
     if several:
-        crossing = _pieces(spark, path).mapInArrow(_cut(starts, entries, True), "file string, stop bigint, offset bigint, record binary")
+        crossing = _pieces(spark, path).mapInArrow(_cut(starts, sizes, ahead, entries, True), "file string, stop bigint, offset bigint, record binary")
         records = records.unionByName(crossing.where("stop >= 0").groupBy("file", "stop").applyInArrow(_join_parts, schema))
     return records.mapInArrow(_parse, "file string, offset bigint, type string, record_id string, uri string, refers_to string, payload_digest string, payload binary")
 

@@ -211,6 +211,27 @@ def test_archives(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("split", "long", "count"), [("300", 200, 8), ("40000", 70_000, 12), ("100000000", 70_000, 12)])
+def test_archives_with_the_magic_in_urls(spark, tmp_path, split, long, count):
+    """Headers that their URL cuts into several pieces or makes longer than 64 KiB, inside a split and over splits."""
+    urls = [("http://x/WARC/1.1/", "http://x/" + "u" * long, "http://x/WARC/1.\u00e9WARC/1.0/" + "WARC/1." * 60, "http://x/plain")[i % 4] + str(i) for i in range(count)]
+    pages = [(i, u, "z" * (i * 37 % 500) + "WARC/1.1\r\n" * (i % 3)) for i, u in enumerate(urls)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        path = str(tmp_path / "archive")
+        warc.write_archive(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+        got = {r.uri: bytes(r.payload).decode() for r in warc.read_archive(spark, path).collect()}
+        assert got == {u: h for _, u, h in pages}
+        (part,) = (tmp_path / "archive").glob("part-*")
+        (tmp_path / "cut").mkdir()
+        (tmp_path / "cut" / "x.txt").write_bytes(part.read_bytes()[:-9])
+        with pytest.raises(Exception, match="no whole record"):
+            warc.read_archive(spark, str(tmp_path / "cut")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><header class="site"><p>Site header</p></header><nav><ul><li><a href=x>Menu</a></ul></nav>
     <div class="sidebar"><p>Side, note, here.</p></div><article><h1>A &amp; B</h1><p>First, long paragraph of the article; it has marks,  and   words.<p>Second one, with <b>bold</b>&nbsp;text, too.
