@@ -3,9 +3,11 @@
 Every run of text hangs on a root-to-leaf tag path. Per path the page's text length, punctuation,
 linked length and number of runs are summed; text and punctuation per run are the path's ratios.
 Each run takes its path's ratios, which are smoothed over neighbouring runs and fused into one
-weight; runs over a share of the page's mean weight are content. The smallest element that holds
-most of the content's weight is the article; its other runs belong to it too, unless they stand in
-a part that is marked as no content (menus, forms, adverts and the like) or are mostly links.
+weight; runs over a share of the page's mean weight are content. The outermost article or main that
+holds most of the content is the article; without one it is the smallest element that does, widened
+to its headings and up to the parts of the page's frame. Its other runs belong to it too, unless they
+stand in a part that is marked as no content (menus, forms, adverts and the like). A mark does not
+count on a part that holds the page's article or most of its text.
 
 Scale: one narrow pass over the pages, one page in memory at a time, no shuffle.
 """
@@ -33,26 +35,75 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[,.;:!?、。，；：？！…]")
+#: Marks of parts that may hold more text than the article does.
+THREAD = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|reply|replies|respond|related|recommended)(?:$|[\s_-])", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ARTICLE = frozenset("article main".split())
+ROOT = frozenset(("", "html", "body"))
 SMOOTH = (1, 2, 1)
 #: Share of the page's mean weight from which a run is content; share of the weight that the article holds.
 CUT, HOLDS = 0.5, 0.8
 
 
 class Part:
-    """An element: its path, whether it is no content, and its parents."""
+    """An element: its path, whether it is no content, its own mark (0 none, 1 fixed, 2 may be lifted, 3 of a thread), and its parents."""
 
-    __slots__ = ("tag", "path", "out", "link", "up", "depth")
+    __slots__ = ("tag", "path", "out", "marked", "words", "link", "up", "depth")
 
-    def __init__(self, tag: str, mark: str, out: bool, up: Part | None):
+    def __init__(self, tag: str, mark: str, marked: int, up: Part | None, words: bool = False):
         self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
         self.path = f"{up.path}/{tag}{mark}" if up else tag
-        self.out, self.link = out or bool(up and up.out), tag == "a" or bool(up and up.link)
+        self.words = words
+        self.marked, self.out, self.link = marked, bool(marked or up and up.out), tag == "a" or bool(up and up.link)
+
+    def line(self) -> Iterator[Part]:
+        """The element and its parents, inside out."""
+        p: Part | None = self
+        while p:
+            yield p
+            p = p.up
+
+
+def lift(found: list[tuple[str, Part, int]]) -> None:
+    """Takes words' marks off parts that hold the page's main or only article, or most of the text outside fixed marks."""
+    if not any(part.out for _, part, _ in found):
+        return
+    mass: dict[Part, int] = {}
+    holds: dict[Part, set[str]] = {}
+    articles: set[Part] = set()
+    for text, part, linked in found:
+        line = list(part.line())
+        if any(p.marked == 1 for p in line):
+            continue
+        tags: set[str] = set()
+        outer = None
+        for p in line:
+            mass[p] = mass.get(p, 0) + max(0, len(text) - 2 * linked)
+            holds.setdefault(p, set()).update(tags)
+            tags.add(p.tag)
+            outer = p if p.tag in ARTICLE else outer
+        if outer:
+            articles.add(outer)
+    whole = max(mass.values(), default=0)
+    only = {p for a in articles if len(articles) == 1 for p in a.line()}
+    free = set()
+    for p, tags in holds.items():
+        if p.marked > 1:
+            most = mass[p] * 2 > whole
+            if "main" in tags or (p.marked == 2 and (most or p in only)) or (p.marked == 3 and most and ("h1" in tags or p in only)):
+                free.add(p)
+    if free:
+        known: dict[Part | None, bool] = {None: False}
+        for _, part, _ in found:
+            for p in reversed(list(part.line())):
+                if p not in known:
+                    known[p] = p.out = known[p.up] or bool(p.marked and p not in free)
 
 
 def runs(html: str) -> list[tuple[str, Part, int]]:
     """(text, element, linked characters) of each block of text in page order."""
     out: list[tuple[str, Part, int]] = []
-    stack = [Part("", "", False, None)]
+    stack = [Part("", "", 0, None)]
     text: list[str] = []
     owner, linked = stack[0], 0
 
@@ -133,10 +184,17 @@ def runs(html: str) -> list[tuple[str, Part, int]]:
         named = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)] if attributes else []
         label = " ".join(v for _, v in named)
         inside = any(p.tag in ("article", "main") for p in stack)
-        no = tag in NO_CONTENT or tag == "header" and not inside or bool(label and tag not in ("html", "body", "article", "main") and MARKS.search(label)) or bool(attributes and HIDDEN.search(attributes))
+        words = bool(label and tag not in ("html", "body", "article", "main") and MARKS.search(label))
+        if tag in NO_CONTENT and tag != "form" or attributes and HIDDEN.search(attributes):
+            no = 1
+        elif words and THREAD.search(label):
+            no = 3
+        else:
+            no = 2 if words or tag == "form" or tag == "header" and not inside else 0
         mark = "." + ".".join(sorted(v for k, v in named if k == "class")) if any(k == "class" for k, _ in named) else ""
-        stack.append(Part(tag, mark, no, stack[-1]))
+        stack.append(Part(tag, mark, no, stack[-1], words))
     flush()
+    lift(out)
     return out
 
 
@@ -168,26 +226,49 @@ def main_text(html: str | None) -> str:
     if not usable:
         return ""
     cut = CUT * sum(usable) / len(usable)
-    mass: dict[int, float] = {}
-    element: dict[int, Part] = {}
-    for (text, part, _), w in zip(found, weight, strict=True):
-        if w >= cut:
-            p: Part | None = part
-            while p:
-                mass[id(p)] = mass.get(id(p), 0) + len(text)
-                element[id(p)] = p
-                p = p.up
-    article = max((p for i, p in element.items() if mass[i] >= HOLDS * max(mass.values()) and p.tag not in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote")), key=lambda p: p.depth, default=None)
+    article = find_article(found, weight, cut)
     keep = []
-    for (text, part, linked), w in zip(found, weight, strict=True):
-        p = part
-        while p and p is not article:
-            p = p.up
-        if not part.out and (p is not None or article is None or w >= cut) and (linked * 2 <= len(text) or w >= cut):
+    for (text, part, _), w in zip(found, weight, strict=True):
+        line = list(part.line())
+        inside = article in line
+        # the article's own header is none of the page's
+        own = inside and article.tag not in ROOT and all(not p.marked or p.tag == "header" and p.marked == 2 and not p.words for p in line[: line.index(article)]) and not article.out
+        if own or not part.out and (inside or article is None or w >= cut):
             keep.append(text)
     return "\n".join(keep)
 
 
+def find_article(found: list[tuple[str, Part, int]], weight: list[float], cut: float) -> Part | None:
+    mass: dict[Part, int] = {}
+    for (text, part, _), w in zip(found, weight, strict=True):
+        if w >= cut:
+            for p in part.line():
+                mass[p] = mass.get(p, 0) + len(text)
+    most = HOLDS * max(mass.values(), default=0)
+    large = [p for p, n in mass.items() if n >= most and p.tag not in ("p", "li", "td", "pre", "blockquote") and p.tag not in HEADINGS]
+    marked = [p for p in large if p.tag in ARTICLE]
+    if marked:
+        return min(marked, key=lambda p: p.depth)
+    article = max(large, key=lambda p: p.depth, default=None)
+    if article is None:
+        return None
+    headed: set[Part] = set()  # elements with a heading that is not the page's own header
+    framed: dict[Part, set[Part]] = {}  # by element its children that hold marked parts
+    for _, part, _ in found:
+        line = list(part.line())
+        plain = all(not p.marked or p.tag == "header" and not p.words for p in line)
+        if plain and any(p.tag in HEADINGS for p in line):
+            headed.update(line)
+        if not plain:
+            for child, p in zip(line, line[1:], strict=False):
+                framed.setdefault(p, set()).add(child)
+    while article.up and article.up.tag not in ROOT and not framed.get(article.up, set()) - {article}:
+        article = article.up
+    if article not in headed:
+        article = next((p for p in article.line() if p in headed), article)
+    return article
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [main_text(x.as_py()) for x in batch.column("html")]

@@ -243,6 +243,25 @@ def test_main_text(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
+LONG = "A long paragraph of the text, with commas, stops and many words; it goes on for a while, as such paragraphs do. " * 4
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<article><h1>Title</h1><div class=body><p>{LONG}<p>{LONG}</div></article>", ["Title", LONG, LONG]),
+    (f"<div class=post><header><h1>Title</h1></header><div class=entry-content><p>{LONG}<p>{LONG}</div></div>", ["Title", LONG, LONG]),
+    (f"<div id=page><header><p>My site</p></header><div class=post><h1>Title</h1><div class=entry-content><p>{LONG}<p>{LONG}</div></div><div class=sidebar><p>Aside</div></div>", ["Title", LONG, LONG]),
+    (f"<h1>Title</h1><div class=body><p>{LONG}<p>{LONG}</div><footer>me</footer>", ["Title", LONG, LONG]),
+    (f"<div><section><h2>One</h2><p>{LONG}<p>{LONG}</section><section><h2>Two</h2><p>Short.</section></div><nav>Menu</nav>", ["One", LONG, LONG, "Two", "Short."]),
+    (f"<article><p>{LONG}<p>{LONG}<h2>Further reading</h2><ul><li><a href=a>Book one</a><li><a href=b>Book two</a></ul></article>", [LONG, LONG, "Further reading", "Book one", "Book two"]),
+    (f"<div class='with-sidebar'><article><h1>Title</h1><p>{LONG}</article><div class=sidebar><p>Aside</div></div>", ["Title", LONG]),
+    (f"<div class='has-ads'><main><p>{LONG}</main></div><div class=comments><p>{LONG}<p>{LONG}</div>", [LONG]),
+    (f"<form id=aspnetForm><div class='no-sidebar'><h1>Title</h1><p>{LONG}</div></form><nav>Menu</nav>", ["Title", LONG]),
+    (f"<article><p>{LONG}</article><div id=comments><p>{LONG}<p>{LONG}</div>", [LONG]),
+])
+def test_main_text_keeps_the_whole_article(page, want):
+    assert html.main_text(f"<html><body>{page}</body></html>").split("\n") == [" ".join(w.split()) for w in want]
+
+
 def test_licenses(docs, rows, empty):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for r in licenses.scan(docs).collect():
