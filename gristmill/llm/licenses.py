@@ -1,14 +1,18 @@
 """License scans: an exact set-similarity join of text blocks with license notices.
 
-A block is a line; its set and a template's are distinct words. Template words are ordered by how
-many blocks of the corpus hold them, rarest first. A block that holds the share THRESHOLD of a
+A block is a line, or a run of consecutive words across line ends, since notices wrap: as many words
+as the template has, divided by THRESHOLD, so that it may hold as many foreign words as it may miss.
+A block's set and a template's are distinct words. Template words are ordered by how many lines of
+the corpus hold them, rarest first. A block that holds the share THRESHOLD of a
 template's n words must hold one of the n - need + 1 rarest (prefix filter), has at least `need`
 words (length filter), and has enough words left after the first common one (positional filter).
 What passes is verified on the whole sets.
 
-Scale: one scan reduces each block to its template words. Templates are a fixed list, so the
-inverted index of their prefixes is broadcast; every join after the scan is narrow, and only
-verified matches are shuffled, to their documents.
+Runs of words are looked at only around the prefix words, of which each match holds one.
+
+Scale: one scan reduces each line to its template words, a second cuts the surroundings of prefix
+words. Templates are a fixed list, so the inverted index of their prefixes is broadcast; every join
+after the scans is narrow, and only verified matches are shuffled, to their documents.
 """
 
 from __future__ import annotations
@@ -54,15 +58,21 @@ def blocks(docs: DataFrame, vocabulary: list[str], key: str = "doc_id", text: st
     return rows.where(F.size("held") > 0).select("_key", "_h", "block", F.size(F.array_distinct("_w")).alias("n_set"), "held")
 
 
-def join_templates(held: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(_key, _h, block, label, containment) of every block that holds at least the threshold of a template's words."""
-    spark: SparkSession = held.sparkSession
+def prefixes(held: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> tuple:
+    """(sets (t, label, words), rank of each word, needed words by t, prefix entries (w, p, size, need with t))."""
     sets = [(i, label, sorted(set(_words(t)))) for i, (label, t) in enumerate(templates)]
     vocabulary = sorted({w for _, _, ws in sets for w in ws})
     count = dict(held.select(F.explode("held").alias("w")).groupBy("w").count().collect())  # one row for each template word
     rank = {w: r for r, w in enumerate(sorted(vocabulary, key=lambda w: (count.get(w, 0), w)))}
     need = {i: max(1, -int(-threshold * len(ws) // 1)) for i, _, ws in sets}
-    prefix = [(i, w, p, len(ws), need[i]) for i, _, ws in sets for p, w in enumerate(sorted(ws, key=rank.get)[: len(ws) - need[i] + 1])]
+    return sets, rank, need, [(i, w, p, len(ws), need[i]) for i, _, ws in sets for p, w in enumerate(sorted(ws, key=rank.get)[: len(ws) - need[i] + 1])]
+
+
+def join_templates(held: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, prefixed: tuple | None = None) -> DataFrame:
+    """(_key, _h, block, label, containment) of every line that holds at least the threshold of a template's words."""
+    spark: SparkSession = held.sparkSession
+    sets, rank, _, prefix = prefixed or prefixes(held, templates, threshold)
+    vocabulary = sorted(rank)
     index = F.broadcast(spark.createDataFrame(prefix, "t int, w string, p int, size int, need int"))  # a fixed list
     full = F.broadcast(spark.createDataFrame([(i, label, ws) for i, label, ws in sets], "t int, label string, words array<string>"))
     order = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])])
@@ -76,6 +86,28 @@ def join_templates(held: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     return both.select("_key", "_h", "block", "label", (F.col("common") / F.col("size")).alias("containment")).distinct()
 
 
+def join_windows(docs: DataFrame, prefixed: tuple, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """(_key, _h, label, containment) of every run of words, across line ends, that holds at least the threshold of a template's words."""
+    spark = docs.sparkSession
+    sets, _, need, prefix = prefixed
+    width = {i: -int(-len(_words(t)) / threshold // 1) for i, (_, t) in enumerate(templates)}
+    most = max(width.values())
+    rare = F.array(*[F.lit(w) for w in sorted({w for _, w, *_ in prefix})])
+    words = {i: ws for i, _, ws in sets}
+    index = F.broadcast(spark.createDataFrame([(w, i, sets[i][1], words[i], need[i], width[i]) for i, w, *_ in prefix], "w string, t int, label string, words array<string>, need int, width int"))  # a fixed list
+    w = F.col("_w")
+    df = docs.select(F.col(key).alias("_key"), F.xxhash64(text_or_empty(text)).alias("_h"), alnum_words(ascii_lower(text_or_empty(text))).alias("_w")).where(F.arrays_overlap("_w", rare))
+    around = lambda i: F.struct(F.get(w, i).alias("w"), F.least(i, F.lit(most - 1)).alias("c"), F.slice(w, F.greatest(i - most + 2, F.lit(1)), F.least(i, F.lit(most - 1)) + most).alias("s"))
+    places = F.filter(F.transform(w, lambda x, i: F.when(F.array_contains(rare, x), i)), lambda i: i.isNotNull())
+    near = df.select("_key", "_h", F.explode(F.transform(places, around)).alias("_e")).select("_key", "_h", "_e.*").join(index, "w")
+    # the words from width - 1 before the prefix word to width - 1 after it
+    near = near.withColumn("s", F.slice("s", F.greatest(F.col("c") - F.col("width") + 2, F.lit(1)), F.least(F.col("c"), F.col("width") - 1) + F.col("width")))
+    near = near.where(F.size(F.array_intersect("s", "words")) >= F.col("need"))
+    common = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("s") - F.col("width") + 1, F.lit(1))), lambda i: F.size(F.array_intersect(F.slice("s", i, F.col("width")), "words"))))
+    both = near.withColumn("common", common).where(F.col("common") >= F.col("need"))
+    return both.select("_key", "_h", "label", (F.col("common") / F.size("words")).alias("containment"))
+
+
 def _phrase_at(words: Column, i: Column, phrase: str) -> Column:
     out = F.lit(True)
     for j, w in enumerate(phrase.split(" ")):
@@ -114,7 +146,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     """
     vocabulary = sorted({w for _, t in TEMPLATES for w in _words(t)})
     held = written(blocks(docs, vocabulary, key, text))
-    match = join_templates(held, threshold=threshold).groupBy("_key", "_h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
+    prefixed = prefixes(held, threshold=threshold)
+    found = join_templates(held, threshold=threshold, prefixed=prefixed).select("_key", "_h", "label", "containment").unionByName(join_windows(docs, prefixed, key, text, threshold=threshold))
+    match = found.groupBy("_key", "_h").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     out = phrase_places(docs, key, text).alias("p").join(match.alias("m"), F.expr("p._key <=> m._key and p._h = m._h"), "left")
     labels = F.array_sort(F.array_union("p.base", F.coalesce("m.more", F.array().cast("array<string>"))))
     best = F.coalesce("m.best", F.lit(0.0))

@@ -285,6 +285,29 @@ def test_licenses(docs, rows, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Notices over several lines, behind comment signs, with a word more or less, against all runs of words."""
+    wrap = lambda t, n, sign="": "\n".join(sign + " ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    texts = [wrap(t, n, sign) for _, t in licenses.TEMPLATES for n, sign in ((2, ""), (11, " * "), (5, "# "))]
+    mit = licenses.TEMPLATES[6][1]
+    texts += ["word " * 90 + "\n" + wrap(mit, 12) + "\n" + "word " * 90, wrap(mit.replace("charge", ""), 12), wrap(mit.replace(" and ", " x y z q v u t s r p o n and "), 12), "Released\nunder the a b c MIT\nLicense", "x", None]
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        text, more, best = ascii_lower(text), set(), 0.0
+        for label, t in licenses.TEMPLATES:
+            whole, w = set(licenses._words(t)), word.findall(text)
+            n = math.ceil(len(licenses._words(t)) / licenses.THRESHOLD)
+            for block in [word.findall(line) for line in text.split("\n")] + [w[k : k + n] for k in range(len(w))]:
+                share = len(whole & set(block)) / len(whole)
+                if share >= licenses.THRESHOLD:
+                    more.add(label)
+                    best = max(best, share)
+        assert set(got[i].labels.split(",")) - {""} == more | set(got[i].base_labels.split(",")) - {""}
+        assert got[i].score == max(best, licenses.PHRASE_SCORE if got[i].n_base else 0.0)
+    assert all(licenses.TEMPLATES[i // 3][0] in got[i].labels.split(",") and got[i].score == 1 for i in range(30)) and got[30].labels == "mit" and got[33].score == licenses.PHRASE_SCORE
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix(docs).collect()
     assert got and sorted(map(str, map(tuple, got))) == sorted(map(str, map(tuple, mixing.mix(docs.repartition(2)).collect())))
