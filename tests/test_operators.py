@@ -173,3 +173,11 @@ def test_extension_points(spark):
 @pytest.mark.parametrize(("text", "noun"), [("Elastic demand-curve", "curve"), ("42", None), (None, None)])
 def test_head_noun(spark, text, noun):
     assert spark.createDataFrame([(text,)], "t string").select(strings.head_noun(F.col("t"))).first()[0] == noun
+
+
+def test_betweenness_query_uses_every_edge(spark):
+    from gristmill.plans import graphs
+
+    d = "/root/testdata/sf0.01"
+    nodes = graphs.strong(spark, d).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    assert graphs.g06(spark, d).count() == nodes.count()
