@@ -115,6 +115,11 @@ def l03(spark, d):
     return table(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("q")).orderBy(F.col("q").asc_nulls_last(), "doc_id").limit(900)
 
 
+@query("l03_nulls_last_whole", "SELECT doc_id, q FROM (SELECT doc_id, nullif(lang, 'de') AS q FROM documents) ORDER BY q ASC NULLS LAST, doc_id")
+def l03_whole(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("q")).orderBy(F.col("q").asc_nulls_last(), "doc_id")
+
+
 @query("l04_by_array_length", "SELECT o_custkey, len(list(o_orderkey))::BIGINT AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 20")
 def l04(spark, d):
     lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.collect_list("o_orderkey").alias("keys"))

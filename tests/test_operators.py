@@ -181,3 +181,12 @@ def test_betweenness_query_uses_every_edge(spark):
     d = "/root/testdata/sf0.01"
     nodes = graphs.strong(spark, d).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     assert graphs.g06(spark, d).count() == nodes.count()
+
+
+def test_nulls_last_reaches_the_nulls(spark):
+    from gristmill.plans import ordering
+
+    d = "/root/testdata/sf0.01"
+    got = ordering.l03_whole(spark, d).collect()
+    keys = [(r.q is None, r.q or "", r.doc_id) for r in got]
+    assert keys == sorted(keys) and got[-1].q is None and len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
