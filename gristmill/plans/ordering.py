@@ -266,6 +266,13 @@ def u05(spark, d):
     return both.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.size(F.array_intersect("x.t", "y.t")).cast("bigint").alias("common"), (F.size(F.array_except("x.t", "y.t")) == 0).alias("subset"))
 
 
+@query("u05_token_sets_whole", "SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t))::BIGINT AS common, len(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) = 0 AS subset FROM (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS t FROM benchmark) a JOIN (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS t FROM benchmark) b ON a.item_id < b.item_id")
+def u05_whole(spark, d):
+    t = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("t"))
+    both = t.alias("x").join(t.alias("y"), F.expr("x.item_id < y.item_id"))
+    return both.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.size(F.array_intersect("x.t", "y.t")).cast("bigint").alias("common"), (F.size(F.array_except("x.t", "y.t")) == 0).alias("subset"))
+
+
 @query("u06_except", "SELECT event_type FROM (VALUES ('view'), ('refund'), ('error')) t(event_type) EXCEPT SELECT event_type FROM events")
 def u06(spark, d):
     return spark.createDataFrame([("view",), ("refund",), ("error",)], "event_type string").subtract(table(spark, d, "events").select("event_type"))

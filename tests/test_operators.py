@@ -190,3 +190,11 @@ def test_nulls_last_reaches_the_nulls(spark):
     got = ordering.l03_whole(spark, d).collect()
     keys = [(r.q is None, r.q or "", r.doc_id) for r in got]
     assert keys == sorted(keys) and got[-1].q is None and len(got) == spark.read.parquet(f"{d}/documents.parquet").count()
+
+
+def test_token_sets_pair_every_item(spark):
+    from gristmill.plans import ordering
+
+    d = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{d}/benchmark.parquet").count()
+    assert ordering.u05_whole(spark, d).count() == n * (n - 1) // 2
