@@ -198,3 +198,11 @@ def test_token_sets_pair_every_item(spark):
     d = "/root/testdata/sf0.01"
     n = spark.read.parquet(f"{d}/benchmark.parquet").count()
     assert ordering.u05_whole(spark, d).count() == n * (n - 1) // 2
+
+
+def test_components_use_every_part(spark):
+    from gristmill.plans import graphs
+
+    d = "/root/testdata/sf0.01"
+    keys = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"))
+    assert keys.join(graphs.g10_whole(spark, d), "id", "left_anti").count() == 0
