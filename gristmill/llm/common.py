@@ -12,8 +12,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space of the "plain word" rule, and everything but digits, a-z and non-ASCII of the "alphanumeric word" rule.
 PLAIN_GAP = r"[\x20\x09-\x0D]+"
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which a side may be broadcast after it has been counted.
+#: Rows and bytes up to which a side may be broadcast after it has been measured.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 << 20
+#: A key that holds more than one in HOT rows is hot; there are fewer than HOT such keys.
+HOT = 256
 
 
 def text_or_empty(col: str | Column) -> Column:
@@ -58,6 +61,43 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than the given rows, which are counted; else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(df: DataFrame) -> Column:
+    """About the bytes that a row takes up in memory."""
+    fixed = {"string": F.octet_length, "binary": F.octet_length}
+    parts = [F.lit(16)]
+    for f in df.schema.fields:
+        kind, col = f.dataType.typeName(), F.col(f"`{f.name}`")
+        parts.append(F.coalesce(fixed[kind](col), F.lit(0)) + 16 if kind in fixed else F.lit(16) if kind not in ("array", "map", "struct") else F.coalesce(F.octet_length(F.to_json(F.struct(col))), F.lit(0)) + 16)
+    return sum(parts[1:], parts[0])
+
+
+def fits(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df, once measured, has no more than the given rows and BROADCAST_BYTES."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(_bytes(df).cast("long"))).first()
+    return n <= rows and (size or 0) <= BROADCAST_BYTES
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it fits, else df for a shuffled join."""
+    return F.broadcast(df) if fits(df, rows) else df
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left join of a written table with a table that is unique in `on`, whatever share of left one key holds.
+
+    Hot keys, fewer than HOT, fetch their rows from a broadcast; all others are shuffled. Rows with a
+    null in `on` find nothing.
+    """
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    few = max(1, left.count() // HOT)
+    hot = written(left.where(known).groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(*on))  # fewer than HOT rows
+    more = [c for c in right.columns if c not in on]
+    none = left.where(~known).select(*left.columns, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in more])
+    some = left.where(known)
+    common = some.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, "left")
+    other = some.join(F.broadcast(hot), on, "left_anti").join(right, on, "left")
+    columns = [*left.columns, *more]
+    return common.select(columns).unionByName(other.select(columns)).unionByName(none.select(columns))

@@ -12,20 +12,20 @@ split chains are followed at once to the first offset beyond it; between splits
 doubling each round, finds the candidates that are reachable from the file's start. All others are
 magic inside payloads or headers. A chain that stops before its file's end is an error. A second pass cuts the records; those that cross splits are put together.
 
-Scale: work is per split; tables about splits have one row per split and are all that is collected.
+Scale: work is per split. Tables about splits have one row per split; nothing about them is collected,
+and they are joined to the pieces by broadcast only where their measured size allows it.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import shared_folder, small, written
+from gristmill.llm.common import fits, lookup, shared_folder, small, written
 
 MAGIC = b"WARC/1."
 ENTRY = "<urn:gristmill:record:"
@@ -42,18 +42,18 @@ def base32_sha1(payload: Column) -> Column:
 
 
 def revisits(rows: DataFrame) -> DataFrame:
-    """(id, refers_to) of the records (id, digest, bytes) whose payload a record with a smaller id has."""
-    rows = written(rows.where("id is not null"))
+    """(id, digest, refers_to) of the records (id, digest, bytes) whose payload a record with a smaller id has."""
+    rows = written(rows.where("id is not null").distinct())
     first = rows.where(F.col("bytes") >= MIN_BYTES).groupBy("digest", "bytes").agg(F.min("id").alias("refers_to"), F.max("id").alias("_last")).where("refers_to < _last").select("digest", "bytes", "refers_to")
-    return rows.join(first, ["digest", "bytes"]).where("id > refers_to").select("id", "refers_to").distinct()
+    return lookup(rows, first, ["digest", "bytes"]).where("id > refers_to").select("id", "digest", "refers_to")
 
 
 def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
     """Writes a record per row to files in path. A null body is an empty payload; a row without key is a response with an empty id."""
     body_col = F.coalesce(F.col(body).cast("string"), F.lit(""))
     digest = base32_sha1(body_col.cast("binary"))
-    twice = small(written(revisits(pages.select(F.col(key).cast("long").alias("id"), digest.alias("digest"), F.octet_length(body_col).alias("bytes")))))
-    rows = pages.select(F.col(key).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]", "").alias("_url"), body_col.alias("_body")).join(twice, "id", "left")
+    twice = small(written(revisits(pages.select(F.col(key).cast("long").alias("id"), digest.alias("digest"), F.octet_length(body_col).alias("bytes")))), 200_000)
+    rows = pages.select(F.col(key).cast("long").alias("id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\r\n]", "").alias("_url"), body_col.alias("_body"), digest.alias("digest")).join(twice, ["id", "digest"], "left")
     again = F.col("refers_to").isNotNull()
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("_body")))
@@ -61,7 +61,7 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(again, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), name(F.col("id")), F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), F.col("_url"),
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), base32_sha1(F.col("_body").cast("binary")),
+        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.when(again, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), name(F.col("refers_to")))).otherwise(""),
         F.lit("\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"))
     rows.select(F.concat(header, block).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
@@ -99,51 +99,64 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k else pa.string()) for k in range(5)], ["file", "split", "n", "length", "stop"])
 
 
-def _walk(batches: Iterator[pa.RecordBatch], starts: dict[tuple[str, int], int]) -> Iterator[tuple[str, int, int | None, bytes]]:
-    """(file, split, offset of the magic, piece); None before the file's first magic. A split's pieces come in order."""
-    place: dict[tuple[str, int], int] = {}
-    for batch in batches:
-        for file, split, piece in zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), batch.column("piece"), strict=True):
-            at = place.get((file, split), starts[file, split])
-            piece = piece.as_py()
-            place[file, split] = at + len(piece) + len(MAGIC)
-            yield file, split, at - len(MAGIC) if at else None, piece
+_PLACE = ("start", "ahead_length", "ahead_end", "entry", "bytes")
 
 
-def _chain(starts: dict[tuple[str, int], int], ahead: dict[tuple[str, int], tuple[int | None, int | None]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links: dict[tuple[str, int], dict[int, int]] = {}
-        heads: dict[tuple[str, int], tuple[list, list]] = {}  # open headers: offsets, and (offset, length) once a length is known
-        for file, split, offset, piece in _walk(batches, starts):
-            if offset is None:
-                continue
-            bare, sized = heads.setdefault((file, split), ([], []))
-            if piece[1:3] == b"\r\n":
-                bare.append(offset)
-            if not bare and not sized:
-                continue
-            length, end = _fields(piece)
-            if length is not None:
-                sized += [(o, length) for o in bare]
-                bare.clear()
-            if end >= 0:
-                links.setdefault((file, split), {}).update((o, offset + len(MAGIC) + end + 4 + n + 4) for o, n in sized)
-                bare.clear()
-                sized.clear()
-        for key, (bare, sized) in heads.items():
-            length, end = ahead[key]
-            if end is not None:
-                sized += [(o, length) for o in bare if length is not None]
-                links.setdefault(key, {}).update((o, end + 4 + n + 4) for o, n in sized)
-        for (file, split), own in links.items():
-            for offset in sorted(own, reverse=True):
-                own[offset] = own.get(own[offset], own[offset])
-            at = sorted(own)
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(at), pa.string()), pa.array([split] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array([own[o] for o in at], pa.int64())], ["file", "split", "offset", "leave"])
-    return run
+class Split:
+    """What a task knows of a split: its first offset, (length, end) for headers that it leaves open, where chains enter it, its file's size."""
+
+    __slots__ = ("file", "split", "at", "ahead", "entry", "bytes")
 
+    def __init__(self, file: str, split: int, start: int, length: int | None, end: int | None, entry: int | None, size: int):
+        self.file, self.split, self.at, self.ahead, self.entry, self.bytes = file, split, start, (length, end), entry, size
 
-def _cut(starts: dict[tuple[str, int], int], sizes: dict[str, int], ahead: dict[tuple[str, int], tuple[int | None, int | None]], entries: dict[str, list[int]], parts: bool):
+
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Split, int | None, bytes]]:
+    """(split, offset of the magic, piece); None before the file's first magic. A split's pieces come in order."""
+    known: dict[tuple[str, int], Split] = {}
+    for batch in batches:
+        for file, split, piece, *place in zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), batch.column("piece"), *[batch.column(c).to_pylist() for c in _PLACE], strict=True):
+            own = known.get((file, split))
+            if own is None:
+                own = known[file, split] = Split(file, split, *place)
+            at, piece = own.at, piece.as_py()
+            own.at = at + len(piece) + len(MAGIC)
+            yield own, at - len(MAGIC) if at else None, piece
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each candidate's offset and the first offset beyond its split that the chain from it comes to."""
+    links: dict[Split, dict[int, int]] = {}
+    heads: dict[Split, tuple[list, list]] = {}  # open headers: offsets, and (offset, length) once a length is known
+    for own, offset, piece in _walk(batches):
+        if offset is None:
+            continue
+        bare, sized = heads.setdefault(own, ([], []))
+        if piece[1:3] == b"\r\n":
+            bare.append(offset)
+        if not bare and not sized:
+            continue
+        length, end = _fields(piece)
+        if length is not None:
+            sized += [(o, length) for o in bare]
+            bare.clear()
+        if end >= 0:
+            links.setdefault(own, {}).update((o, offset + len(MAGIC) + end + 4 + n + 4) for o, n in sized)
+            bare.clear()
+            sized.clear()
+    for own, (bare, sized) in heads.items():
+        length, end = own.ahead
+        if end is not None:
+            sized += [(o, length) for o in bare if length is not None]
+            links.setdefault(own, {}).update((o, end + 4 + n + 4) for o, n in sized)
+    for own, steps in links.items():
+        for offset in sorted(steps, reverse=True):
+            steps[offset] = steps.get(steps[offset], steps[offset])
+        at = sorted(steps)
+        yield pa.RecordBatch.from_arrays([pa.array([own.file] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array([steps[o] for o in at], pa.int64())], ["file", "offset", "leave"])
+
+
+def _cut(parts: bool):
     """Whole records, or (parts) the pieces of records that cross splits, by the offset where their record ends.
 
     A chain that stops before its file's end is an error.
@@ -157,19 +170,17 @@ def _cut(starts: dict[tuple[str, int], int], sizes: dict[str, int], ahead: dict[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
-        state: dict[tuple[str, int], list] = {}
-        for file, split, offset, piece in _walk(batches, starts):
-            own = state.get((file, split))
-            if own is None:
-                known = entries.get(file, [])
-                i = bisect.bisect_left(known, offset or 0)
-                if i == len(known):
-                    raise broken(file, known[-1] if known else 0)
-                own = state[file, split] = [known[i], None, None, None, [], 0]
-            own[5] = len(piece) if offset is None else offset + len(MAGIC) + len(piece)
+        state: dict[Split, list] = {}
+        for own, offset, piece in _walk(batches):
+            file, now = own.file, state.get(own)
+            if now is None:
+                if own.entry is None:
+                    raise broken(file, offset or 0)
+                now = state[own] = [own.entry, None, None, None, [], 0]
+            now[5] = len(piece) if offset is None else offset + len(MAGIC) + len(piece)
             if offset is None:
                 continue
-            wanted, begun, length, stop, held, after = own  # the next record's offset; the open record's offset, length, end and bytes; the next magic's offset
+            wanted, begun, length, stop, held, after = now  # the next record's offset; the open record's offset, length, end and bytes; the next magic's offset
             if begun is None:
                 if offset < wanted:
                     if parts:
@@ -186,30 +197,30 @@ def _cut(starts: dict[tuple[str, int], int], sizes: dict[str, int], ahead: dict[
                     if length is None:
                         raise broken(file, begun)
                     wanted = stop = offset + len(MAGIC) + end + 4 + length + 4
-            own[:4] = wanted, begun, length, stop
+            now[:4] = wanted, begun, length, stop
             if stop is not None and after >= stop - 4:
                 if not parts:
                     rows.append((file, begun, b"".join(held)[: stop - begun]))
                     size += len(rows[-1][2])
-                own[1:5] = None, None, None, []
+                now[1:5] = None, None, None, []
             if size > 1 << 23:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
                 rows, size = [], 0
-        for (file, split), (wanted, begun, length, stop, held, after) in state.items():
+        for own, (wanted, begun, length, stop, held, after) in state.items():
             if begun is None:
                 if wanted < after:
-                    raise broken(file, wanted)
+                    raise broken(own.file, wanted)
                 continue
             if stop is None:
-                more, end = ahead[file, split]
+                more, end = own.ahead
                 length = more if length is None else length
                 if end is None or length is None:
-                    raise broken(file, begun)
+                    raise broken(own.file, begun)
                 stop = end + 4 + length + 4
-            if stop - 4 > sizes[file]:
-                raise broken(file, begun)
+            if stop - 4 > own.bytes:
+                raise broken(own.file, begun)
             if parts:
-                rows.append((file, stop, begun, b"".join(held)))
+                rows.append((own.file, stop, begun, b"".join(held)))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
     return run
@@ -222,23 +233,33 @@ def _join_parts(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"file": [key[0].as_py()], "offset": [offset], "record": [whole[: stop - offset] if stop >= 0 else whole]}, schema=pa.schema([("file", pa.string()), ("offset", pa.int64()), ("record", pa.binary())]))
 
 
-def reachable(spark: SparkSession, path: str) -> tuple[dict[tuple[str, int], int], dict[str, int], dict[tuple[str, int], tuple[int | None, int | None]], dict[str, list[int]], bool]:
-    """(first offset of each split, bytes of each file, (length, end) for headers that a split leaves open, offsets where verified chains enter splits, whether any file has several splits)."""
-    leads = sorted(_pieces(spark, path).mapInArrow(_leads, "file string, split bigint, n bigint, length bigint, stop bigint").collect(), key=lambda r: (r["file"], r["split"]))  # one row per split
-    starts, at = {}, {}
-    for r in leads:
-        starts[r["file"], r["split"]] = at.get(r["file"], 0)
-        at[r["file"]] = at.get(r["file"], 0) + r["n"]
-    sizes = {file: n - len(MAGIC) for file, n in at.items()}
-    ahead, later = {}, {}
-    for r in reversed(leads):
-        key = r["file"], r["split"]
-        ahead[key] = length, end = later.get(r["file"], (None, None))
-        later[r["file"]] = (r["length"], starts[key] + r["stop"]) if r["stop"] is not None else (length if r["length"] is None else r["length"], end)
-    several = len(starts) > len(at)
-    if not several:
-        return starts, sizes, ahead, {file: [0] for file in at}, False
-    hop = written(_pieces(spark, path).mapInArrow(_chain(starts, ahead), "file string, split bigint, offset bigint, leave bigint")).select("file", "offset", "leave")
+def splits_of(spark: SparkSession, path: str) -> DataFrame:
+    """(file, split, start, ahead_length, ahead_end, bytes, several): one row per split; several: its file has others."""
+    leads = written(_pieces(spark, path).mapInArrow(_leads, "file string, split bigint, n bigint, length bigint, stop bigint"))
+    file = Window.partitionBy("file")
+    before = file.orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    later = file.orderBy(F.col("split").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    at = leads.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
+    at = at.withColumn("_l", F.last(F.when(F.col("length").isNotNull(), F.struct("split", F.col("length").alias("v"))), True).over(later))
+    at = at.withColumn("_e", F.last(F.when(F.col("stop").isNotNull(), F.struct("split", (F.col("start") + F.col("stop")).alias("v"))), True).over(later))
+    return written(at.select("file", "split", "start", F.when(F.col("_l.split") <= F.coalesce("_e.split", "_l.split"), F.col("_l.v")).alias("ahead_length"), F.col("_e.v").alias("ahead_end"), (F.sum("n").over(file) - len(MAGIC)).alias("bytes"), (F.count("*").over(file) > 1).alias("several")))
+
+
+def _placed(spark: SparkSession, path: str, splits: DataFrame) -> DataFrame:
+    """The pieces with what is known of their split, in their order."""
+    one = splits.select("file", "split", *_PLACE)
+    pieces = _pieces(spark, path)
+    if fits(one):
+        return pieces.join(F.broadcast(one), ["file", "split"])
+    pieces = pieces.withColumn("_i", F.monotonically_increasing_id()).repartition("file", "split")
+    return pieces.join(one.hint("merge"), ["file", "split"]).sortWithinPartitions("file", "split", "_i").drop("_i")
+
+
+def entered(spark: SparkSession, path: str, splits: DataFrame) -> DataFrame:
+    """splits with entry: where the file's verified chain enters the split, or first goes on beyond it."""
+    if not splits.where("several").limit(1).count():
+        return splits.withColumn("entry", F.lit(0).cast("long"))
+    hop = written(_placed(spark, path, splits.withColumn("entry", F.lit(0).cast("long"))).mapInArrow(_chain, "file string, offset bigint, leave bigint"))
     seen = written(hop.where("offset = 0").select("file", "offset"))
     known = seen.count()
     while True:
@@ -248,22 +269,25 @@ def reachable(spark: SparkSession, path: str) -> tuple[dict[tuple[str, int], int
             break
         known = now
         hop = written(hop.alias("a").join(hop.alias("b"), F.expr("a.file = b.file and a.leave = b.offset"), "left").select("a.file", "a.offset", F.coalesce("b.leave", "a.leave").alias("leave")))
-    entries: dict[str, list[int]] = {}
-    for file, offset in sorted(map(tuple, seen.collect())):  # about one row per split
-        entries.setdefault(file, []).append(offset)
-    return starts, sizes, ahead, entries, True
+    # a split's first magic stands just before its start; both tables have about one row per split
+    first = F.when(F.col("start") == 0, F.lit(0).cast("long")).otherwise(F.col("start") - len(MAGIC))
+    line = splits.select("file", first.alias("_at"), "split").unionByName(seen.select("file", F.col("offset").alias("_at"), F.lit(None).cast("long").alias("split")))
+    after = Window.partitionBy("file").orderBy(F.col("_at").desc(), F.col("split").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("entry", F.min(F.when(F.col("split").isNull(), F.col("_at"))).over(after)).where("split is not null").select("file", "split", "entry")
+    return written(splits.join(line, ["file", "split"]))
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """(file, offset, type, record_id, uri, refers_to, payload_digest, payload) of every record that the chains reach.
 
-    payload is the record's block after its HTTP header, if it has one. Empty files give no rows.
+    payload is the record's block after its HTTP header, if it has one. A header may hold the magic and
+    may have any length. Records with equal ids are all read. Empty files give no rows.
     """
-    starts, sizes, ahead, entries, several = reachable(spark, path)
+    splits = entered(spark, path, splits_of(spark, path))
     schema = "file string, offset bigint, record binary"
-    records = _pieces(spark, path).mapInArrow(_cut(starts, sizes, ahead, entries, False), schema)
-    if several:
-        crossing = _pieces(spark, path).mapInArrow(_cut(starts, sizes, ahead, entries, True), "file string, stop bigint, offset bigint, record binary")
+    records = _placed(spark, path, splits).mapInArrow(_cut(False), schema)
+    if splits.where("several").limit(1).count():
+        crossing = _placed(spark, path, splits).mapInArrow(_cut(True), "file string, stop bigint, offset bigint, record binary")
         records = records.unionByName(crossing.where("stop >= 0").groupBy("file", "stop").applyInArrow(_join_parts, schema))
     return records.mapInArrow(_parse, "file string, offset bigint, type string, record_id string, uri string, refers_to string, payload_digest string, payload binary")
 
@@ -288,6 +312,9 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", body: s
     """Writes pages to an archive in the shared folder and reads it: key, payload_bytes, payload_digest, record_type, refers_to.
 
     Digest and size are taken from the payload that was read; for a revisit from that of its response.
+    A null body is empty. A row without key is a response, and nothing refers to it. Rows that share a
+    key are records of their own: each revisits the smallest smaller key that has its payload, and equal
+    rows of the smallest key are all responses. An empty table gives no rows; other columns are not read.
     """
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/archive"
@@ -296,7 +323,8 @@ def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", body: s
     number = lambda c, f=number: F.when(f(c) != "", f(c).cast("long"))
     read = read_archive(spark, path).select(number(F.col("record_id")).alias("id"), "type", number(F.col("refers_to")).alias("refers_to"), F.octet_length("payload").cast("long").alias("bytes"), base32_sha1(F.col("payload")).alias("digest"), "payload_digest")
     read = written(read)
-    source = read.where("type = 'response' and id is not null").select(F.col("id").alias("refers_to"), F.col("bytes").alias("b"), F.col("digest").alias("d")).dropDuplicates(["refers_to"])
-    out = read.join(source, "refers_to", "left")
-    again = F.col("type") == "revisit"
-    return out.select(F.col("id").alias(key), F.when(again, F.col("b")).otherwise(F.col("bytes")).alias("payload_bytes"), F.when(again, F.col("d")).otherwise(F.col("digest")).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    # a revisit's response has the id that it refers to and the payload that its own digest names
+    source = read.where("type = 'response' and id is not null").select(F.col("id").alias("refers_to"), F.concat(F.lit("sha1:"), "digest").alias("payload_digest"), F.col("bytes").alias("b"), F.col("digest").alias("d")).dropDuplicates(["refers_to", "payload_digest"])
+    again = lookup(read.where("type = 'revisit'"), source, ["refers_to", "payload_digest"])
+    kinds = lambda bytes_, digest: (F.col("id").alias(key), F.col(bytes_).alias("payload_bytes"), F.col(digest).alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    return read.where("type <> 'revisit'").select(*kinds("bytes", "digest")).unionByName(again.select(*kinds("b", "d")))

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 
 from gristmill.llm import decontaminate, html, lattice, licenses, minhash, mixing, quality, sharding, substrings, warc
-from gristmill.llm import blocks
+from gristmill.llm import blocks, common
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, size string, text_crc32 string"
 
@@ -232,6 +232,25 @@ def test_archives_with_the_magic_in_urls(spark, tmp_path, split, long, count):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_archives_with_repeated_ids_and_one_hot_payload(spark, monkeypatch):
+    """Payloads of rows that share an id stay apart; a payload of most rows; tables of splits that are joined by shuffling."""
+    pages = [(1, "u", "A"), (2, "u", "A"), (2, "u", "B"), (3, "u", "B"), (3, "u", "B"), (2, "v", "B"), (1, "u", "A")] + [(i, "u", "hot" if i % 3 else f"p{i}") for i in range(10, 300)]
+    first = {}
+    for i, _, h in sorted(pages, key=lambda p: p[0]):
+        first.setdefault(h, i)
+    want = sorted((i, len(h), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(), "revisit" if first[h] != i else "response", first[h] if first[h] != i else None) for i, _, h in pages)
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        for rows in (None, 0):
+            if rows is not None:
+                monkeypatch.setattr(common, "BROADCAST_ROWS", rows)
+            assert sorted(map(tuple, warc.round_trip(table).collect()), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_main_text(spark):
     page = """<html><head><title>t</title><script>var a="<p>no</p>";</script></head><body><header class="site"><p>Site header</p></header><nav><ul><li><a href=x>Menu</a></ul></nav>
     <div class="sidebar"><p>Side, note, here.</p></div><article><h1>A &amp; B</h1><p>First, long paragraph of the article; it has marks,  and   words.<p>Second one, with <b>bold</b>&nbsp;text, too.
