@@ -5,18 +5,21 @@ so a piece's prior weight is 1 / (rank + OFFSET). The training documents adapt t
 expected piece counts over all segmentations (forward-backward on the training words) are added to
 PRIOR times the prior. Segmentations never cross words, so a text's log probability is the sum over
 its words of the forward recursion's result, plus its end. The recursion runs in log space, for all
-different words of a block at once. Every byte is a piece, so that every text has a probability.
+different words of a block at once; lengths that few words have are walked edge by edge, so that a
+word of megabytes costs in proportion to its length. Every byte is a piece, so that every text has a
+probability.
 
 Beside it stands the base score, a word unigram with add-one smoothing.
 
-Scale: word counts are combined per block before the shuffle. The FREQUENT commonest words, a bounded
-number, go to the workers as a table of counts; all other words of a document are joined with the
+Scale: word counts are combined per block before the shuffle. Up to FREQUENT of the commonest words,
+found by a histogram of the counts, go to the workers as a table of counts; all other words of a document are joined with the
 whole count table by shuffling. The count table and the scored rows are written, so that no scan
 is made twice for one purpose.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +30,11 @@ from pyspark.sql import functions as F
 from gristmill.llm import blocks
 from gristmill.llm.common import written
 
-VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY = "piece_bpe_32k.model"
+#: At most so many of the commonest words are known to every worker.
 FREQUENT = 131_072
+#: Up to so many words of one length are walked edge by edge.
+FEW = 4
 OFFSET, PRIOR = 10.0, 10_000.0
 FOLDS, HELD_OUT = 7, 2
 BLOCK = 4 << 20
@@ -59,11 +65,12 @@ class Pieces:
         return out
 
 
-def read_pieces(path: str = VOCABULARY, offset: float = OFFSET) -> tuple[list[bytes], np.ndarray]:
-    """Byte strings and prior weights (they sum to 1) of a vocabulary file; its control pieces are left out."""
+def read_pieces(path: str | None = None, offset: float = OFFSET) -> tuple[list[bytes], np.ndarray]:
+    """Byte strings and prior weights (they sum to 1) of a vocabulary file, read by the driver; its control pieces are left out."""
+    import public_tokenizers
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_file=path or str(public_tokenizers.path(VOCABULARY)))
     best: dict[bytes, float] = {bytes([b]): float(model.get_piece_size()) for b in range(256)}
     for i in range(model.get_piece_size()):
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
@@ -92,14 +99,34 @@ def _lattices(pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.nda
                 if n <= width:
                     at = first + np.arange(width - n + 1)
                     found[n] = pieces.find(blocks.span_hash(prefix, at, at + n))
-            alpha = np.full((len(some), width + 1), -np.inf)
-            alpha[:, 0] = 0
-            for j in range(1, width + 1):
-                own = [n for n in found if n <= j]
-                alpha[:, j] = _log_sum([alpha[:, j - n] + log[found[n][:, j - n]] for n in own])
+            if len(some) <= FEW:
+                alpha = np.array([_walk({n: piece[i] for n, piece in found.items()}, log, width) for i in range(len(some))])
+            else:
+                alpha = np.full((len(some), width + 1), -np.inf)
+                alpha[:, 0] = 0
+                for j in range(1, width + 1):
+                    own = [n for n in found if n <= j]
+                    alpha[:, j] = _log_sum([alpha[:, j - n] + log[found[n][:, j - n]] for n in own])
             yield some, found, alpha
 
 
+def _walk(found: dict[int, np.ndarray], log: np.ndarray, width: int, back: bool = False) -> list[float]:
+    """Forward (or backward) log sums of one word over the pieces that are in it: a long word costs in proportion to its length."""
+    starts = [np.flatnonzero(piece >= 0) for piece in found.values()]
+    ends = np.concatenate([at + n for n, at in zip(found, starts, strict=True)])
+    value = np.concatenate([log[piece[at]] for piece, at in zip(found.values(), starts, strict=True)])
+    source, target = (width - ends, width - np.concatenate(starts)) if back else (np.concatenate(starts), ends)
+    order = np.argsort(target, kind="stable")
+    bounds = np.searchsorted(target[order], np.arange(width + 2)).tolist()
+    source, value = source[order].tolist(), value[order].tolist()
+    out = [0.0] * (width + 1)
+    for j in range(1, width + 1):
+        terms = [out[source[i]] + value[i] for i in range(bounds[j], bounds[j + 1])]
+        top = max(terms)
+        out[j] = top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms]))
+    return out[::-1] if back else out
+
+
 def _log_sum(terms: list[np.ndarray]) -> np.ndarray:
     stack = np.stack(terms)
     top = stack.max(0)
@@ -120,10 +147,13 @@ def expected_pieces(pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends:
     out = np.zeros(len(pieces.weights))
     for some, found, alpha in _lattices(pieces, data, starts, ends):
         width = alpha.shape[1] - 1
-        beta = np.full(alpha.shape, -np.inf)
-        beta[:, width] = 0
-        for j in range(width - 1, -1, -1):
-            beta[:, j] = _log_sum([beta[:, j + n] + log[found[n][:, j]] for n in found if j + n <= width])
+        if len(some) <= FEW:
+            beta = np.array([_walk({n: piece[i] for n, piece in found.items()}, log, width, True) for i in range(len(some))])
+        else:
+            beta = np.full(alpha.shape, -np.inf)
+            beta[:, width] = 0
+            for j in range(width - 1, -1, -1):
+                beta[:, j] = _log_sum([beta[:, j + n] + log[found[n][:, j]] for n in found if j + n <= width])
         for n, piece in found.items():
             row, at = np.nonzero(piece >= 0)
             ids = piece[row, at]
@@ -224,7 +254,21 @@ def _score(texts: list[bytes], weights: np.ndarray, end: float, hashes: np.ndarr
     return run
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, frequent: int = FREQUENT, folds: int = FOLDS, fold: int = HELD_OUT) -> DataFrame:
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[list[str], np.ndarray]:
+    """(words, counts) of the commonest words: as many whole classes of like counts as hold no more than `most` words."""
+    scale = F.floor(F.log2(F.col("n")) * 16).cast("int")
+    classes = sorted(map(tuple, counts.groupBy(scale.alias("c")).count().collect()), reverse=True)  # about a thousand at most
+    held, least = 0, None
+    for c, words in classes:
+        held += words
+        if held > most:
+            break
+        least = c
+    rows = counts.where(scale >= least).collect() if least is not None else []
+    return [r["word"] for r in rows], np.array([r["n"] for r in rows], np.float64)
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None, frequent: int = FREQUENT, folds: int = FOLDS, fold: int = HELD_OUT) -> DataFrame:
     """Per row of docs: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     A null text is empty: its end is its only token. A null key counts as the empty string in the
@@ -239,14 +283,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
     log = lambda c: np.log10((c + 1) / (tokens + kinds + 1))
     texts, prior = read_pieces(vocabulary)
     weights, end = adapt(counts, n_docs, texts, prior)
-    top = counts.orderBy(F.col("n").desc(), "word").limit(frequent).toPandas()  # a fixed number of words
-    data = "".join(top["word"]).encode()
-    sizes = np.array([len(w.encode()) for w in top["word"]], np.int64)
+    common, often = frequent_words(counts, frequent)
+    sizes = np.array([len(w.encode()) for w in common], np.int64)
     ends = np.cumsum(sizes)
-    buffer = np.frombuffer(data, np.uint8)
+    buffer = np.frombuffer("".join(common).encode(), np.uint8)
     hashes = blocks.span_hash(blocks.prefix_hash(buffer), ends - sizes, ends) if len(sizes) else np.zeros(0, np.uint64)
     order = np.argsort(hashes)
-    base = log(top["n"].to_numpy(np.float64)[order]) if len(sizes) else np.zeros(0)
+    base = log(often[order]) if len(sizes) else np.zeros(0)
     rows = docs.select(F.col(key).cast("long").alias("_key"), held_out(key, folds, fold).alias("held_out"), F.col(text).cast("string").alias("text"))
     scored = rows.mapInArrow(_score(texts, weights, end, hashes[order], base, float(log(n_docs)), int(n_docs > 0)), _SCORED)
     scored = written(scored.withColumn("_id", F.monotonically_increasing_id()))

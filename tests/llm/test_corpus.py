@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -190,6 +191,23 @@ def test_lattice_sums_all_segmentations():
         assert math.isclose(sum(n * len(t) for n, t in zip(uses, texts, strict=True)), 2 * len(s), rel_tol=1e-9)
 
 
+def test_long_words_cost_in_proportion():
+    """Words that few others are as long as are walked edge by edge, with the same sums as in blocks."""
+    texts, weights = lattice.read_pieces()
+    pieces = lattice.Pieces(texts, weights)
+    rng = random.Random(8)
+    word = bytes(rng.choice(b"etaoinshrdlu") for _ in range(60))
+    data = np.frombuffer(word * 9, np.uint8)
+    many = lattice.word_log10(pieces, data, np.arange(9) * 60, np.arange(9) * 60 + 60)
+    assert np.allclose(many, lattice.word_log10(pieces, data, np.array([0]), np.array([60])), rtol=1e-12)
+    one = lattice.expected_pieces(pieces, data, np.array([0]), np.array([60]), np.array([9]))
+    assert np.allclose(one, lattice.expected_pieces(pieces, data, np.arange(9) * 60, np.arange(9) * 60 + 60, np.ones(9)), rtol=1e-9)
+    long = np.frombuffer(bytes(rng.choice(b"abcdefghij+/=") for _ in range(300_000)), np.uint8)
+    began = time.perf_counter()
+    assert np.isfinite(lattice.word_log10(pieces, long, np.array([0]), np.array([len(long)]))).all()
+    assert time.perf_counter() - began < 30
+
+
 def test_archives(spark):
     inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
     pages = [(i, "u", "x" * (i * 37 % 900) + inner * (i % 5) + "WARC/1." + "y" * (i % 7)) for i in range(150)] + [(None, None, None), (1000, None, None), (1001, "a\r\nb", ""), (1002, "c", "x")]
