@@ -37,7 +37,9 @@ FREQUENT = 131_072
 FEW = 4
 OFFSET, PRIOR = 10.0, 10_000.0
 FOLDS, HELD_OUT = 7, 2
-BLOCK = 4 << 20
+BLOCK = 2 << 20
+#: Cells of words times places that a worker looks at together.
+CELLS = 1 << 18
 
 
 class Pieces:
@@ -86,7 +88,7 @@ def _lattices(pieces: Pieces, data: np.ndarray, starts: np.ndarray, ends: np.nda
     sizes = ends - starts
     for size in np.unique(sizes):
         every = np.flatnonzero(sizes == size)
-        step = max(1, (1 << 20) // (int(size) + 1))
+        step = max(1, CELLS // (int(size) + 1))
         for low in range(0, len(every), step):
             some = every[low : low + step]
             width = int(size) + 1
