@@ -84,7 +84,7 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
 
 
 def lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """left join of a written table with a table that is unique in `on`, whatever share of left one key holds.
+    """left join with a written table that is unique in `on`, whatever share of left one key holds; left is scanned several times.
 
     Hot keys, fewer than HOT, fetch their rows from a broadcast; all others are shuffled. Rows with a
     null in `on` find nothing.
@@ -101,3 +101,8 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     other = some.join(F.broadcast(hot), on, "left_anti").join(right, on, "left")
     columns = [*left.columns, *more]
     return common.select(columns).unionByName(other.select(columns)).unionByName(none.select(columns))
+
+
+def found(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """lookup by a broadcast of the whole right side where it fits."""
+    return left.join(F.broadcast(right), on, "left") if fits(right) else lookup(left, right, on)

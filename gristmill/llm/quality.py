@@ -1,13 +1,15 @@
 """Quality rules: per-text statistics and cross-document line frequency, all in JVM expressions.
 
-A line that many different documents of one host share is boilerplate. Lines are normalised and
-hashed; per host the number of different document texts that hold the line is counted; lines above
-the limit are removed; a document of which too little is left is depleted and rejected.
-
-Scale: one scan for the statistics, two narrow scans for lines. Only (host, line hash, text hash)
-is shuffled, each combination once per document after an in-row distinct; copies of one text count
-once, so a large group of copies does not condemn its own lines. Hot lines meet partial
-aggregation, and lines over the limit are few by construction (at most lines / limit per host).
+A line that many documents of one host share is boilerplate. Lines are normalised and hashed; per host
+the number of different documents that hold the line is counted; lines above the limit are removed
+from all of them but the first; a document of which too little is left is depleted and rejected. The
+first document (smallest key) keeps its lines so that of a text with many copies one is left for the
+removal of duplicates to choose.
+
+Scale: one scan of the texts gives the statistics and, as two small numbers each, the lines; these facts are
+written, and all else reads them. Lines are counted with map-side combining; only those above the
+limit meet their documents again, by a broadcast where the measured size allows it and else with hot
+lines apart from the others.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import packed, plain_words, small, text_or_empty, written
+from gristmill.llm.common import found, packed, plain_words, small, text_or_empty, written
 
 SYMBOLS = r"[#*$%&|<>]"
-#: A line is boilerplate if more different texts of its host hold it than both of these allow.
-LINE_DOCS = 20
-LINE_SHARE = 0.10
-#: A document is depleted if boilerplate removal leaves less than this share of its words.
+#: A line is boilerplate if more documents of its host hold it.
+LINE_DOCS = 10
+#: A document is depleted if removal leaves fewer words than MIN_WORDS or less than LEFT_SHARE of them.
+MIN_WORDS = 50
 LEFT_SHARE = 0.30
 
 
@@ -76,75 +78,73 @@ def base_metrics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
     )
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
+    return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50))
 
 
-def _lines(docs: DataFrame, text: str, host: str, keep: tuple[str, ...]) -> DataFrame:
-    """One row per document: its host, a hash of its text, and its lines as (hash of the normalised line, words)."""
-    norm = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
-    lines = F.filter(F.transform(F.split(text_or_empty(text), "\n"), norm), lambda x: x != "")
-    return docs.select(
-        *keep,
-        F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n")).alias("_host"),
-        F.xxhash64(text_or_empty(text), F.lit(7)).alias("_doc"),
-        F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).alias("w"))).alias("_lines"),
-    )
+def facts(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id") -> DataFrame:
+    """Per row of docs: _key, _h (hash of the text), _host, _id (the document: its key, without one its text), _marks (hash and words of each line, in order; 0 words for an empty one) and base_metrics."""
+    t = text_or_empty(text)
+    clean = F.lower(F.regexp_replace(t, r"[\x20\x09\x0B-\x0D]+", " "))
+    marks = F.transform(F.split(clean, "\n"), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("h"), F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), " "))).alias("w")))
+    rows = docs.select(
+        F.col(key).alias("_key"), F.xxhash64(t).alias("_h"), F.coalesce(F.concat(F.lit("h"), F.col(host).cast("string")), F.lit("n")).alias("_host"),
+        F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.concat(F.lit("t"), F.xxhash64(t).cast("string"))).alias("_id"), marks.alias("_marks"), F.col(text).alias("_body"))
+    return base_metrics(rows, "_body", ("_key", "_h", "_host", "_id", "_marks"))
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """(_host, h, line_docs): lines that more than max(min_docs, share x the host's different texts) texts of a host hold."""
-    per_doc = _lines(docs, text, host, ())
-    held = per_doc.select("_host", "_doc", F.explode(F.array_distinct(F.transform("_lines", lambda x: x.h))).alias("h"))
-    counts = held.groupBy("_host", "h", "_doc").agg(F.lit(1).alias("_")).groupBy("_host", "h").agg(F.count("*").alias("line_docs")).where(F.col("line_docs") > min_docs)
-    hosts = per_doc.select("_host", "_doc").distinct().groupBy("_host").agg(F.count("*").alias("host_docs"))
-    return counts.join(hosts, "_host").where(F.col("line_docs") > F.col("host_docs") * share).select("_host", "h", "line_docs")
+def frequent_lines(known: DataFrame, min_docs: int = LINE_DOCS) -> DataFrame:
+    """(_host, h, line_docs, first) of the lines that more than min_docs documents of a host hold; known: written facts."""
+    held = known.select("_host", "_id", "_key", F.explode(F.array_distinct(F.transform(F.filter("_marks", lambda x: x.w > 0), lambda x: x.h))).alias("h"))
+    # rows that share a key are one document: by rows first, which is no less, then by documents
+    maybe = written(held.groupBy("_host", "h").agg(F.count("*").alias("_n")).where(F.col("_n") > min_docs).select("_host", "h", F.lit(True).alias("_maybe")))
+    some = found(held, maybe, ["_host", "h"]).where("_maybe")
+    each = some.groupBy("_host", "h", "_id").agg(F.min("_key").alias("_key"))
+    return each.groupBy("_host", "h").agg(F.count("*").alias("line_docs"), F.min("_key").alias("first")).where(F.col("line_docs") > min_docs)
 
 
-def line_verdict(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_docs: int = LINE_DOCS, share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """(key, n_line_words, n_removed_words, depleted), only for documents that hold a frequent line.
+def removals(known: DataFrame, min_docs: int = LINE_DOCS) -> DataFrame:
+    """(_key, _h, _host, _cut, n_removed_words): per text of a document the places of the lines to remove, in order."""
+    often = written(frequent_lines(known, min_docs))
+    lines = known.select("_key", "_h", "_host", F.posexplode("_marks").alias("_at", "_l")).where("_l.w > 0").select("_key", "_h", "_host", "_at", F.col("_l.h").alias("h"), F.col("_l.w").alias("w"))
+    hit = found(lines, often, ["_host", "h"]).where("line_docs is not null and not (_key <=> first)")
+    # equal rows give equal places, so that a set of them is right; a document's own lines bound it
+    return hit.groupBy("_key", "_h", "_host").agg(F.sort_array(F.collect_set(F.struct("_at", "w"))).alias("_c")).select("_key", "_h", "_host", F.col("_c._at").alias("_cut"), F.aggregate("_c", F.lit(0).cast("long"), lambda a, x: a + x.w).alias("n_removed_words"))
 
-    Null keys have no row here and so are never depleted. Of repeated keys the worst row counts.
-    """
-    often = small(written(frequent_lines(docs, text, host, min_docs, share)), 200_000)
-    per_doc = _lines(docs, text, host, (key,)).where(F.col(key).isNotNull())
-    line = per_doc.select(key, "_doc", "_host", F.aggregate("_lines", F.lit(0), lambda a, x: a + x.w).alias("n_line_words"), F.explode("_lines").alias("_l"))
-    hit = line.select(key, "_doc", "_host", "n_line_words", F.col("_l.h").alias("h"), F.col("_l.w").alias("w")).join(often.select("_host", "h"), ["_host", "h"])
-    per_text = hit.groupBy(key, "_doc").agg(F.max("n_line_words").cast("long").alias("n_line_words"), F.sum("w").alias("n_removed_words"))
-    worst = per_text.groupBy(key).agg(F.max(F.struct(F.least(F.col("n_removed_words"), F.col("n_line_words")).alias("r"), F.col("n_line_words").alias("n"))).alias("x"))
-    out = worst.select(key, F.col("x.n").alias("n_line_words"), F.col("x.r").alias("n_removed_words"))
-    return out.withColumn("depleted", (F.col("n_line_words") - F.col("n_removed_words")) < F.col("n_line_words") * left_share)
+
+def _judged(known: DataFrame, min_docs: int, left_share: float) -> DataFrame:
+    """The facts with _cut, n_removed_words and kept."""
+    cut = removals(known, min_docs).alias("r")
+    out = known.drop("_marks", "_id").alias("f").join(cut, F.expr("f._key <=> r._key and f._h = r._h and f._host = r._host"), "left").select("f.*", "r._cut", F.coalesce("r.n_removed_words", F.lit(0).cast("long")).alias("n_removed_words"))
+    left = F.col("n_words") - F.col("n_removed_words")
+    depleted = (F.col("n_removed_words") > 0) & ((left < MIN_WORDS) | (left < F.col("n_words") * left_share))
+    return out.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", **limits: float) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE) -> DataFrame:
     """base_metrics plus n_removed_words and kept, one row per row of docs.
 
-    kept is false if base_failed or the document is depleted. Empty tables give no rows; columns of
-    docs other than key, text and host are not read, so that clashing names do no harm.
+    kept is false if base_failed or the document is depleted. A null host is a host of its own. Rows
+    that share a key are one document in the counts, each judged by its own text; a row with a null key
+    is the document of its text. Empty tables give no rows; columns of docs other than key, text and
+    host are not read, so that clashing names do no harm.
     """
-    verdict = line_verdict(docs, text, host, key, **limits).select(key, "n_removed_words", "depleted")
-    out = base_metrics(docs, text, (key,)).join(verdict, key, "left")
-    return out.select(
-        *[c for c in out.columns if c not in ("n_removed_words", "depleted")],
-        (~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))).alias("kept"),
-        F.coalesce("n_removed_words", F.lit(0).cast("long")).alias("n_removed_words"),
-    )
+    out = _judged(written(facts(docs, text, host, key)), min_docs, left_share)
+    return out.withColumnRenamed("_key", key).select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
+
 
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", min_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE, size: str | None = None) -> DataFrame:
+    """The rows of docs that are kept, without the lines above the limit; size: a column that holds the text's length, set anew where lines go.
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source", key: str = "doc_id", **limits: float) -> DataFrame:
-    """The rows of docs whose document is kept; rows with a null key are judged on base metrics alone."""
-    bad = judge(docs, text, host, key, **limits).where(~F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_bad")).distinct()
-    kept = packed(docs).join(bad, F.col("_row")[key] == F.col("_bad"), "left_anti").select("_row.*")
-    lost = kept.where(F.col(key).isNull())
-    if docs.where(F.col(key).isNull()).limit(1).count() == 0:
-        return kept
-    good = base_metrics(packed(lost).withColumn("_text", F.col("_row")[text]), "_text", ("_row",)).where(~F.col("base_failed")).select("_row.*")
-    return kept.where(F.col(key).isNotNull()).unionByName(good)
-
-
-def strip_frequent_lines(docs: DataFrame, text: str = "text", host: str = "source", min_docs: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
-    """docs with frequent lines taken out of the texts; needs a small set of frequent lines per host, collected per host as an array."""
-    often = frequent_lines(docs, text, host, min_docs, share).groupBy("_host").agg(F.collect_set("h").alias("_often"))
-    norm = lambda x: F.lower(F.trim(F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")))
-    df = packed(docs).withColumn("_host", F.coalesce(F.concat(F.lit("h"), F.col("_row")[host].cast("string")), F.lit("n"))).join(small(written(often)), "_host", "left")
-    left = F.array_join(F.filter(F.split(F.col("_row")[text], "\n"), lambda x: ~F.array_contains(F.coalesce("_often", F.array().cast("array<bigint>")), F.xxhash64(norm(x)))), "\n")
-    return df.select(F.col("_row").withField(f"`{text}`", left).alias("_row")).select("_row.*")
+    Defined for the same cases as judge. Texts from which nothing is removed stay as they are, nulls too.
+    """
+    todo = _judged(written(facts(docs, text, host, key)), min_docs, left_share).where("not kept or _cut is not null").select("_key", "_h", "_host", "_cut", "kept").distinct()
+    row = F.col("_row")
+    mine = packed(docs).select("_row", F.xxhash64(text_or_empty(row[text])).alias("_t"), F.coalesce(F.concat(F.lit("h"), row[host].cast("string")), F.lit("n")).alias("_of"))
+    both = mine.join(small(written(todo)), row[key].eqNullSafe(F.col("_key")) & (F.col("_t") == F.col("_h")) & (F.col("_of") == F.col("_host")), "left").where(F.coalesce("kept", F.lit(True)))
+    stay = F.array_join(F.filter(F.split(row[text], "\n"), lambda x, i: ~F.array_contains("_cut", i)), "\n")
+    body = F.when(F.col("_cut").isNull(), row[text]).otherwise(stay)
+    new = row.withField(f"`{text}`", body)
+    if size:
+        kind = docs.schema[size].dataType
+        new = new.withField(f"`{size}`", F.when(F.col("_cut").isNull(), row[size]).otherwise(F.char_length(stay).cast(kind)))
+    return both.select(new.alias("_row")).select("_row.*")

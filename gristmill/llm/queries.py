@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, html, lattice, licenses, minhash, mixing, quality, sharding, substrings, warc
+from gristmill.llm import decontaminate, html, lattice, licenses, minhash, mixing, pipeline, quality, sharding, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,7 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_mix": op9_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline.run,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -101,17 +100,16 @@ _QUALITY = f"""
 WITH d AS (SELECT doc_id, coalesce('h' || source, 'n') AS host, coalesce(text, '') AS t, {_PLAIN.format(t="coalesce(text, '')")} AS w FROM documents),
      tri AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS c FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
      rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri WHERE c > 1) GROUP BY 1),
-     lines AS (SELECT doc_id, host, t, {_NORM} AS x FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS x FROM d)),
-     ln AS (SELECT doc_id, host, t, x, len(string_split(x, ' ')) AS n FROM lines WHERE x <> ''),
-     hosts AS (SELECT host, count(DISTINCT t) AS texts FROM d GROUP BY 1),
-     often AS (SELECT host, x FROM (SELECT host, x, count(DISTINCT t) AS c FROM ln GROUP BY 1, 2) JOIN hosts USING (host) WHERE c > {quality.LINE_DOCS} AND c > texts * {quality.LINE_SHARE}),
-     cut AS (SELECT doc_id, sum(n)::BIGINT AS words, coalesce(sum(n) FILTER (WHERE o.x IS NOT NULL), 0)::BIGINT AS removed FROM ln LEFT JOIN often o ON o.host = ln.host AND o.x = ln.x GROUP BY 1),
+     lines AS (SELECT doc_id, host, {_NORM} AS x FROM (SELECT doc_id, host, unnest(string_split(t, chr(10))) AS x FROM d)),
+     ln AS (SELECT doc_id, host, x, len(string_split(x, ' ')) AS n FROM lines WHERE x <> ''),
+     often AS (SELECT host, x, min(doc_id) AS first FROM ln GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > {quality.LINE_DOCS}),
+     cut AS (SELECT ln.doc_id, sum(n)::BIGINT AS removed FROM ln JOIN often o ON o.host = ln.host AND o.x = ln.x AND o.first <> ln.doc_id GROUP BY 1),
      base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
                      (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')))))::BIGINT AS n_dup_lines,
-                     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS n_removed_words, coalesce(words, 0) AS line_words
+                     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0)::BIGINT AS n_removed_words
               FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN cut USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_removed_words > 0 AND line_words - n_removed_words < line_words * {quality.LEFT_SHARE}) AS kept, n_removed_words
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < {quality.MIN_WORDS} OR n_words - n_removed_words < n_words * {quality.LEFT_SHARE})) AS kept, n_removed_words
 FROM base"""
 
 _NOTICES = ", ".join(f"('{label}', {sorted(set(licenses._words(t)))})" for label, t in licenses.TEMPLATES)

@@ -143,22 +143,57 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def quality_of(rows, limit):
+    """(n_removed_words, kept, text) of each row (id, text, host) by plain Python: distinct documents per host, all but the first cut."""
+    squeeze = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+    held = collections.defaultdict(set)
+    for i, t, host in rows:
+        for x in (t or "").split("\n"):
+            if squeeze(x):
+                held[host, squeeze(x)].add(("t", t) if i is None else i)
+    out = []
+    for i, t, host in rows:
+        lines = (t or "").split("\n")
+        first = lambda ids: min((k for k in ids if isinstance(k, int)), default=None)
+        gone = [bool(squeeze(x)) and len(held[host, squeeze(x)]) > limit and (i is None or first(held[host, squeeze(x)]) != i) for x in lines]
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t or "") if x]
+        removed = sum(len(squeeze(x).split(" ")) for x, g in zip(lines, gone, strict=True) if g)
+        tri = collections.Counter(zip(w, w[1:], w[2:]))
+        covered = {k for j in range(len(w) - 2) if tri[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)}
+        bad = len(w) < 50 or 100 * len(covered) > 50 * len(w) or removed > 0 and (len(w) - removed < 50 or len(w) - removed < 0.3 * len(w))
+        out.append((removed, not bad, "\n".join(x for x, g in zip(lines, gone, strict=True) if not g) if any(gone) else t))
+    return out
+
+
 def test_quality(docs, rows, empty, spark):
     for r in quality.judge(docs).collect():
         text = next(x[1] for x in rows if x[0] == r.doc_id) or ""
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", text) if x]
-        tri = collections.Counter(zip(w, w[1:], w[2:]))
-        covered = {k for i in range(len(w) - 2) if tri[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
         lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-        assert (r.n_words, r.word_chars, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
-        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and (r.kept == (not r.base_failed))
+        assert (r.n_words, r.word_chars, r.n_dup_lines) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)))
+    assert quality.judge(empty).count() == 0 and quality.keep_good(empty).count() == 0 and quality.keep_good(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("fits", [True, False])
+def test_frequent_lines(spark, monkeypatch, fits):
+    """A line of many documents of a large host but under a tenth of them, copies, null and repeated keys, by broadcast and by shuffle."""
+    if not fits:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     notice = " ".join(f"notice{j}" for j in range(60))
-    host = [(i, f"{notice}\n{' '.join(f'd{i}w{j}' for j in range(5 if i < 5 else 100))}", "h") for i in range(60)]
-    table = spark.createDataFrame(host, "doc_id long, text string, source string")
-    judged = {r.doc_id: (r.n_removed_words, r.kept) for r in quality.judge(table).collect()}
-    assert all(judged[i] == (60, i >= 5) for i in range(60)) and quality.keep_good(table).count() == 55
-    assert "notice" not in quality.strip_frequent_lines(table).first().text
-    assert quality.judge(empty).count() == 0 and quality.keep_good(docs).columns == docs.columns
+    own = lambda i, n: " ".join(f"d{i}w{j}" for j in range(n))
+    rows = [(i, f"{notice}\n{own(i, 5 if i < 5 else 100)}", "h") for i in range(3, 33)]
+    rows += [(i, own(i, 60), "h") for i in range(100, 500)]  # the notice is in 30 of 430 documents
+    rows += [(i, f"{own('copy', 70)}\n \n{own('copy', 9)}", "g") for i in range(600, 640)]  # copies: one is left
+    rows += [(i, f"  NOTICE0\t{notice[8:]}\n\n{own(i, 60)}\n{notice}", None) for i in range(700, 711)] + [(700, "x\n" + own(1, 70), None), (711, None, None), (712, "", "h")]
+    rows += [(None, f"{notice}\n{own('n', 70)}", None)] * 3 + [rows[0], (800, notice, "rare"), *[(900, notice, "rare")] * 20]
+    table = spark.createDataFrame([(*r, "k", 3) for r in rows], "doc_id long, text string, source string, _key string, n_chars int").repartition(3)
+    want = quality_of(rows, quality.LINE_DOCS)
+    got = quality.judge(table).collect()
+    assert sorted((r.doc_id or -1, r.n_removed_words, r.kept) for r in got) == sorted((r[0] or -1, w[0], w[1]) for r, w in zip(rows, want, strict=True))
+    assert any(w[0] and w[1] for w in want) and any(not w[1] and w[0] == 60 for w in want) and sum(w[1] for r, w in zip(rows, want, strict=True) if r[2] == "g") == 1
+    left = quality.keep_good(table, size="n_chars")
+    assert left.columns == table.columns
+    assert sorted(((r.doc_id or -1, r.text, r.n_chars) for r in left.collect()), key=str) == sorted(((r[0] or -1, w[2], 3 if w[2] == r[1] else len(w[2])) for r, w in zip(rows, want, strict=True) if w[1]), key=str)
 
 
 def test_language_model(docs, rows, empty):
