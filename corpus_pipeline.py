@@ -1,60 +1,5 @@
-"""A corpus from raw documents to shards: quality, near duplicates, decontamination, mixing, sharding.
+"""The corpus pipeline: quality, near duplicates, decontamination, mixing, sharding. Its stages are in gristmill.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result to
-the shared folder and reads it as the next one's input. All but the last keep the columns of documents.
-"""
+from gristmill.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from gristmill.llm import decontaminate, minhash, mixing, quality, sharding
-from gristmill.llm.common import written
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and are not depleted by removal of their host's frequent lines."""
-    return quality.keep_good(docs)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    return minhash.keep_first(docs)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than one word in twenty stands in a benchmark window."""
-    return decontaminate.remove_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix by target weights, each document as often as it is taken."""
-    return mixing.take(docs)
-
-
-def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's shard and slot."""
-    return sharding.shard(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("decontamination", decontamination),
-    ("mix_sources", mix_sources),
-    ("shards", shards),
-]
-
-#: Hash orders and signatures are Spark's and NumPy's own, so SQL has no equal; tests use plain Python instead.
-ORACLE_SQL: str | None = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
