@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from gristmill.llm import decontaminate, html, lattice, licenses, minhash, mixing, quality, sharding, substrings, warc
 from gristmill.llm import blocks, common
@@ -143,6 +144,54 @@ def test_sharding(docs, rows, empty):
     assert sharding.shard(empty).count() == 0
 
 
+@pytest.mark.parametrize("literals", [4096, 3])
+def test_cuts_against_plain_python(spark, monkeypatch, literals):
+    """Every row's shard: large units dealt first, the byte line of the others cut; one text overfills shards."""
+    monkeypatch.setattr(sharding, "OVERFULL", 10**9)
+    monkeypatch.setattr(sharding, "LITERALS", literals)
+    monkeypatch.setattr(sharding, "HEAVY", 20)
+    monkeypatch.setattr(sharding, "PART_ROWS", 100)
+    rng = random.Random(3)
+    texts = [("t%d " % rng.randrange(400)) * rng.randrange(1, 6) for _ in range(3000)] + ["copy " * 40] * 900 + ["few " * 30] * 60 + [None, ""]
+    rows = list(enumerate(texts))
+    n = 7
+    units = collections.defaultdict(list)
+    for i, t in rows:
+        b = (t or "").encode()
+        h = xxhash.xxh64_intdigest(b, 42)
+        units[zlib.crc32(b), h - (1 << 64) if h >= 1 << 63 else h].append((i, len(b) + 8))
+    total = sum(z for v in units.values() for _, z in v)
+    large = {k: v for k, v in units.items() if sum(z for _, z in v) > total // (n * 20)}
+    load, want = [0] * n, {}
+    pieces = []
+    for k, v in large.items():
+        size = sum(z for _, z in v)
+        parts = -(-size * 4 * n // total) if size * n > total and len(v) > 1 else 1
+        pieces += [(k, v, sum(1 for j in range(len(v)) if j * parts // len(v) == p) * v[0][1]) for p in range(parts)]
+    pieces.sort(key=lambda p: -p[2])
+    for k, v, size in pieces:
+        s = load.index(min(load))
+        load[s] += size
+    line, room = 0, [max(0.0, total / n - b) for b in load]
+    rest = total - sum(z for v in large.values() for _, z in v)
+    for k in sorted(set(units) - set(large)):
+        size = sum(z for _, z in units[k])
+        middle = line + size / 2
+        s = sum(1 for q in range(n - 1) if rest * sum(room[: q + 1]) / sum(room) <= middle)
+        want.update({i: s for i, _ in units[k]})
+        load[s] += size
+        line += size
+    got = {r.doc_id: r for r in sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n).collect()}
+    assert {i: got[i].shard for i in want} == want
+    sums = collections.Counter()
+    for r in got.values():
+        sums[r.shard] += r.size
+    assert [sums[s] for s in range(n)] == load
+    copies = [got[i].shard for k, v in large.items() if len(v) == 900 for i, _ in v]
+    assert len(set(copies)) > 1 and all(len({got[i].shard for i, _ in v}) == 1 for v in units.values() if len(v) != 900)
+    assert sorted((r.shard, r.slot) for r in got.values()) == [(s, k) for s in range(n) for k in range(sum(r.shard == s for r in got.values()))]
+
+
 def quality_of(rows, limit):
     """(n_removed_words, kept, text) of each row (id, text, host) by plain Python: distinct documents per host, all but the first cut."""
     squeeze = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
