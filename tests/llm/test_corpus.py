@@ -459,28 +459,59 @@ def test_mixing(docs, rows, empty):
     assert mixing.take(docs).columns == docs.columns and mixing.mix(empty).count() == 0
 
 
-def test_repeated_substrings(docs, rows, empty):
-    keyed = sorted({(r[0], r[1]) for r in rows if r[0] is not None}, key=lambda r: r[0])
-    seen, want = set(), {}
-    for k, t in keyed:
+def cut_by_hand(rows):
+    """(n_bytes, n_removed, n_spans, sha256, bytes) of each row (id, text): strings of smaller ids, any row of theirs."""
+    least = {}
+    for k, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49 if k is not None else 0):
+            least[b[i : i + 50]] = min(k, least.get(b[i : i + 50], k))
+    out = []
+    for k, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        own = [b[i : i + 50] for i in range(len(b) - 49)]
-        for i, w in enumerate(own):
-            if w in seen:
+        for i in range(len(b) - 49 if k is not None else 0):
+            if least[b[i : i + 50]] < k:
                 gone[i : i + 50] = b"\1" * 50
-        seen.update(own)
         left = bytes(x for x, g in zip(b, gone, strict=True) if not g)
-        want[k] = (len(b), sum(gone), sum(g and not p for g, p in zip(gone, b"\0" + gone[:-1], strict=True)) if b else 0, hashlib.sha256(left).hexdigest(), left)
+        out.append((len(b), sum(gone), sum(g and not p for g, p in zip(gone, b"\0" + gone[:-1], strict=True)) if b else 0, hashlib.sha256(left).hexdigest(), left))
+    return out
+
+
+def test_repeated_substrings(docs, rows, empty):
+    want = cut_by_hand([(r[0], r[1]) for r in rows])
     got = substrings.report(docs).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is not None:
-            assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id][:4]
-    assert all(bytes(r.kept_bytes) == want[r.doc_id][4] for r in substrings.remove_repeats(docs).collect() if r.doc_id is not None)
+    assert sorted(map(str, map(tuple, got))) == sorted(str((r[0], *w[:4])) for r, w in zip(rows, want, strict=True))
+    kept = substrings.remove_repeats(docs)
+    assert kept.columns == [*docs.columns, "kept_bytes"]
+    assert sorted((str(r.doc_id), bytes(r.kept_bytes)) for r in kept.collect()) == sorted((str(r[0]), w[4]) for r, w in zip(rows, want, strict=True))
     assert substrings.report(empty).count() == 0
 
 
+@pytest.mark.parametrize("case", ["plain", "hot", "collisions", "shuffled"])
+def test_repeated_ids_and_a_phrase_in_many_documents(spark, monkeypatch, case):
+    """Ids with several texts, a phrase in one document of ten with other surroundings each time, hot keys, hashes that lie."""
+    if case == "hot":
+        monkeypatch.setattr(substrings, "HOT_ROWS", 8)
+        monkeypatch.setattr(substrings, "HOT_KEYS", 100_000)
+        monkeypatch.setattr(substrings, "SAMPLE", 1)
+    if case == "collisions":  # settled by a hash of few bits: the comparison of bytes must find it out
+        real = blocks.mix
+        monkeypatch.setattr(substrings.blocks, "mix", lambda x: real(x) & np.uint64(0xFFFFFFFFFF00000F))
+        monkeypatch.setattr(substrings, "_narrow", lambda x, size, f=substrings._narrow: f(x & np.uint64(1) if size == 3 else x, size))
+    if case == "shuffled":
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrase, other = noise(90), noise(60)
+    rows = [(i, noise(rng.randrange(0, 300)) + (phrase if i % 10 == 0 else "") + noise(rng.randrange(0, 40)) + (other[: 40 + i % 21] if i % 4 == 0 else "")) for i in range(300)]
+    rows += [(7, noise(200) + phrase), (7, noise(90)), (7, rows[3][1]), (0, noise(60) + phrase), (0, noise(10)), (300, rows[20][1]), (300, rows[20][1]), (-4, phrase[5:] + "x"), (None, phrase), (301, None), (302, noise(49)), (1 << 60, rows[11][1] + rows[12][1])]
+    rows += [(k, t[:-1] + "z") for k, t in ((400, rows[20][1]), (401, rows[30][1]), (402, rows[30][1]))]
+    want = cut_by_hand(rows)
+    got = substrings.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((r[0], *w[:4])) for r, w in zip(rows, want, strict=True))
+
+
 def test_suffix_order_equals_sorting():
     rng = random.Random(4)
     data = np.array([rng.randrange(97, 99) for _ in range(4000)], np.uint8)
