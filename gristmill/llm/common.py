@@ -14,7 +14,7 @@ PLAIN_GAP = r"[\x20\x09-\x0D]+"
 ALNUM_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Rows and bytes up to which a side may be broadcast after it has been measured.
 BROADCAST_ROWS = 1_000_000
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 16 << 20
 #: A key that holds more than one in HOT rows is hot; there are fewer than HOT such keys.
 HOT = 256
 

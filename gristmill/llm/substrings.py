@@ -15,12 +15,12 @@ LENGTH bytes, 50 times the input), so the suffix array is built where repeats ca
    extension, which binary search over prefix polynomial hashes finds; equal neighbours are verified
    byte by byte. The arrays' common-prefix groups tell for each of the LENGTH - KEY + 1 strings at an
    anchor the smallest document that has it.
-4. Keys of more than HOT_ROWS anchors, which a sample of the documents finds, would fill a task. Their
+4. Keys of more than HOT_ROWS neighbourhoods, which a sample of the documents finds, would fill a task. Their
    strings, and those of keys whose hashes collide, are grouped as they are: the smallest document per block and string, then over blocks.
 
 Whole copies of a text are found by SHA-256 beforehand and removed entirely.
 
-Scale: anchors travel as packed columns per block of documents and bucket of hashes, about 21 bytes
+Scale: anchors travel as packed columns per block of documents and bucket of hashes, about 23 bytes
 each; in a block equal neighbourhoods are settled before the shuffle, so that a group of near copies
 sends one row per block, not one per copy. Buckets and blocks have a fixed size; their number grows
 with the data. Texts travel only for documents with hits. The driver collects the hot keys, no more
@@ -43,7 +43,7 @@ from gristmill.llm.common import found, lookup, packed, small, text_or_empty, wr
 
 LENGTH, KEY = 50, 32
 BUCKET_BYTES = 6 << 20
-#: A key is hot if it has more anchors than HOT_ROWS, and than one in HOT_KEYS of all, as one document in SAMPLE tells.
+#: A key is hot if it has more neighbourhoods than HOT_ROWS, and than one in HOT_KEYS of all, as one document in SAMPLE tells.
 HOT_ROWS, HOT_KEYS, SAMPLE = 200_000, 1_000_000, 64
 
 
@@ -147,7 +147,7 @@ def _pack(buckets: int, length: int, key: int, twins: bool, hot: np.ndarray):
                     go, settled = mine[~done[mine]], mine[done[mine]]
                     # within one document equal neighbourhoods stay together: each place is kept
                     own = self_[order[go]].astype("<i8").tobytes() if twins else b""
-                    rows.append((b, _narrow(h[go], 6), _narrow(a[go], 3), o[go].astype("<i8").tobytes(), own, place[order[go]].astype("<u4").tobytes(), self_[order[settled]].astype("<i8").tobytes(), place[order[settled]].astype("<u4").tobytes()))
+                    rows.append((b, _narrow(h[go], 6), _narrow(a[go], 5), o[go].astype("<i8").tobytes(), own, place[order[go]].astype("<u4").tobytes(), self_[order[settled]].astype("<i8").tobytes(), place[order[settled]].astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 8)]], ["bucket", "key", "around", "doc", "own", "place", "done_own", "done_place"])
     return run
 
@@ -162,7 +162,7 @@ _MET = pa.schema([("_own", pa.int64()), ("settled", _INTS), ("src", _LONGS), ("a
 
 def _meet(table: pa.Table) -> pa.Table:
     """Of one bucket, per document: anchors settled by hash with their source's anchor, those settled in their block, and those that share their key with a different neighbourhood."""
-    key, around = _wide(_joined(table, "key", "u1"), 6), _wide(_joined(table, "around", "u1"), 3)
+    key, around = _wide(_joined(table, "key", "u1"), 6), _wide(_joined(table, "around", "u1"), 5)
     doc, own, place = _joined(table, "doc", "<i8"), _joined(table, "own", "<i8"), _joined(table, "place", "<u4")
     own = own if len(own) else doc
     order = np.lexsort((place, own, doc, around, key))
@@ -364,8 +364,10 @@ def _keys(length: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in blocks.text_blocks(batch.column("text")):
-                places, _, prefix = anchors(data, offsets, length, key)
-                kinds, n = np.unique(blocks.span_hash(prefix, places, places + key), return_counts=True)
+                places, doc, prefix = anchors(data, offsets, length, key)
+                first, last = _neighbourhood(places, doc, offsets, length, key)
+                pairs = np.stack((blocks.span_hash(prefix, places, places + key), blocks.span_hash(prefix, first, last)), axis=1)
+                kinds, n = np.unique(np.unique(pairs, axis=0)[:, 0], return_counts=True)  # equal neighbourhoods of a block travel once
                 yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], ["key", "n"])
     return run
 
@@ -448,7 +450,7 @@ def find_repeats(rest: DataFrame, twins: bool, length: int = LENGTH, key: int =
         name = ["_own", "begin", "src", "other"]
         sure = sure.join(bad, ["_own", "begin"], "left_anti").unionByName(spans.join(bad.select("_own", "begin").distinct(), ["_own", "begin"], "left_semi").join(bad, name, "left_anti").select("_own", "begin", "stop"))
         wrong = spans.join(bad, name, "left_semi").select("_own", "places").join(rest.dropDuplicates(["_own"]), "_own").select("text", "places")
-        keys = [r["key"] for r in wrong.mapInArrow(_keys_at(key), "key bigint").distinct().collect()]  # none unless 72 bits of hash collide
+        keys = [r["key"] for r in wrong.mapInArrow(_keys_at(key), "key bigint").distinct().collect()]  # none unless 88 bits of hash collide
         exact = np.union1d(hot, np.array(keys, np.int64).view(np.uint64))
     opens = written(met.where(F.size("open") > 0).groupBy("_own").agg(F.flatten(F.collect_list("open")).alias("open")))
     texts = rest.join(small(opens.select("_own")), "_own", "left_semi").dropDuplicates(["_own"])

@@ -498,7 +498,7 @@ def test_repeated_ids_and_a_phrase_in_many_documents(spark, monkeypatch, case):
     if case == "collisions":  # settled by a hash of few bits: the comparison of bytes must find it out
         real = blocks.mix
         monkeypatch.setattr(substrings.blocks, "mix", lambda x: real(x) & np.uint64(0xFFFFFFFFFF00000F))
-        monkeypatch.setattr(substrings, "_narrow", lambda x, size, f=substrings._narrow: f(x & np.uint64(1) if size == 3 else x, size))
+        monkeypatch.setattr(substrings, "_narrow", lambda x, size, f=substrings._narrow: f(x & np.uint64(1) if size == 5 else x, size))
     if case == "shuffled":
         monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rng = random.Random(9)
