@@ -106,3 +106,16 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
 def found(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """lookup by a broadcast of the whole right side where it fits."""
     return left.join(F.broadcast(right), on, "left") if fits(right) else lookup(left, right, on)
+
+
+def salted(left: DataFrame, right: DataFrame, on: str, parts: int = 32) -> DataFrame:
+    """Inner join of a left side that is scanned twice with a right side that is unique in `on` and too wide to broadcast.
+
+    Rows of hot keys of the left, fewer than HOT, are dealt over `parts` copies of the key's right row.
+    """
+    few = max(1, left.count() // HOT)
+    hot = F.broadcast(written(left.where(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_n")).where(F.col("_n") > few).select(on, F.lit(True).alias("_hot"))))
+    is_hot = F.coalesce("_hot", F.lit(False))
+    dealt = left.join(hot, on, "left").withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int")).otherwise(0)).drop("_hot")
+    copies = right.join(hot, on, "left").withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
+    return dealt.join(copies, [on, "_salt"]).drop("_salt")

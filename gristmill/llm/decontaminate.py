@@ -1,12 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of test windows, probed by every training window.
 
 A window is `width` consecutive words of a test item (the whole item if it has fewer). Each training
-position forms the hash of three of its window's words (first, middle, last), probes the broadcast
-set, and verifies a hit on all words of the window. The hot path is one narrow stage: tokenise,
-hash, explode, broadcast hash join, compare; only verified hits are shuffled.
+position forms, for each length of the windows, the hash of three of its window's words (first, middle,
+last) and probes the broadcast set; candidates fetch their document's words and are verified on all
+words of the window. The hot path is one narrow stage: tokenise once, hash, explode hashes and places
+only, broadcast hash join; only candidates are shuffled.
 
-The windows are counted first: above MAX_BROADCAST the set is joined by shuffling the hashes, and
-candidates fetch their document's words again for the comparison.
+The windows are counted first: above MAX_BROADCAST the set is joined by shuffling the hashes.
 """
 
 from __future__ import annotations
@@ -45,23 +45,19 @@ def find_hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: st
     """(_key, _h, pos, len, wid): every place where a window of `windows` occurs; pos counts words from 0."""
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())
     sets = windows.select("len", "probe", "window", "wid").distinct()
-    probes = small(sets, MAX_BROADCAST)
     words = _identified(docs, key, text).select("_key", "_h", alnum_words(ascii_lower(F.col("_text"))).alias("_words"))
-    out = None
-    for n in lengths:
-        keys = F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(0), F.size("_words") - n), lambda i: _probe(F.col("_words"), i, n)))
-        if probes is not sets:
-            at = words.select("_key", "_h", "_words", F.posexplode(keys).alias("pos", "probe"))
-            hits = at.join(probes.where(F.col("len") == n), "probe")
-        else:
-            at = words.select("_key", "_h", F.posexplode(keys).alias("pos", "probe"))
-            found = at.join(sets.where(F.col("len") == n), "probe").alias("f")
-            hits = found.join(words.distinct().alias("w"), F.expr("f._key <=> w._key and f._h = w._h")).select("f.*", "w._words")
-        hits = hits.where(F.slice("_words", F.col("pos") + 1, n) == F.col("window")).select("_key", "_h", "pos", F.lit(n).alias("len"), "wid")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
+    if not lengths:
         return words.where(F.lit(False)).select("_key", "_h", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("wid"))
-    return out
+    probe = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(0), F.size("_words") - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), _probe(F.col("_words"), i, n).alias("probe")))).otherwise(F.array().cast("array<struct<pos:int,len:int,probe:bigint>>"))
+    probes = probe(lengths[0]) if len(lengths) == 1 else F.flatten(F.array(*[probe(n) for n in lengths]))
+    # the words stay behind: a row of the explosion is a few numbers
+    at = words.select("_key", "_h", F.explode(probes).alias("_p")).select("_key", "_h", "_p.*")
+    maybe = written(at.join(small(sets, MAX_BROADCAST), ["len", "probe"]))
+    ids = small(written(maybe.select("_key", "_h").distinct()))
+    own = _identified(docs, key, text).alias("w").join(ids.alias("i"), F.expr("w._key <=> i._key and w._h = i._h"), "left_semi")
+    own = own.dropDuplicates(["_key", "_h"]).select("_key", "_h", alnum_words(ascii_lower(F.col("_text"))).alias("_words"))
+    both = maybe.alias("m").join(own.alias("w"), F.expr("m._key <=> w._key and m._h = w._h"))
+    return both.where(F.slice("w._words", F.col("m.pos") + 1, F.col("m.len")) == F.col("m.window")).select("m._key", "m._h", "m.pos", "m.len", "m.wid")
 
 
 def _spans(hits: DataFrame) -> DataFrame:

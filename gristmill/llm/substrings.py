@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.llm import blocks
-from gristmill.llm.common import found, lookup, packed, small, text_or_empty, written
+from gristmill.llm.common import found, lookup, packed, salted, small, text_or_empty, written
 
 LENGTH, KEY = 50, 32
 BUCKET_BYTES = 6 << 20
@@ -430,7 +430,7 @@ def unequal(spans: DataFrame, rest: DataFrame) -> DataFrame:
     sides = spans.select(*name, F.col("_own").alias("_who"), F.col("begin").alias("_from"), size.alias("_n")).unionByName(spans.select(*name, F.col("src").alias("_who"), F.col("other").alias("_from"), size.alias("_n")))
     ids = small(written(spans.select(F.explode(F.array("_own", "src")).alias("_who")).distinct()))
     texts = rest.select(F.col("_own").alias("_who"), "text").join(ids, "_who", "left_semi").dropDuplicates(["_who"])
-    slices = sides.join(texts, "_who").select(*name, F.substring(F.col("text").cast("binary"), F.col("_from") + 1, F.col("_n")).alias("_s"))
+    slices = salted(sides, texts, "_who").select(*name, F.substring(F.col("text").cast("binary"), F.col("_from") + 1, F.col("_n")).alias("_s"))
     return slices.groupBy(*name).agg(F.min("_s").alias("_a"), F.max("_s").alias("_b")).where("_a <> _b").select(*name)
 
 

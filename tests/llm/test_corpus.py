@@ -55,7 +55,11 @@ def ascii_lower(t):
     return "".join(c.lower() if c.isascii() else c for c in t or "")
 
 
-def test_decontamination(spark, docs, rows, empty):
+@pytest.mark.parametrize("fits", [True, False])
+def test_decontamination(spark, docs, rows, empty, monkeypatch, fits):
+    if not fits:
+        monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
     item = " ".join(rows[6][1].split()[10:40])
     bench = [(1, item), (2, "one two"), (3, None), (4, "!!"), (None, "w1 w2"), (12, item)]
     table = spark.createDataFrame(bench, "item_id long, text string")
