@@ -26,7 +26,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column, least: float = 1e-12) -> Column:
     """The vector over its norm: computed once per row, so that similarity is a dot product."""
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(least)))
+    return F.get(F.transform(F.array(F.greatest(norm(a), F.lit(least))), lambda n: F.transform(a, lambda x: x / n)), F.lit(0))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,11 +1,14 @@
-"""Joins: equi-joins wherever the meaning allows; vector joins by blocks of a bounded query side."""
+"""Joins: equi-joins wherever the meaning allows; vector joins as matrix products of blocks with blocks."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import vectors as V
+#: Rows of a block; a task multiplies two.
+BLOCK = 2_048
 
 
 def pair(a: str, b: str) -> list[Column]:
@@ -42,18 +45,78 @@ def shared_attribute_pairs(bridge: DataFrame, item: str, attribute: str, salt: i
     return left.join(right, ["_v", "_s"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors as rows; a shorter vector or a null in it makes all its products NaN."""
+    vectors = vectors.combine_chunks()
+    sizes = np.diff(vectors.offsets.to_numpy())
+    out = np.full((len(sizes), int(sizes.max(initial=0))), np.nan)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
+    return out / np.maximum(np.sqrt((out * out).sum(1)), 1e-12)[:, None]
+
+
+def _product(k: int | None, least: float | None, other_group: bool, halves: bool, schema: pa.Schema):
+    """Of two blocks the pairs (q, n, sim): all with sim >= least, or each query's k best; halves: a block with itself gives q < n only."""
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        right = right.sort_by("n")
+        q, n = left.column("q").to_numpy(), right.column("n").to_numpy()
+        a, b = _matrix(left.column("_v")), _matrix(right.column("_v"))
+        if a.shape[1] != b.shape[1]:
+            return schema.empty_table()
+        sim = np.round(a @ b.T, 6)
+        good = ~np.isnan(sim) & (q[:, None] != n[None, :])
+        if other_group:
+            good &= left.column("_o").to_numpy()[:, None] != right.column("_o").to_numpy()[None, :]
+        if least is not None:
+            good &= sim >= least
+        if halves and key[1].as_py() == key[2].as_py():
+            good &= q[:, None] < n[None, :]
+        if k is None:
+            x, y = np.nonzero(good)
+        else:  # the right side is in order of n, so that a stable sort breaks ties by it
+            y = np.argsort(np.where(good, -sim, np.inf), axis=1, kind="stable")[:, :k]
+            x = np.repeat(np.arange(len(q)), y.shape[1])
+            y = y.reshape(-1)
+            x, y = x[good[x, y]], y[good[x, y]]
+        return pa.Table.from_arrays([pa.array(q[x], schema.field("q").type), pa.array(n[y], schema.field("n").type), pa.array(sim[x, y])], schema=schema)
+    return run
+
+
+def _products(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int | None, least: float | None, group: str | None = None, same: str | None = None, halves: bool = False) -> DataFrame:
+    """(q, n, sim) of different rows, each block of queries times each block of the base, inside a group if `same` is given.
+
+    Blocks are of a fixed size, dealt by a hash of the key, so that a task's memory is bounded whatever
+    the sizes of tables and groups; a block is sent once for each block that it meets.
+    """
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias("_v"), *([F.col(group).alias("_o")] if group else []), (F.col(same) if same else F.lit(0)).alias("_g")).where("_v is not null and _g is not null")
+        sizes = rows.groupBy("_g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"_{name}s"))
+        return rows, sizes
+
+    (left, lefts), (right, rights) = dealt(queries, "q"), dealt(base, "n")
+    sizes = lefts.join(rights, "_g")
+    left = left.join(sizes, "_g").withColumn("_i", F.pmod(F.xxhash64("q"), F.col("_qs")).cast("int"))
+    right = right.join(sizes, "_g").withColumn("_j", F.pmod(F.xxhash64("n"), F.col("_ns")).cast("int"))
+    left = left.withColumn("_j", F.explode(F.sequence(F.col("_i") if halves else F.lit(0), F.col("_ns") - 1)))
+    right = right.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j") if halves else F.col("_qs") - 1)))
+    kind = base.schema[key].dataType
+    schema = pa.schema([("q", _arrow(kind.simpleString())), ("n", _arrow(kind.simpleString())), ("sim", pa.float64())])
+    at = ["_g", "_i", "_j"]
+    return left.drop("_qs", "_ns").groupBy(*at).cogroup(right.drop("_qs", "_ns").groupBy(*at)).applyInArrow(_product(k, least, group is not None, halves, schema), f"q {kind.simpleString()}, n {kind.simpleString()}, sim double")
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind]
+
+
 def knn(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, group: str | None = None, least: float | None = None) -> DataFrame:
     """(q, n, sim, rank): for each query row its k most similar base rows, itself left out; with `group` only rows of other groups.
 
-    Every query meets all base rows in one narrow join against the query side, which must be a
-    stated query set; ranking keeps k rows per query and task before it shuffles (window group limit).
+    A block keeps k rows for each query, so that no more than k rows a query and block are ranked. Keys
+    are integers or strings; rows with a null vector, or a null in it, match nothing.
     """
-    q = queries.select(F.col(key).alias("q"), V.unit(V.as_double(F.col(vector))).alias("_qv"), *([F.col(group).alias("_qg")] if group else [])).where("_qv is not null")
-    b = base.select(F.col(key).alias("n"), V.unit(V.as_double(F.col(vector))).alias("_nv"), *([F.col(group).alias("_ng")] if group else [])).where("_nv is not null")
-    both = b.join(F.broadcast(q) if queries.limit(10_001).count() <= 10_000 else q, (F.col("q") != F.col("n")) & ((F.col("_qg") != F.col("_ng")) if group else F.lit(True)))
-    scored = both.select("q", "n", F.round(V.dot(F.col("_qv"), F.col("_nv")), 6).alias("sim"))
-    if least is not None:
-        scored = scored.where(F.col("sim") >= least)
+    scored = _products(queries, base, key, vector, k, least, group)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.col("sim").desc(), "n"))).where(F.col("rank") <= k)
 
 
@@ -62,20 +125,14 @@ def unordered(pairs: DataFrame, a: str, b: str, *rest: str) -> DataFrame:
 
 
 def similar_pairs(df: DataFrame, key: str, vector: str, least: float, same: str | None = None) -> DataFrame:
-    """(a, b, sim) of rows a < b with a similarity of at least `least`, within a group if `same` is given."""
-    rows = df.select(F.col(key).alias("_k"), V.unit(V.as_double(F.col(vector))).alias("_v"), *([F.col(same).alias("_g")] if same else []))
-    x, y = rows.alias("x"), rows.alias("y")
-    on = F.expr("x._k < y._k" + (" and x._g = y._g" if same else ""))
-    return x.join(y, on).select(F.col("x._k").alias("a"), F.col("y._k").alias("b"), F.round(V.dot(F.col("x._v"), F.col("y._v")), 6).alias("sim")).where(F.col("sim") >= least)
+    """(a, b, sim) of rows a < b with a similarity of at least `least`, within a group if `same` is given; keys are unique."""
+    return _products(df, df, key, vector, None, least, same=same, halves=True).select(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b"), "sim")
 
 
 def new_pairs(df: DataFrame, new: DataFrame, key: str, vector: str, least: float) -> DataFrame:
     """Similar pairs with at least one new end: new x all, canonical, distinct."""
-    fresh = new.select(key)
-    rows = df.select(F.col(key).alias("_k"), V.unit(V.as_double(F.col(vector))).alias("_v"))
-    x, y = rows.join(fresh.withColumnRenamed(key, "_k"), "_k", "left_semi").alias("x"), rows.alias("y")
-    scored = x.join(y, F.expr("x._k <> y._k")).select(F.least("x._k", "y._k").alias("a"), F.greatest("x._k", "y._k").alias("b"), F.round(V.dot(F.col("x._v"), F.col("y._v")), 6).alias("sim"))
-    return scored.where(F.col("sim") >= least).distinct()
+    fresh = df.join(new.select(key), key, "left_semi")
+    return unordered(_products(fresh, df, key, vector, None, least), "q", "n", "sim")
 
 
 def best_child(parents: DataFrame, children: DataFrame, key: str, order: list[Column], keep: list[str]) -> DataFrame:

@@ -76,12 +76,7 @@ def g09(spark, d):
     return G.modular_communities(strong(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"), "w"), min_size=3)
 
 
-@query("g10_components", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + 1 + p_size AS b FROM part WHERE p_partkey % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b) SELECT id, min(root) AS root FROM r GROUP BY 1")
-def g10(spark, d):
-    links = table(spark, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1 + F.col("p_size")).alias("dst"))
-    return G.components(links)
-
-
+@query("g10_components", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + 1 + p_size AS b FROM part), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b) SELECT id, min(root) AS root FROM r GROUP BY 1")
 @query("g10_components_whole", "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + 1 + p_size AS b FROM part), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b) SELECT id, min(root) AS root FROM r GROUP BY 1")
 def g10_whole(spark, d):
     return G.components(table(spark, d, "part").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1 + F.col("p_size")).alias("dst")))

@@ -110,11 +110,7 @@ def l02(spark, d):
     return K.sort_by(table(spark, d, "documents").select("doc_id", "n_chars"), {"size": F.col("n_chars"), "id": F.col("doc_id")}, "size", True, "doc_id").limit(30)
 
 
-@query("l03_nulls_last", "SELECT doc_id, q FROM (SELECT doc_id, nullif(lang, 'de') AS q FROM documents) ORDER BY q ASC NULLS LAST, doc_id LIMIT 900")
-def l03(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("q")).orderBy(F.col("q").asc_nulls_last(), "doc_id").limit(900)
-
-
+@query("l03_nulls_last", "SELECT doc_id, q FROM (SELECT doc_id, nullif(lang, 'de') AS q FROM documents) ORDER BY q ASC NULLS LAST, doc_id")
 @query("l03_nulls_last_whole", "SELECT doc_id, q FROM (SELECT doc_id, nullif(lang, 'de') AS q FROM documents) ORDER BY q ASC NULLS LAST, doc_id")
 def l03_whole(spark, d):
     return table(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("q")).orderBy(F.col("q").asc_nulls_last(), "doc_id")
@@ -259,11 +255,18 @@ def u04(spark, d):
     return out.groupBy("month", "kind").agg(F.count("*").alias("n"))
 
 
-@query("u05_token_sets", "SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t))::BIGINT AS common, len(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) = 0 AS subset FROM (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS t FROM benchmark WHERE item_id < 12) a JOIN (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS t FROM benchmark WHERE item_id < 12) b ON a.item_id < b.item_id")
+_TOKENS = "(SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS t FROM benchmark)"
+_TOKEN_SETS = f"SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t))::BIGINT AS common, len(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) = 0 AS subset FROM {_TOKENS} a JOIN {_TOKENS} b ON a.item_id < b.item_id WHERE len(list_intersect(a.t, b.t)) > 0"
+
+
+@query("u05_token_sets", _TOKEN_SETS)
 def u05(spark, d):
-    t = table(spark, d, "benchmark").where("item_id < 12").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("t"))
-    both = t.alias("x").join(t.alias("y"), F.expr("x.item_id < y.item_id"))
-    return both.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.size(F.array_intersect("x.t", "y.t")).cast("bigint").alias("common"), (F.size(F.array_except("x.t", "y.t")) == 0).alias("subset"))
+    """Pairs with a common token: they meet by token, not each with each."""
+    t = table(spark, d, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("t"))
+    held = t.select("item_id", F.size("t").alias("size"), F.explode("t").alias("w"))
+    both = held.alias("x").join(held.alias("y"), F.expr("x.w = y.w and x.item_id < y.item_id"))
+    n = both.groupBy(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.col("x.size").alias("size")).agg(F.count("*").alias("common"))
+    return n.select("a", "b", "common", (F.col("common") == F.col("size")).alias("subset"))
 
 
 @query("u05_token_sets_whole", "SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.t, b.t))::BIGINT AS common, len(list_filter(a.t, lambda x: NOT list_contains(b.t, x))) = 0 AS subset FROM (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS t FROM benchmark) a JOIN (SELECT item_id, list_distinct(string_split(lower(text), ' ')) AS t FROM benchmark) b ON a.item_id < b.item_id")
