@@ -2,11 +2,12 @@
 
 A window is `width` consecutive words of a test item (the whole item if it has fewer). Each training
 position forms, for each length of the windows, the hash of three of its window's words (first, middle,
-last) and probes the broadcast set; candidates fetch their document's words and are verified on all
-words of the window. The hot path is one narrow stage: tokenise once, hash, explode hashes and places
-only, broadcast hash join; only candidates are shuffled.
+last); a bitmap of the set's hashes passes about the true hits, which probe the broadcast set and are
+verified on all words of the window. The hot path is one narrow stage: tokenise once, hash, filter by
+the bitmap, explode what is left, broadcast hash join, compare; only verified hits are shuffled.
 
-The windows are counted first: above MAX_BROADCAST the set is joined by shuffling the hashes.
+The windows are measured first: above MAX_BROADCAST the set is joined by shuffling the hashes of all
+places, and candidates fetch their document's words again for the comparison.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.common import ALNUM_GAP, alnum_words, ascii_lower, packed, small, text_or_empty, written
+from gristmill.llm.common import ALNUM_GAP, alnum_words, ascii_lower, fits, packed, small, text_or_empty, written
 
 WIDTH = 13
 MAX_BROADCAST = 200_000
@@ -48,11 +49,22 @@ def find_hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: st
     words = _identified(docs, key, text).select("_key", "_h", alnum_words(ascii_lower(F.col("_text"))).alias("_words"))
     if not lengths:
         return words.where(F.lit(False)).select("_key", "_h", F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("wid"))
-    probe = lambda n: F.when(F.size("_words") >= n, F.transform(F.sequence(F.lit(0), F.size("_words") - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), _probe(F.col("_words"), i, n).alias("probe")))).otherwise(F.array().cast("array<struct<pos:int,len:int,probe:bigint>>"))
-    probes = probe(lengths[0]) if len(lengths) == 1 else F.flatten(F.array(*[probe(n) for n in lengths]))
+    def starts(n: int, keep) -> Column:
+        places = F.transform(F.sequence(F.lit(0), F.size("_words") - n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("len"), _probe(F.col("_words"), i, n).alias("probe")))
+        return F.when(F.size("_words") >= n, keep(places)).otherwise(F.array().cast("array<struct<pos:int,len:int,probe:bigint>>"))
+
+    def places(keep=lambda x: x) -> Column:
+        return starts(lengths[0], keep) if len(lengths) == 1 else F.flatten(F.array(*[starts(n, keep) for n in lengths]))
+
+    if fits(sets, MAX_BROADCAST):
+        # a bitmap of the probes leaves about the true hits of a document, which take their window's words along
+        bits = bitmap([r["probe"] for r in sets.select("probe").distinct().collect()])  # no more than MAX_BROADCAST
+        few = words.select("_key", "_h", "_words", places(lambda x: F.filter(x, lambda p: _in(bits, p.probe))).alias("_p")).where(F.size("_p") > 0)
+        at = few.select("_key", "_h", F.explode(F.transform("_p", lambda p: F.struct(p.pos.alias("pos"), p.len.alias("len"), p.probe.alias("probe"), F.slice("_words", p.pos + 1, p.len).alias("own")))).alias("_p")).select("_key", "_h", "_p.*")
+        return at.join(F.broadcast(sets), ["len", "probe"]).where("own = window").select("_key", "_h", "pos", "len", "wid")
     # the words stay behind: a row of the explosion is a few numbers
-    at = words.select("_key", "_h", F.explode(probes).alias("_p")).select("_key", "_h", "_p.*")
-    maybe = written(at.join(small(sets, MAX_BROADCAST), ["len", "probe"]))
+    at = words.select("_key", "_h", F.explode(places()).alias("_p")).select("_key", "_h", "_p.*")
+    maybe = written(at.join(sets, ["len", "probe"]))
     ids = small(written(maybe.select("_key", "_h").distinct()))
     own = _identified(docs, key, text).alias("w").join(ids.alias("i"), F.expr("w._key <=> i._key and w._h = i._h"), "left_semi")
     own = own.dropDuplicates(["_key", "_h"]).select("_key", "_h", alnum_words(ascii_lower(F.col("_text"))).alias("_words"))
@@ -60,6 +72,20 @@ def find_hits(docs: DataFrame, windows: DataFrame, key: str = "doc_id", text: st
     return both.where(F.slice("w._words", F.col("m.pos") + 1, F.col("m.len")) == F.col("m.window")).select("m._key", "m._h", "m.pos", "m.len", "m.wid")
 
 
+def bitmap(hashes: list[int]) -> list[int]:
+    """A power of two of 64-bit numbers, about 32 bits for each hash, with the bit of each hash set."""
+    size = 1 << max(4, (len(hashes) // 2).bit_length())
+    words = [0] * size
+    for h in hashes:
+        words[(h >> 6) & (size - 1)] |= 1 << (h & 63)
+    return [w - (1 << 64) if w >= 1 << 63 else w for w in words]
+
+
+def _in(bits: list[int], h: Column) -> Column:
+    word = F.get(F.from_json(F.lit(str(bits)), "array<bigint>"), F.shiftright(h, 6).bitwiseAND(F.lit(len(bits) - 1)).cast("int"))
+    return F.bit_get(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def _spans(hits: DataFrame) -> DataFrame:
     """(_key, _h, spans): a document's hits as (pos, len), sorted; at most one for each word and window length."""
     return hits.groupBy("_key", "_h").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("spans"))
