@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,20 +11,20 @@ from gristmill.operators.topk import ranked
 
 
 def lexical(df: DataFrame, key: str, text: str, terms: list[str], k: int, name: str = "l_rank") -> DataFrame:
-    """(key, score, rank): documents by TF-IDF of the query terms; the term frequencies are array work inside a row."""
-    words = F.split(F.lower(text), "[^a-z0-9]+")
-    tf = df.select(key, *[F.size(F.filter(words, _equals(t))).alias(f"_{i}") for i, t in enumerate(terms)])
-    n = tf.agg(F.count("*").alias("_n"), *[F.count_if(F.col(f"_{i}") > 0).alias(f"_d{i}") for i in range(len(terms))])
-    scored = tf.join(F.broadcast(n))  # one row
-    score = sum((F.when(F.col(f"_{i}") > 0, (1 + F.log(F.col(f"_{i}").cast("double"))) * F.log(1 + F.col("_n") / F.col(f"_d{i}"))).otherwise(0.0) for i in range(len(terms))), F.lit(0.0))
-    hits = scored.select(key, F.round(score, 6).alias("score")).where("score > 0")
+    """(key, score, rank): documents by TF-IDF of the query terms; Han text counts as pairs of characters, in terms as well.
+
+    Texts are cut into words once and only the terms' places are grouped. Keys are unique.
+    """
+    wanted = list(dict.fromkeys(w for t in terms for w in ([t[i : i + 2] for i in range(len(t) - 1)] if re.fullmatch("[一-鿿]{2,}", t) else [t])))
+    words = F.concat(F.split(F.lower(text), "[^a-z0-9]+"), F.regexp_extract_all(F.col(text), F.lit("(?=([一-鿿]{2}))"), F.lit(1)))
+    tf = df.select(key, F.explode(words).alias("_w")).where(F.col("_w").isin(wanted)).groupBy(key, "_w").agg(F.count("*").alias("_t"))
+    have = F.broadcast(tf.groupBy("_w").agg(F.count("*").alias("_d")))  # one row for each term
+    n = F.broadcast(df.agg(F.count("*").alias("_n")))  # one row
+    score = F.sum((1 + F.log(F.col("_t").cast("double"))) * F.log(1 + F.col("_n") / F.col("_d")))
+    hits = tf.join(have, "_w").join(n).groupBy(key).agg(F.round(score, 6).alias("score")).where("score > 0")
     return ranked(hits, [F.col("score").desc(), F.col(key)], k, name)
 
 
-def _equals(term: str):
-    return lambda w: w == term
-
-
 def backfill(dense: DataFrame, lex: DataFrame, key: str, k: int) -> DataFrame:
     """(key, pos): all dense hits by rank, then the lexical ones that dense has not."""
     both = dense.select(key, "d_rank").join(lex.select(key, "l_rank"), key, "full_outer")

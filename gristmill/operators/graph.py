@@ -13,6 +13,8 @@ from gristmill.sources.files import shared_folder
 
 #: Edges up to which an algorithm without a distributed form may run on one machine.
 LOCAL_EDGES = 200_000
+#: Vectors held at once, and restarts, of the search for the second eigenvalue.
+LANCZOS_STEPS, LANCZOS_ROUNDS = 40, 200
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -35,14 +37,14 @@ def bfs(edges: DataFrame, seeds: DataFrame, hops: int, directed: bool = False, c
     links = edges.select("src", "dst")
     if not directed:
         links = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    links = links.distinct()
+    links = stored(links.distinct()) if hops > 1 else links  # every hop reads them
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
     frontier = seen
     for hop in range(1, hops + 1):
         step = frontier.select(F.col("id").alias("src")).join(links, "src").select(F.col("dst").alias("id")).distinct()
         frontier = step.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
-        seen = cut(seen.unionByName(frontier))
-        frontier = seen.where(F.col("hop") == hop)
+        frontier = stored(frontier) if hop < hops else frontier
+        seen = seen.unionByName(frontier)
     return seen if cap is None else seen.orderBy("hop", "id").limit(cap)
 
 
@@ -222,18 +224,46 @@ def betweenness(edges: DataFrame) -> DataFrame:
 
 
 def fiedler(adjacency: DataFrame) -> tuple[float, pd.DataFrame]:
-    """Second eigenvalue of the normalised Laplacian and the sign of its vector per node; for up to LOCAL_EDGES edges."""
+    """Second eigenvalue of the normalised Laplacian and the sign of its vector per node; for up to LOCAL_EDGES edges.
+
+    Lanczos steps on the edge list, so that memory grows with nodes and edges and not with their square.
+    """
     rows = adjacency.limit(LOCAL_EDGES + 1).toPandas()
     if len(rows) > LOCAL_EDGES:
         raise ValueError(f"the spectrum is for graphs of up to {LOCAL_EDGES} edges")
     ids = np.unique(rows[["a", "b"]].to_numpy())
     a, b = np.searchsorted(ids, rows["a"]), np.searchsorted(ids, rows["b"])
-    m = np.zeros((len(ids), len(ids)))
-    m[a, b] += rows["w"]
-    m[b, a] += rows["w"]
-    scale = 1 / np.sqrt(np.maximum(m.sum(1), 1e-12))
-    values, vectors = np.linalg.eigh(np.eye(len(ids)) - scale[:, None] * m * scale[None, :])
-    return float(values[1]), pd.DataFrame({"id": ids, "side": np.sign(vectors[:, 1])})
+    n, w = len(ids), rows["w"].to_numpy(float)
+    total = np.bincount(a, w, n) + np.bincount(b, w, n)
+    w = w / np.sqrt(np.maximum(total[a] * total[b], 1e-24))
+    first = np.sqrt(total) / max(1e-12, float(np.sqrt(total.sum())))  # the vector of eigenvalue 0
+
+    def times(v: np.ndarray) -> np.ndarray:
+        """(1 + normalised adjacency) v without the part along `first`: its largest eigenvalue is 2 less the second of the Laplacian."""
+        out = v + np.bincount(a, w * v[b], n) + np.bincount(b, w * v[a], n)
+        return out - first * (first @ out)
+
+    v = np.random.default_rng(0).standard_normal(n)
+    value = 0.0
+    for _ in range(LANCZOS_ROUNDS):
+        v = v - first * (first @ v)
+        v = v / max(1e-12, float(np.linalg.norm(v)))
+        basis = [v]
+        while len(basis) < min(LANCZOS_STEPS, n - 1):
+            q = np.array(basis)
+            x = times(basis[-1])
+            for _ in range(2):  # twice, against rounding
+                x = x - q.T @ (q @ x)
+            size = float(np.linalg.norm(x))
+            if size < 1e-10:
+                break
+            basis.append(x / size)
+        q = np.array(basis)
+        inside, vectors = np.linalg.eigh(q @ np.array([times(x) for x in basis]).T)
+        value, v = float(inside[-1]), vectors[:, -1] @ q
+        if np.linalg.norm(times(v) - value * v) < 1e-8:
+            break
+    return 2.0 - value, pd.DataFrame({"id": ids, "side": np.sign(v)})
 
 
 def chains(edges: DataFrame, longest: int = 4) -> DataFrame:

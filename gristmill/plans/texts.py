@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gristmill.functions import sequential as Q
 from gristmill.functions import strings as S
 from gristmill.operators import lines as L
+from gristmill.operators.topk import per_group
 from gristmill.plans.registry import query, table
 
 DOC = "documents"
@@ -131,7 +132,7 @@ def f20(spark, d):
     return notes.select(F.explode(S.wikilinks(F.col("t"))).alias("target")).groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query("f21_deterministic_ids")
+@query("f21_deterministic_ids", "SELECT doc_id, CASE WHEN b IS NOT NULL THEN array_to_string(list_transform(range(0, 26), lambda i: substr('0123456789ABCDEFGHJKMNPQRSTVWXYZ', 1 + 16 * substr(b, 5 * i + 1, 1)::INT + 8 * substr(b, 5 * i + 2, 1)::INT + 4 * substr(b, 5 * i + 3, 1)::INT + 2 * substr(b, 5 * i + 4, 1)::INT + substr(b, 5 * i + 5, 1)::INT, 1)), '') END AS id FROM (SELECT doc_id, CASE WHEN h IS NOT NULL THEN array_to_string(list_transform(range(1, 34), lambda i: lpad(bin(strpos('0123456789abcdef', substr(h, i, 1)) - 1), 4, '0')), '') END AS b FROM (SELECT doc_id, sha256(text || '|ulid') AS h FROM documents))")
 def f21(spark, d):
     return _docs(spark, d).select("doc_id", Q.ulid_of(F.col("text")).alias("id"))
 
@@ -220,9 +221,10 @@ def f35(spark, d):
 
 @query("f36_page_furniture", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, len(string_split(text, chr(10))) AS n FROM documents) SELECT doc_id, count(*) FILTER (WHERE c > greatest(3, n * 0.12) AND length(line) < 80 OR regexp_matches(line, '^[0-9]{1,4}$')) AS furniture FROM (SELECT doc_id, line, n, count(*) OVER (PARTITION BY doc_id, line) AS c FROM l) GROUP BY 1")
 def f36(spark, d):
-    rows = _docs(spark, d).select("doc_id", F.split("text", "\n").alias("l"))
-    bad = F.filter("l", lambda x: ((F.size(F.filter("l", lambda y: y == x)) > F.greatest(F.lit(3.0), F.size("l") * 0.12)) & (F.length(x) < 80)) | x.rlike("^[0-9]{1,4}$"))
-    return rows.select("doc_id", F.size(bad).cast("bigint").alias("furniture"))
+    rows = _docs(spark, d).select("doc_id", F.split("text", "\n").alias("l")).select("doc_id", F.size("l").alias("lines"), F.explode("l").alias("line"))
+    n = rows.groupBy("doc_id", "lines", "line").agg(F.count("*").alias("n"))
+    bad = ((F.col("n") > F.greatest(F.lit(3.0), F.col("lines") * 0.12)) & (F.length("line") < 80)) | F.col("line").rlike("^[0-9]{1,4}$")
+    return n.groupBy("doc_id").agg(F.sum(F.when(bad, F.col("n")).otherwise(0)).alias("furniture"))
 
 
 @query("f37_wiki_sections")
@@ -260,6 +262,8 @@ def f61(spark, d):
 
 @query("f62_phrase_edges_with_evidence")
 def f62(spark, d):
-    found = Q.signal_edges(F.col("text"), ["the", "and", "that", "with"], ["of", "in"])
-    e = _docs(spark, d).select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.*")
-    return e.groupBy("src", "dst").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("doc_id")), 1, 3).alias("evidence"))
+    found = Q.relation_edges(F.col("text"), ["the", "and", "that", "with"], {"derives": r"\bof\b", "prerequisite": r"\bin\b"})
+    edge = ["src", "dst", "relation"]
+    e = _docs(spark, d).select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.*").groupBy(*edge, "doc_id").agg(F.count("*").alias("n"))
+    first = per_group(e, edge, [F.col("doc_id")], 3).groupBy(*edge).agg(F.array_sort(F.collect_list("doc_id")).alias("evidence"))
+    return e.groupBy(*edge).agg(F.sum("n").alias("n")).join(first, edge)

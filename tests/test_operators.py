@@ -1,7 +1,9 @@
 """Operators whose results SQL does not show, on small cases by hand or against plain Python."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +164,55 @@ def test_sequential_functions(spark):
     assert len(u) == 26
 
 
+def test_ids_are_the_first_bits_of_the_digest(spark):
+    rows = spark.createDataFrame([("src:a",), ("",), ("論語",), (None,)], "t string")
+    for t, got in rows.select("t", sequential.ulid_of(F.col("t"))).collect():
+        if t is None:
+            assert got is None
+            continue
+        n = 0
+        for c in got:
+            n = n * 32 + "0123456789ABCDEFGHJKMNPQRSTVWXYZ".index(c)
+        assert len(got) == 26 and n == int(hashlib.sha256(f"{t}|ulid".encode()).hexdigest(), 16) >> 126
+
+
+@pytest.mark.parametrize(("text", "edges"), [
+    ("Free Trade leads to lower prices.", [("free trade", "lower price", "derives")]),
+    ("Game theory requires set theory.", [("set theory", "game theory", "prerequisite")]),
+    ("Free trade does not lead; it never leads to lower prices.", []),
+    ("Free trade was not stopped by the tariffs of that time; it leads to lower prices.", [("free trade", "lower price", "derives")]),
+    ("Free trade. It leads to lower prices.", []),
+    ("Free trade" + " x" * 28 + " leads to lower prices.", []),
+    ("Set theory, then game theory includes free trade, lower prices.", [("game theory", "free trade", "subsumes")]),
+    ("Free trade implies free trade.", []),
+    ("Freefree trade implies lower pricess.", []),
+    (None, []),
+])
+def test_relation_edges(spark, text, edges):
+    found = sequential.relation_edges(F.col("t"), ["free trade", "lower price", "game theory", "set theory"])
+    assert [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(found).first()[0]] == edges
+
+
+def test_lexical_counts_pairs_of_han(spark):
+    rows = spark.createDataFrame([(1, "經濟學與貿易"), (2, "貿易 trade trade"), (3, "other"), (4, None)], "id long, t string")
+    assert [r.id for r in fusion.lexical(rows, "id", "t", ["trade", "貿易"], 5).orderBy("l_rank").collect()] == [2, 1]
+    assert [r.id for r in fusion.lexical(rows, "id", "t", ["經濟學"], 5).collect()] == [1]
+
+
+def test_fiedler_equals_the_dense_spectrum(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1, 1.0) for i in range(119)] + [(*sorted(rng.sample(range(120), 2)), rng.uniform(0.5, 2)) for _ in range(200)]
+    value, sides = graph.fiedler(spark.createDataFrame(edges, "a long, b long, w double"))
+    m = np.zeros((120, 120))
+    for a, b, w in edges:
+        m[a, b] += w
+        m[b, a] += w
+    scale = 1 / np.sqrt(m.sum(1))
+    values, vectors = np.linalg.eigh(np.eye(120) - scale[:, None] * m * scale)
+    assert abs(value - values[1]) < 1e-6
+    assert abs((sides["side"].to_numpy() * np.sign(vectors[:, 1])).sum()) == 120
+
+
 def test_extension_points(spark):
     df = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "k long, g string")
     got = {r.k: r.c for r in df.groupBy("k").agg(extension.grouped_confidence(lambda g: len(g) / 4)(F.col("g")).alias("c")).collect()}
