@@ -8,6 +8,9 @@ template's n words must hold one of the n - need + 1 rarest (prefix filter), has
 words (length filter), and has enough words left after the first common one (positional filter).
 What passes is verified on the whole sets.
 
+Some notices' words are all among another's ("CC BY 4.0" in "CC BY-NC 4.0"). A block that holds the
+other's further words too is that other licence and no match of the plain one.
+
 Runs of words are looked at only around the prefix words, of which each match holds one.
 
 Scale: one scan reduces each line to its template words, a second cuts the surroundings of prefix
@@ -48,6 +51,17 @@ def _words(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
 
 
+def guards(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[list[list[str]]]:
+    """By template, for each other one of another label with all of its words: the other's further words."""
+    sets = [(label, set(_words(t))) for label, t in templates]
+    return [[sorted(more - own) for other, more in sets if other != label and own < more] for label, own in sets]
+
+
+def _other(block: Column) -> Column:
+    """Whether the block is another licence's: it holds all further words of one of its guards."""
+    return F.exists("guards", lambda g: F.size(F.array_except(g, block)) == 0)
+
+
 def blocks(docs: DataFrame, vocabulary: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(_key, _h, block, n_set, held): each line with template words; n_set: its distinct words; held: those of the vocabulary."""
     lines = F.split(ascii_lower(text_or_empty(text)), "\n")
@@ -74,7 +88,7 @@ def join_templates(held: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     sets, rank, _, prefix = prefixed or prefixes(held, templates, threshold)
     vocabulary = sorted(rank)
     index = F.broadcast(spark.createDataFrame(prefix, "t int, w string, p int, size int, need int"))  # a fixed list
-    full = F.broadcast(spark.createDataFrame([(i, label, ws) for i, label, ws in sets], "t int, label string, words array<string>"))
+    full = F.broadcast(spark.createDataFrame([(i, label, ws, g) for (i, label, ws), g in zip(sets, guards(templates), strict=True)], "t int, label string, words array<string>, guards array<array<string>>"))
     order = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, rank[w])])
     rare = sorted({w for _, w, *_ in prefix})
     near = held.where(F.arrays_overlap("held", F.array(*[F.lit(w) for w in rare])))
@@ -82,7 +96,7 @@ def join_templates(held: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     at = ranked.select("_key", "_h", "block", "n_set", "held", F.posexplode("_s").alias("q", "_e"))
     found = at.select("_key", "_h", "block", "n_set", "held", "q", F.col("_e.w").alias("w")).join(index, "w")
     found = found.where((F.col("n_set") >= F.col("need")) & (F.least(F.col("size") - F.col("p"), F.size("held") - F.col("q")) >= F.col("need")))
-    both = found.join(full, "t").withColumn("common", F.size(F.array_intersect("held", "words"))).where(F.col("common") >= F.col("need"))
+    both = found.join(full, "t").withColumn("common", F.size(F.array_intersect("held", "words"))).where((F.col("common") >= F.col("need")) & ~_other(F.col("held")))
     return both.select("_key", "_h", "block", "label", (F.col("common") / F.col("size")).alias("containment")).distinct()
 
 
@@ -93,8 +107,8 @@ def join_windows(docs: DataFrame, prefixed: tuple, key: str = "doc_id", text: st
     width = {i: -int(-len(_words(t)) / threshold // 1) for i, (_, t) in enumerate(templates)}
     most = max(width.values())
     rare = F.array(*[F.lit(w) for w in sorted({w for _, w, *_ in prefix})])
-    words = {i: ws for i, _, ws in sets}
-    index = F.broadcast(spark.createDataFrame([(w, i, sets[i][1], words[i], need[i], width[i]) for i, w, *_ in prefix], "w string, t int, label string, words array<string>, need int, width int"))  # a fixed list
+    words, other = {i: ws for i, _, ws in sets}, guards(templates)
+    index = F.broadcast(spark.createDataFrame([(w, i, sets[i][1], words[i], other[i], need[i], width[i]) for i, w, *_ in prefix], "w string, t int, label string, words array<string>, guards array<array<string>>, need int, width int"))  # a fixed list
     w = F.col("_w")
     df = docs.select(F.col(key).alias("_key"), F.xxhash64(text_or_empty(text)).alias("_h"), alnum_words(ascii_lower(text_or_empty(text))).alias("_w")).where(F.arrays_overlap("_w", rare))
     around = lambda i: F.struct(F.get(w, i).alias("w"), F.least(i, F.lit(most - 1)).alias("c"), F.slice(w, F.greatest(i - most + 2, F.lit(1)), F.least(i, F.lit(most - 1)) + most).alias("s"))
@@ -103,7 +117,8 @@ def join_windows(docs: DataFrame, prefixed: tuple, key: str = "doc_id", text: st
     # the words from width - 1 before the prefix word to width - 1 after it
     near = near.withColumn("s", F.slice("s", F.greatest(F.col("c") - F.col("width") + 2, F.lit(1)), F.least(F.col("c"), F.col("width") - 1) + F.col("width")))
     near = near.where(F.size(F.array_intersect("s", "words")) >= F.col("need"))
-    common = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("s") - F.col("width") + 1, F.lit(1))), lambda i: F.size(F.array_intersect(F.slice("s", i, F.col("width")), "words"))))
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.size("s") - F.col("width") + 1, F.lit(1))), lambda i: F.slice("s", i, F.col("width")))
+    common = F.array_max(F.transform(each, lambda run: F.when(_other(run), 0).otherwise(F.size(F.array_intersect(run, "words")))))
     both = near.withColumn("common", common).where(F.col("common") >= F.col("need"))
     return both.select("_key", "_h", "label", (F.col("common") / F.size("words")).alias("containment"))
 
@@ -142,7 +157,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     """Per row of docs: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     labels: those of the phrases and of the matching notices. score: the best containment of a notice,
-    at least PHRASE_SCORE with a phrase, else 0. A null text is empty. Repeated rows get equal results.
+    at least PHRASE_SCORE with a phrase, else 0. Word order within a block does not count, as the join is
+    one of sets. A null text is empty. Repeated rows get equal results.
     """
     vocabulary = sorted({w for _, t in TEMPLATES for w in _words(t)})
     held = written(blocks(docs, vocabulary, key, text))

@@ -112,14 +112,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT (n_removed_words > 0 AND (n_words - n_removed_words < {quality.MIN_WORDS} OR n_words - n_removed_words < n_words * {quality.LEFT_SHARE})) AS kept, n_removed_words
 FROM base"""
 
-_NOTICES = ", ".join(f"('{label}', {sorted(set(licenses._words(t)))})" for label, t in licenses.TEMPLATES)
+_NOTICES = ", ".join(f"('{label}', {sorted(set(licenses._words(t)))}, {g or 'CAST([] AS VARCHAR[][])'}, {-int(-len(licenses._words(t)) / licenses.THRESHOLD // 1)})" for (label, t), g in zip(licenses.TEMPLATES, licenses.guards(), strict=True))
 
 _LICENSES = f"""
 WITH d AS (SELECT doc_id, {_LOWER} AS t, {_ALNUM} AS w FROM documents),
      ph AS (SELECT doc_id, i - 1 AS place, label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (VALUES {", ".join(f"({p.split()}, '{label}')" for p, label in licenses.PHRASES)}) p(words, label) WHERE w[i] = words[1] AND w[i : i + len(words) - 1] = words),
      base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS l FROM ph GROUP BY 1),
-     bl AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(x, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda y: y <> '')) AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
-     hit AS (SELECT doc_id, label, len(list_intersect(s, words)) / len(words) AS c FROM bl, (VALUES {_NOTICES}) n(label, words) WHERE len(list_intersect(s, words)) >= ceil({licenses.THRESHOLD} * len(words))),
+     n(label, words, guards, width) AS (VALUES {_NOTICES}),
+     ln AS (SELECT doc_id, list_filter(string_split_regex(x, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda y: y <> '') AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d)),
+     near AS (SELECT d.doc_id, w, n.* FROM d, n WHERE len(list_intersect(w, words)) >= ceil({licenses.THRESHOLD} * len(words))),
+     bl AS (SELECT doc_id, s, n.* FROM ln, n UNION ALL SELECT doc_id, w[i : i + width - 1], label, words, guards, width FROM (SELECT *, unnest(range(1, greatest(len(w) - width + 1, 1) + 1)) AS i FROM near)),
+     hit AS (SELECT doc_id, label, len(list_intersect(s, words)) / len(words) AS c FROM bl WHERE len(list_intersect(s, words)) >= ceil({licenses.THRESHOLD} * len(words)) AND len(list_filter(guards, lambda g: list_has_all(s, g))) = 0),
      more AS (SELECT doc_id, list(DISTINCT label) AS l, max(c) AS best FROM hit GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(more.l, [])))), ',') AS labels,

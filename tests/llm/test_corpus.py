@@ -387,6 +387,17 @@ def test_main_text_keeps_the_whole_article(page, want):
     assert html.main_text(f"<html><body>{page}</body></html>").split("\n") == [" ".join(w.split()) for w in want]
 
 
+def other_license(label, whole, block):
+    """Whether the block holds a notice of another label that has all words of this one."""
+    return any(name != label and whole < set(licenses._words(t)) and set(licenses._words(t)) - whole <= set(block) for name, t in licenses.TEMPLATES)
+
+
+def test_the_stricter_license_wins(spark):
+    texts = ["Licensed under CC BY-NC 4.0", "Licensed under\nCC BY-NC\n4.0", "Licensed under CC BY 4.0", "Licensed under CC BY 4.0. " + "x " * 9 + "Licensed under CC BY-SA 4.0", "Licensed under CC BY 4.0\n" + "x " * 9 + "\nLicensed under CC BY-NC 4.0"]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: "cc-by,cc-by-nc-4.0", 1: "cc-by,cc-by-nc-4.0", 2: "cc-by,cc-by-4.0", 3: "cc-by,cc-by-4.0,cc-by-sa-4.0", 4: "cc-by,cc-by-4.0,cc-by-nc-4.0"}
+
+
 def test_licenses(docs, rows, empty):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for r in licenses.scan(docs).collect():
@@ -402,7 +413,7 @@ def test_licenses(docs, rows, empty):
             for label, t in licenses.TEMPLATES:
                 whole = set(licenses._words(t))
                 share = len(whole & set(word.findall(line))) / len(whole)
-                if share >= licenses.THRESHOLD:
+                if share >= licenses.THRESHOLD and not other_license(label, whole, word.findall(line)):
                     more.add(label)
                     best = max(best, share)
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
@@ -423,9 +434,9 @@ def test_wrapped_licenses(spark):
         for label, t in licenses.TEMPLATES:
             whole, w = set(licenses._words(t)), word.findall(text)
             n = math.ceil(len(licenses._words(t)) / licenses.THRESHOLD)
-            for block in [word.findall(line) for line in text.split("\n")] + [w[k : k + n] for k in range(len(w))]:
+            for block in [word.findall(line) for line in text.split("\n")] + [w[k : k + n] for k in range(max(len(w) - n + 1, 1))]:
                 share = len(whole & set(block)) / len(whole)
-                if share >= licenses.THRESHOLD:
+                if share >= licenses.THRESHOLD and not other_license(label, whole, block):
                     more.add(label)
                     best = max(best, share)
         assert set(got[i].labels.split(",")) - {""} == more | set(got[i].base_labels.split(",")) - {""}
