@@ -9,14 +9,17 @@ to its headings and up to the parts of the page's frame. Its other runs belong t
 stand in a part that is marked as no content (menus, forms, adverts and the like). A mark does not
 count on a part that holds the page's article or most of its text.
 
-Scale: one narrow pass over the pages, one page in memory at a time, no shuffle.
+Scale: one narrow pass over the pages, one page in memory at a time, no shuffle. Paths are numbers, and
+what is known of an element is passed down or summed up once, so that deep nesting costs no more.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from html import unescape
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,15 +49,16 @@ CUT, HOLDS = 0.5, 0.8
 
 
 class Part:
-    """An element: its path, whether it is no content, its own mark (0 none, 1 fixed, 2 may be lifted, 3 of a thread), and its parents."""
+    """An element: its path's number, whether it is no content, its own mark (0 none, 1 fixed, 2 may be lifted, 3 of a thread), its nearest block and its parent."""
 
-    __slots__ = ("tag", "path", "out", "marked", "words", "link", "up", "depth")
+    __slots__ = ("tag", "path", "out", "marked", "words", "link", "up", "depth", "block", "inside")
 
-    def __init__(self, tag: str, mark: str, marked: int, up: Part | None, words: bool = False):
-        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
-        self.path = f"{up.path}/{tag}{mark}" if up else tag
+    def __init__(self, tag: str, path: int, marked: int, up: Part | None, words: bool = False):
+        self.tag, self.path, self.up, self.depth = tag, path, up, up.depth + 1 if up else 0
         self.words = words
         self.marked, self.out, self.link = marked, bool(marked or up and up.out), tag == "a" or bool(up and up.link)
+        self.block: Part = self if tag in BLOCK or up is None else up.block
+        self.inside = tag in ARTICLE or bool(up and up.inside)
 
     def line(self) -> Iterator[Part]:
         """The element and its parents, inside out."""
@@ -64,46 +68,72 @@ class Part:
             p = p.up
 
 
+def tree(found: list[tuple[str, Part, int]]) -> list[Part]:
+    """All elements that hold a run, parents before children."""
+    seen: set[Part] = set()
+    for _, part, _ in found:
+        for p in part.line():
+            if p in seen:
+                break
+            seen.add(p)
+    return sorted(seen, key=lambda p: p.depth)
+
+
+def down(parts: list[Part], step: Callable[[Part, Any], Any], start: Any = None) -> dict[Part | None, Any]:
+    """By element a value made of the element and its parent's value."""
+    out: dict[Part | None, Any] = {None: start}
+    for p in parts:
+        out[p] = step(p, out[p.up])
+    return out
+
+
+def up(parts: list[Part], first: Iterable[tuple[Part, int]]) -> dict[Part, int]:
+    """By element the sum of its own and its children's values; only of elements that have any."""
+    out: dict[Part, int] = {}
+    for p, n in first:
+        out[p] = out.get(p, 0) + n
+    for p in reversed(parts):
+        if p in out and p.up:
+            out[p.up] = out.get(p.up, 0) + out[p]
+    return out
+
+
+def own_header(p: Part) -> bool:
+    """No mark, or that of a header by its tag alone, which may be the article's own."""
+    return not p.marked or p.tag == "header" and p.marked == 2 and not p.words
+
+
 def lift(found: list[tuple[str, Part, int]]) -> None:
     """Takes words' marks off parts that hold the page's main or only article, or most of the text outside fixed marks."""
     if not any(part.out for _, part, _ in found):
         return
-    mass: dict[Part, int] = {}
-    holds: dict[Part, set[str]] = {}
-    articles: set[Part] = set()
-    for text, part, linked in found:
-        line = list(part.line())
-        if any(p.marked == 1 for p in line):
-            continue
-        tags: set[str] = set()
-        outer = None
-        for p in line:
-            mass[p] = mass.get(p, 0) + max(0, len(text) - 2 * linked)
-            holds.setdefault(p, set()).update(tags)
-            tags.add(p.tag)
-            outer = p if p.tag in ARTICLE else outer
-        if outer:
-            articles.add(outer)
+    parts = tree(found)
+    fixed = down(parts, lambda p, above: above or p.marked == 1, False)
+    outer = down(parts, lambda p, above: above or (p if p.tag in ARTICLE else None))
+    open_runs = [(len(text), part, linked) for text, part, linked in found if not fixed[part]]
+    mass = up(parts, ((part, max(0, n - 2 * linked)) for n, part, linked in open_runs))
+    below = {t: up(parts, ((p.up, 1) for p in parts if p.tag == t and p in mass and p.up)) for t in ("main", "h1")}
+    articles = {outer[part] for _, part, _ in open_runs} - {None}
     whole = max(mass.values(), default=0)
     only = {p for a in articles if len(articles) == 1 for p in a.line()}
     free = set()
-    for p, tags in holds.items():
+    for p, n in mass.items():
         if p.marked > 1:
-            most = mass[p] * 2 > whole
-            if "main" in tags or (p.marked == 2 and (most or p in only)) or (p.marked == 3 and most and ("h1" in tags or p in only)):
+            most = n * 2 > whole
+            if p in below["main"] or (p.marked == 2 and (most or p in only)) or (p.marked == 3 and most and (p in below["h1"] or p in only)):
                 free.add(p)
     if free:
-        known: dict[Part | None, bool] = {None: False}
-        for _, part, _ in found:
-            for p in reversed(list(part.line())):
-                if p not in known:
-                    known[p] = p.out = known[p.up] or bool(p.marked and p not in free)
+        for p, out in down(parts, lambda p, above: above or bool(p.marked and p not in free), False).items():
+            if p:
+                p.out = out
 
 
 def runs(html: str) -> list[tuple[str, Part, int]]:
     """(text, element, linked characters) of each block of text in page order."""
     out: list[tuple[str, Part, int]] = []
-    stack = [Part("", "", 0, None)]
+    stack = [Part("", 0, 0, None)]
+    paths: dict[tuple[int, str], int] = {}  # number of each path by its parent's and its last step
+    opened: Counter = Counter()  # open elements by tag, and inline ones by their block and tag
     text: list[str] = []
     owner, linked = stack[0], 0
 
@@ -116,11 +146,18 @@ def runs(html: str) -> list[tuple[str, Part, int]]:
             text.clear()
         linked = 0
 
+    def drop(i: int) -> None:
+        """Closes all elements from the i-th on."""
+        for p in stack[i:]:
+            opened[p.tag] -= 1
+            opened[p.block, p.tag] -= 1
+        del stack[i:]
+
     def add(piece: str) -> None:
         nonlocal owner, linked
         if piece:
             if not text or (len(text) < 3 and not "".join(text).strip()):
-                owner = next((p for p in reversed(stack) if p.tag in BLOCK), stack[0])
+                owner = stack[-1].block
             text.append(piece)
             if stack[-1].link:
                 linked += len(piece.strip())
@@ -144,19 +181,13 @@ def runs(html: str) -> list[tuple[str, Part, int]]:
         if m[1]:
             if tag in BLOCK:
                 flush()
-            if tag == "p" and not any(p.tag == "p" for p in stack):
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if any(p.tag in BLOCK for p in stack[i:]) and tag not in BLOCK:
-                        break  # an inline end tag does not close blocks
-                    del stack[i:]
-                    break
+            if opened[tag] if tag in BLOCK else opened[stack[-1].block, tag]:  # an inline end tag does not close blocks
+                drop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         attributes = m[3] or ""
         if tag in RAW:
-            shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             if not attributes.endswith("/"):
+                shut = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = shut.end() if shut else end
             text.append(" ") if text else None
             continue
@@ -168,31 +199,28 @@ def runs(html: str) -> list[tuple[str, Part, int]]:
             continue
         if tag in BLOCK:
             flush()
-            for i in range(len(stack) - 1, 0, -1):  # a block ends an open paragraph and what is open in it
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in BLOCK:
-                    break
-        if tag in CLOSES:
+            if stack[-1].block.tag == "p":  # a block ends an open paragraph and what is open in it
+                drop(stack[-1].block.depth)
+        if tag in CLOSES and any(opened[t] for t in CLOSES[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in CLOSES[tag]:
-                    del stack[i:]
+                    drop(i)
                     break
                 if stack[i].tag in SCOPE[tag]:
                     break
         named = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes)] if attributes else []
         label = " ".join(v for _, v in named)
-        inside = any(p.tag in ("article", "main") for p in stack)
-        words = bool(label and tag not in ("html", "body", "article", "main") and MARKS.search(label))
+        words = bool(label and tag not in ROOT | ARTICLE and MARKS.search(label))
         if tag in NO_CONTENT and tag != "form" or attributes and HIDDEN.search(attributes):
             no = 1
         elif words and THREAD.search(label):
             no = 3
         else:
-            no = 2 if words or tag == "form" or tag == "header" and not inside else 0
+            no = 2 if words or tag == "form" or tag == "header" and not stack[-1].inside else 0
         mark = "." + ".".join(sorted(v for k, v in named if k == "class")) if any(k == "class" for k, _ in named) else ""
-        stack.append(Part(tag, mark, no, stack[-1], words))
+        stack.append(Part(tag, paths.setdefault((stack[-1].path, tag + mark), len(paths) + 1), no, stack[-1], words))
+        opened[tag] += 1
+        opened[stack[-1].block, tag] += 1
     flush()
     lift(out)
     return out
@@ -200,7 +228,7 @@ def runs(html: str) -> list[tuple[str, Part, int]]:
 
 def weights(found: list[tuple[str, Part, int]]) -> list[float]:
     """Fused weight of each run from its path's smoothed ratios; runs in marked parts have none."""
-    totals: dict[str, list[float]] = {}
+    totals: dict[int, list[float]] = {}
     for text, part, linked in found:
         t = totals.setdefault(part.path, [0, 0, 0])
         t[0] += max(0, len(text) - 2 * linked)
@@ -226,24 +254,20 @@ def main_text(html: str | None) -> str:
     if not usable:
         return ""
     cut = CUT * sum(usable) / len(usable)
-    article = find_article(found, weight, cut)
+    parts = tree(found)
+    article = find_article(found, parts, weight, cut)
+    inside = down(parts, lambda p, above: above or p is article, False)
+    # what stands in the article and in no marked part of it
+    own = down(parts, lambda p, above: p is article and not p.out and p.tag not in ROOT or above and own_header(p), False)
     keep = []
     for (text, part, _), w in zip(found, weight, strict=True):
-        line = list(part.line())
-        inside = article in line
-        # the article's own header is none of the page's
-        own = inside and article.tag not in ROOT and all(not p.marked or p.tag == "header" and p.marked == 2 and not p.words for p in line[: line.index(article)]) and not article.out
-        if own or not part.out and (inside or article is None or w >= cut):
+        if own[part] or not part.out and (inside[part] or article is None or w >= cut):
             keep.append(text)
     return "\n".join(keep)
 
 
-def find_article(found: list[tuple[str, Part, int]], weight: list[float], cut: float) -> Part | None:
-    mass: dict[Part, int] = {}
-    for (text, part, _), w in zip(found, weight, strict=True):
-        if w >= cut:
-            for p in part.line():
-                mass[p] = mass.get(p, 0) + len(text)
+def find_article(found: list[tuple[str, Part, int]], parts: list[Part], weight: list[float], cut: float) -> Part | None:
+    mass = up(parts, ((part, len(text)) for (text, part, _), w in zip(found, weight, strict=True) if w >= cut))
     most = HOLDS * max(mass.values(), default=0)
     large = [p for p, n in mass.items() if n >= most and p.tag not in ("p", "li", "td", "pre", "blockquote") and p.tag not in HEADINGS]
     marked = [p for p in large if p.tag in ARTICLE]
@@ -252,17 +276,12 @@ def find_article(found: list[tuple[str, Part, int]], weight: list[float], cut: f
     article = max(large, key=lambda p: p.depth, default=None)
     if article is None:
         return None
-    headed: set[Part] = set()  # elements with a heading that is not the page's own header
-    framed: dict[Part, set[Part]] = {}  # by element its children that hold marked parts
-    for _, part, _ in found:
-        line = list(part.line())
-        plain = all(not p.marked or p.tag == "header" and not p.words for p in line)
-        if plain and any(p.tag in HEADINGS for p in line):
-            headed.update(line)
-        if not plain:
-            for child, p in zip(line, line[1:], strict=False):
-                framed.setdefault(p, set()).add(child)
-    while article.up and article.up.tag not in ROOT and not framed.get(article.up, set()) - {article}:
+    plain = down(parts, lambda p, above: above and (not p.marked or p.tag == "header" and not p.words), True)
+    heading = down(parts, lambda p, above: above or p.tag in HEADINGS, False)
+    headed = up(parts, ((part, 1) for _, part, _ in found if plain[part] and heading[part]))  # with a heading that is not the page's own header
+    framing = up(parts, ((part, 1) for _, part, _ in found if not plain[part]))  # with marked parts
+    framed = Counter(p.up for p in framing)
+    while article.up and article.up.tag not in ROOT and framed[article.up] == (article in framing):
         article = article.up
     if article not in headed:
         article = next((p for p in article.line() if p in headed), article)

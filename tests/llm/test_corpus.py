@@ -387,6 +387,33 @@ def test_main_text_keeps_the_whole_article(page, want):
     assert html.main_text(f"<html><body>{page}</body></html>").split("\n") == [" ".join(w.split()) for w in want]
 
 
+def test_path_ratios_against_plain_python():
+    """Each run's weight is made of its path's mean text and punctuation, smoothed over its neighbours."""
+    page = f"<html><body><nav><p>Menu, menu</p></nav><div><h1>Title</h1><p>{LONG}</p><p>Short, one.</p><ul><li><a href=x>Linked, item</a></li><li>Plain item.</li></ul></div><div><p>More; of it!</p></div></body></html>"
+    found = html.runs(page)
+    paths = ["/".join(p.tag for p in reversed(list(part.line()))) for _, part, _ in found]
+    assert paths == ["/html/body/nav/p", "/html/body/div/h1", "/html/body/div/p", "/html/body/div/p", "/html/body/div/ul/li", "/html/body/div/ul/li", "/html/body/div/p"]
+    mean = []
+    for path in paths:
+        of = [(len(text) - 2 * linked, sum(c in ",.;:!?" for c in text)) for (text, _, linked), p in zip(found, paths, strict=True) if p == path]
+        mean.append((0, 0) if "nav" in path else (sum(max(0, n) for n, _ in of) / len(of), sum(c for _, c in of) / len(of)))
+    for i, (w, path) in enumerate(zip(html.weights(found), paths, strict=True)):
+        near = [mean[max(i - 1, 0)], mean[i], mean[i], mean[min(i + 1, len(mean) - 1)]]
+        assert w == pytest.approx(0 if "nav" in path else sum(n for n, _ in near) / 4 * (1 + sum(c for _, c in near) / 4))
+
+
+def test_main_text_with_opaque_names_and_deep_nesting():
+    long = " ".join(LONG.split())
+    page = f"<div class=x1>We use cookies.</div><div class=x2><h1>Title</h1><p>{LONG}<p>{LONG}</div><div class=x3><div class=x4>Nice post, thanks.</div><div class=x4>First!</div></div>"
+    assert html.main_text(page) == f"Title\n{long}\n{long}"
+    for name in ("content left-side", "share-price report", "story notice"):
+        assert html.main_text(f"<nav>Menu</nav><div class='{name}'><h1>Title</h1><p>{LONG}</div><footer>me</footer>") == f"Title\n{long}"
+    start = time.perf_counter()
+    assert html.main_text("<div class=a>" * 40000 + f"<p>{LONG}" * 3 + "</div>" * 40000) == "\n".join([long] * 3)
+    assert html.main_text("<b><div>" * 20000 + f"<p>{LONG}" + "</b>" * 20000) == long
+    assert time.perf_counter() - start < 30
+
+
 def other_license(label, whole, block):
     """Whether the block holds a notice of another label that has all words of this one."""
     return any(name != label and whole < set(licenses._words(t)) and set(licenses._words(t)) - whole <= set(block) for name, t in licenses.TEMPLATES)
