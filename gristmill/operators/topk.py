@@ -43,19 +43,30 @@ def capped(df: DataFrame, order: list[Column], k: int) -> tuple[DataFrame, int]:
 def degree_capped(edges: DataFrame, group: str, src: str, dst: str, strength: str, k: int) -> DataFrame:
     """Per group, edges by falling strength, each taken if both its ends have fewer than k taken edges.
 
-    Each choice depends on earlier ones, so that a group is one sequential pass.
+    In rounds: an edge that is among the first open ones of both its ends, as many as these have room
+    for, is taken whatever the others do; then all edges of full ends go. A group's best open edge is
+    taken in each round. No task holds a group: an end's edges are cut to k before they are shuffled.
     """
-    import pandas as pd
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([strength, src, dst], ascending=[False, True, True], kind="stable")
-        degree: dict = {}
-        keep = []
-        for a, b in zip(rows[src], rows[dst], strict=True):
-            ok = degree.get(a, 0) < k and degree.get(b, 0) < k
-            keep.append(ok)
-            if ok:
-                degree[a], degree[b] = degree.get(a, 0) + 1, degree.get(b, 0) + 1
-        return rows[keep]
-
-    return edges.groupBy(group).applyInPandas(take, edges.schema)
+    from gristmill.operators.graph import stored
+
+    order = [F.col(strength).desc_nulls_last(), F.col(src).asc_nulls_last(), F.col(dst).asc_nulls_last(), F.col("_e")]
+    ends = lambda df: df.select("*", F.explode(F.array_distinct(F.array(src, dst))).alias("_n"))
+    left = stored(edges.withColumn("_e", F.monotonically_increasing_id()))
+    taken, used = left.limit(0), None
+    while not left.isEmpty():
+        one = ends(left).select("_e", group, strength, src, dst, "_n")
+        first = one.withColumn("_r", F.row_number().over(Window.partitionBy(group, "_n").orderBy(*order))).where(F.col("_r") <= k)
+        room = F.lit(k)
+        if used is not None:
+            first = first.alias("f").join(used.alias("u"), F.expr(f"f.`{group}` <=> u._g and f._n <=> u._m"), "left").select("f.*", "_used")
+            room = F.lit(k) - F.coalesce("_used", F.lit(0))
+        sure = stored(first.where(F.col("_r") <= room).groupBy("_e").agg(F.count("*").alias("_c")))
+        both = F.when(F.col(src).eqNullSafe(F.col(dst)), 1).otherwise(2)
+        taken = stored(taken.unionByName(left.join(sure, "_e").where(F.col("_c") == both).drop("_c")))
+        used = stored(ends(taken).groupBy(F.col(group).alias("_g"), F.col("_n").alias("_m")).agg(F.count("*").alias("_used")))
+        full = used.where(F.col("_used") >= k)
+        rest = left.join(taken.select("_e"), "_e", "left_anti").alias("l")
+        for end in (src, dst):
+            rest = rest.join(full, F.expr(f"l.`{group}` <=> _g and l.`{end}` <=> _m"), "left_anti").alias("l")
+        left = stored(rest)
+    return taken.select(*edges.columns)

@@ -8,7 +8,7 @@ from gristmill.operators import fusion as R
 from gristmill.operators import graph as G
 from gristmill.operators import joins as J
 from gristmill.operators import topk as K
-from gristmill.plans.joins import EDGES, VEC, edges
+from gristmill.plans.joins import COS, EDGES, VEC, edges
 from gristmill.plans.ordering import DIST, QUERY
 from gristmill.plans.registry import query, table
 
@@ -89,12 +89,16 @@ def _similar(spark, d):
     return pairs.join(labels.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("vec_id").alias("b"), F.col("label").alias("lb")), "b")
 
 
-@query("g11_components_same_group")
+_SIMILAR = f"(SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb FROM {VEC} a JOIN {VEC} b ON a.vec_id < b.vec_id WHERE round({COS}, 6) >= 0.42)"
+_ROOTS = "WITH RECURSIVE e AS MATERIALIZED (SELECT a, b FROM {e}), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.id WHERE r.root < u.b) SELECT id, min(root) AS root FROM r GROUP BY 1"
+
+
+@query("g11_components_same_group", _ROOTS.format(e=f"{_SIMILAR} WHERE la = lb"))
 def g11(spark, d):
     return G.components(_similar(spark, d).where("la = lb").select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
-@query("g12_components_held_apart")
+@query("g12_components_held_apart", _ROOTS.format(e=f"{_SIMILAR} WHERE (a, b) NOT IN ((1, 2), (3, 4))"))
 def g12(spark, d):
     held = spark.createDataFrame([(1, 2), (3, 4)], "a bigint, b bigint")
     pairs = _similar(spark, d).join(held, ["a", "b"], "left_anti")
@@ -180,7 +184,7 @@ def g22(spark, d):
     return pairs.groupBy(tier.alias("tier")).agg(F.count("*").alias("n"), F.sum("shared").alias("shared"))
 
 
-@query("g23_blocking_evaluation")
+@query("g23_blocking_evaluation", f"SELECT count(*) AS kept, round(1 - count(*) / greatest(1, any_value(n) * (any_value(n) - 1) // 2), 6) AS reduction, round(avg((la = lb)::INT::DOUBLE), 6) AS same_share FROM {_SIMILAR}, (SELECT count(*) AS n FROM embeddings)")
 def g23(spark, d):
     pairs = _similar(spark, d)
     n = table(spark, d, "embeddings").count()

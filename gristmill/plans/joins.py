@@ -215,9 +215,9 @@ def j32(spark, d):
     return J.new_pairs(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 0.35)
 
 
-@query("j33_quote_located", "SELECT i.item_id, d.doc_id FROM (SELECT item_id, substr(text, 1, 60) AS q FROM benchmark) i JOIN documents d ON contains(d.text, i.q) QUALIFY row_number() OVER (PARTITION BY i.item_id ORDER BY length(i.q) DESC, d.doc_id) = 1")
+@query("j33_quote_located", "SELECT i.item_id, d.doc_id FROM (SELECT item_id, text AS q FROM benchmark) i JOIN documents d ON contains(d.text, i.q) QUALIFY row_number() OVER (PARTITION BY i.item_id ORDER BY length(i.q) DESC, d.doc_id) = 1")
 def j33(spark, d):
-    quotes = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 60).alias("q"))
+    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
     quotes = F.broadcast(quotes) if quotes.limit(100_001).count() <= 100_000 else quotes
     hits = table(spark, d, "documents").select("doc_id", "text").join(quotes, F.col("text").contains(F.col("q"))).select("item_id", "doc_id", "q")
     return hits.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.length("q").desc(), "doc_id"))).where("r = 1").select("item_id", "doc_id")

@@ -26,7 +26,16 @@ def t02(spark, d):
     return T.changes_since(_events(spark, d), "user_id", 8, "event_id", 500, ["view", "click"], "event_type", 10).select("event_id", "event_type", "has_more", "latest_seq")
 
 
-@query("t03_limiter")
+_LIMITER = """WITH RECURSIVE o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+     r(user_id, i, event_id, ts, allowed, held) AS (
+         SELECT DISTINCT user_id, 0::BIGINT, NULL::BIGINT, NULL::TIMESTAMP, NULL::BOOLEAN, CAST([] AS BIGINT[]) FROM events
+         UNION ALL
+         SELECT user_id, i, event_id, ts, len(h) < 3, CASE WHEN len(h) < 3 THEN list_append(h, epoch_us(ts)) ELSE h END
+         FROM (SELECT o.*, list_filter(r.held, lambda x: x > epoch_us(o.ts) - 21600000000) AS h FROM r JOIN o ON o.user_id IS NOT DISTINCT FROM r.user_id AND o.i = r.i + 1))
+SELECT event_id, user_id, ts, allowed FROM r WHERE i > 0"""
+
+
+@query("t03_limiter", _LIMITER)
 def t03(spark, d):
     return T.limiter(_events(spark, d).select("event_id", "user_id", "ts"), "user_id", "ts", "event_id", 3, 6 * 3600)
 

@@ -123,6 +123,22 @@ def test_degree_cap_holds(spark):
     assert max(sum(n in (r.src, r.dst) for r in kept) for n in range(6)) <= 2 and (4, 5) in {(r.src, r.dst) for r in kept}
 
 
+def test_degree_cap_equals_one_pass(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 2, None]), rng.randrange(12), rng.randrange(12), rng.choice([1, 2, 2, 3, None])) for _ in range(300)]
+    want = []
+    for g in (1, 2, None):
+        degree = {}
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[3] is None, -(r[3] or 0), r[1], r[2])):
+            if degree.get(r[1], 0) < 3 and degree.get(r[2], 0) < 3:
+                want.append(r)
+                for n in {r[1], r[2]}:
+                    degree[n] = degree.get(n, 0) + 1
+    e = spark.createDataFrame(rows, "g long, src long, dst long, w long")
+    assert sorted(map(str, map(tuple, topk.degree_capped(e, "g", "src", "dst", "w", 3).collect()))) == sorted(map(str, want))
+    assert topk.degree_capped(e.limit(0), "g", "src", "dst", "w", 3).count() == 0
+
+
 def test_rerank_ignores_repeats_and_strangers(spark):
     hits = spark.createDataFrame([(i, f"h{i}") for i in range(4)], "position long, h string")
     got = [r.h for r in fusion.reranked(hits, spark.createDataFrame([(3, 0), (1, 1), (3, 2), (9, 3)], "position long, judged int")).collect()]
