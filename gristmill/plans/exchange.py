@@ -11,6 +11,7 @@ from gristmill.plans.ordering import DIST, QUERY
 from gristmill.plans.registry import query, table
 from gristmill.sources import files as S
 from gristmill.sources import tables as T
+from gristmill.streaming.state import ticks
 
 
 @query("s03_insert_returning", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 0")
@@ -57,6 +58,13 @@ def s11(spark, d):
     return S.new_items(items.unionByName(items), items.where("source_type = 'part' and cast(external_id as int) % 2 = 0"))
 
 
+@query("s11_feed_stream", f"SELECT * FROM {_ITEMS}")
+def s11_stream(spark, d):
+    """Two ticks of the feeds, the second of which brings known items again."""
+    items = _items(spark, d)
+    return ticks([items.where("source_type <> 'part'"), items], lambda new: new.dropDuplicates(["source_type", "external_id"]))
+
+
 @query("s12_gold_files", "SELECT doc_id::VARCHAR AS pair_id, CASE WHEN doc_id % 2 = 0 THEN 'later' ELSE 'label ' || quality::VARCHAR END AS label FROM labels WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0")
 def s12(spark, d):
     folder, rows = S.shared_folder(spark), table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("pair_id"), "doc_id", "quality")

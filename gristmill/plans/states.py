@@ -1,4 +1,4 @@
-"""Incremental queries over the driver's tables, in their batch form."""
+"""Incremental queries over the driver's tables, in their batch form and, named ..._stream, as streams that run twice."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gristmill.operators import windows as W
-from gristmill.plans.registry import query, table
+from gristmill.plans.registry import ORACLES, query, table
 from gristmill.sources import tables as S
 from gristmill.streaming import state as T
 
@@ -188,3 +188,34 @@ def t27(spark, d):
 def t28(spark, d):
     new = table(spark, d, "documents").groupBy(F.col("lang").alias("topic")).agg(F.count("*").alias("n")).select("topic", F.lit(0).alias("pos"))
     return new.unionByName(_events(spark, d).select(F.col("event_type").alias("topic"), F.lit(1).alias("pos")).distinct())
+
+
+def _halves(df, order):
+    """The rows up to the middle of the order's range, then the others."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return [df]
+    middle = F.lit(low + (high - low) / 2) if order == "ts" else F.lit((low + high) // 2)
+    return [df.where(F.col(order) <= middle), df.where(F.col(order) > middle)]
+
+
+@query("t01_changefeed_stream", ORACLES["t01_changefeed_append"])
+def t01_stream(spark, d):
+    feed = t01(spark, d)
+    return T.ticks([feed.where("event_type <> 'document'"), feed.where("event_type = 'document'")], lambda new: new)
+
+
+@query("t03_limiter_stream", ORACLES["t03_limiter"])
+def t03_stream(spark, d):
+    return T.ticks(_halves(_events(spark, d).select("event_id", "user_id", "ts"), "ts"), lambda new: T.stream_limiter(new, "user_id", "ts", "event_id", 3, 6 * 3600))
+
+
+@query("t06_processed_ids_stream", ORACLES["t06_processed_ids"])
+def t06_stream(spark, d):
+    return T.ticks(_halves(_events(spark, d).select("user_id", "event_type", "event_id"), "event_id"), lambda new: new.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"]))
+
+
+@query("t08_miss_counter_stream", ORACLES["t08_miss_counter"])
+def t08_stream(spark, d):
+    rounds = _events(spark, d).select("event_id", "user_id", "event_type", F.when(F.col("value") < 30, 0).otherwise(1).alias("v"))
+    return T.ticks(_halves(rounds, "event_id"), lambda new: T.miss_stream(new, ["user_id", "event_type"], "event_id", "v").select("event_id", "miss_rounds"))

@@ -52,7 +52,12 @@ def f07(spark, d):
     return table(spark, d, "pages").select("page_id", S.html_title(F.col("html")).alias("title"))
 
 
-@query("f07_html_words")
+_TITLE = "trim(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1))"
+_PLAIN = "regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+
+
+@query("f07_html_words", f"""SELECT page_id, len(list_filter(string_split_regex({_PLAIN}, '[\\s\\x0B]+'), lambda x: x <> ''))::INT AS words,
+    replace(replace(replace(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&#39;', chr(39)), '&amp;', '&') AS title FROM pages""")
 def f07b(spark, d):
     pages = table(spark, d, "pages")
     return pages.select("page_id", S.html_words(F.col("html")).alias("words"), Q.unescaped(S.html_title(F.col("html"))).alias("title"))

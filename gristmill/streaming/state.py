@@ -5,16 +5,33 @@ Event time may be late by WATERMARK; the state of a key is small and fixed in si
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gristmill.sources.files import shared_folder
+
 WATERMARK = "1 hour"
 
 
+def ticks(parts: Sequence[DataFrame], transform: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream has put out after all parts have arrived in its folder, one after the other.
+
+    The stream is started anew after each part and works off what is new, with the state and the
+    position that its checkpoint has kept, as a job does that runs by the clock.
+    """
+    spark = parts[0].sparkSession
+    folder = shared_folder(spark)
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/in")
+        out = transform(spark.readStream.schema(part.schema).parquet(f"{folder}/in"))
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
 def admit(times: list[float], held: list[float], most: int, seconds: float) -> tuple[list[bool], list[float]]:
     """Which calls are admitted: fewer than `most` admitted ones in the trailing window; rejected calls are not recorded."""
     out = []
