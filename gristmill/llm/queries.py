@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gristmill.llm import decontaminate, html, lattice, licenses, minhash, mixing, pipeline, quality, sharding, substrings, warc
+from gristmill.llm import decontaminate, disclosure, html, lattice, licenses, merkle, minhash, mixing, pipeline, quality, sharding, spelling, substrings, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_minhash_dedup": op2_minhash_dedup,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_mix": op9_mix,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling": op11_spelling,
+    "op12_disclosure": op12_disclosure,
+    "op13_merkle": op13_merkle,
     "pipeline": pipeline.run,
 }
 
@@ -129,5 +144,56 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first
        CASE WHEN n_base > 0 THEN greatest(coalesce(best, 0.0), {licenses.PHRASE_SCORE}) ELSE coalesce(best, 0.0) END::DOUBLE AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""
 
+#: crc32 by its polynomial over a list of bytes: entry b of the table, then one step a byte.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1))))"
+
+
+def _crc(codes: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+_UTF8 = "flatten(list_transform(string_split({x}, ''), lambda y: CASE WHEN unicode(y) < 128 THEN [unicode(y)::BIGINT] ELSE [192 | (unicode(y) >> 6), 128 | (unicode(y) & 63)]::BIGINT[] END))"
+
+_SPELLING = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+     runs AS (SELECT id, x, count(*) AS m FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents) WHERE length(x) >= {spelling.MIN_LETTERS} GROUP BY 1, 2),
+     hashed AS (SELECT x, m, {_crc(_UTF8.format(x="id || ':' || x"))} AS h FROM runs, crc),
+     words AS (SELECT w, sum(m)::BIGINT AS n FROM (SELECT CASE WHEN h % {spelling.MISTYPED} = 0 THEN x[1 : h % length(x)] || x[h % length(x) + 2 :] ELSE x END AS w, m FROM hashed) WHERE length(w) >= {spelling.MIN_LETTERS} GROUP BY 1 HAVING sum(m) >= {spelling.MIN_COUNT}),
+     less AS (SELECT w, n, i, w[1 : i - 1] || w[i + 1 :] AS d FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words)),
+     half AS (SELECT DISTINCT a.w AS a, b.w AS b FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.w <> b.w AND length(a.w) = length(b.w) UNION SELECT l.w, v.w FROM less l JOIN words v ON v.w = l.d UNION SELECT v.w, l.w FROM less l JOIN words v ON v.w = l.d),
+     near AS (SELECT a, b, v.n FROM half JOIN words v ON v.w = b),
+     best AS (SELECT a, count(*) AS n_near, arg_min(b, (-n, b)) AS form, max(n) AS form_n FROM near GROUP BY 1),
+     f AS (SELECT w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.RATIO} * words.n THEN form END AS form, CASE WHEN form_n >= {spelling.RATIO} * words.n THEN form_n END AS form_n FROM words LEFT JOIN best ON a = w),
+     walk(w, pos) AS (SELECT w, w FROM f UNION ALL SELECT walk.w, f.form FROM walk JOIN f ON f.w = walk.pos WHERE f.form IS NOT NULL),
+     ends AS (SELECT walk.w, pos FROM walk JOIN f ON f.w = pos WHERE f.form IS NULL)
+SELECT f.w AS word, form, pos AS root, n, n_near, form_n FROM f JOIN ends ON ends.w = f.w"""
+
+_FIELD = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+
+
+def _merkle(deep: int = 7) -> str:
+    """Trees of up to FAN ** deep leaves, level by level."""
+    fan = merkle.FAN
+    head = " || ".join(_FIELD.format(c=c) for c in ("doc_id", "source", "lang", "n_chars"))
+    steps = [f"""crc AS (SELECT {_CRC_TABLE} AS t),
+     lf AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM (SELECT doc_id, coalesce('s' || source, 'n') AS k, sha256({head} || {_FIELD.format(c="text")}) AS leaf,
+            CASE WHEN {_crc(_UTF8.format(x="doc_id::VARCHAR"))} % 5 = 0 THEN sha256({head} || {_FIELD.format(c=_LOWER.replace("coalesce(text, '')", "text"))}) END AS other FROM documents, crc))"""]
+
+    def tree(p: str, first: str, ids: str) -> None:
+        steps.append(f"{p}0 AS ({first})")
+        for j in range(deep):
+            steps.append(f"{p}r{j} AS (SELECT k, pos // {fan} AS run, list(h ORDER BY pos) AS hs FROM {p}{j} WHERE m > 1 GROUP BY 1, 2)")
+            steps.append(f"{p}{j + 1} AS (SELECT k, run AS pos, sha256(array_to_string(hs, '')) AS h, count(*) OVER (PARTITION BY k) AS m FROM {p}r{j} UNION ALL SELECT * FROM {p}{j} WHERE m = 1)")
+        steps.append(f"{p}f0 AS ({ids})")
+        for j in range(deep):
+            own = f"(f.pos // {fan**j}) % {fan} + 1"
+            steps.append(f"{p}f{j + 1} AS (SELECT f.* REPLACE (CASE WHEN hs IS NULL THEN now ELSE sha256(array_to_string(list_transform(hs, lambda x, i: CASE WHEN i = {own} THEN now ELSE x END), '')) END AS now, CASE WHEN hs IS NULL THEN beside ELSE beside || array_to_string(list_filter(hs, lambda x, i: i <> {own}), '') END AS beside) FROM {p}f{j} f LEFT JOIN {p}r{j} r ON r.k = f.k AND r.run = f.pos // {fan ** (j + 1)})")
+
+    tree("s", "SELECT k, pos, leaf AS h, count(*) OVER (PARTITION BY k) AS m FROM lf", "SELECT *, coalesce(other, leaf) AS now, '' AS beside FROM lf")
+    steps.append(f"tops AS (SELECT k AS source, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos, '' AS k FROM s{deep})")
+    tree("t", "SELECT k, pos, subroot AS h, count(*) OVER () AS m FROM tops", f"SELECT doc_id, leaf, subroot, now, beside, t.pos, t.k FROM sf{deep} s JOIN tops t ON t.source = s.k")
+    return f"WITH {', '.join(steps)}\nSELECT doc_id, leaf, subroot, t{deep}.h AS root, sha256(beside) AS proof_sha256, now AS folded_root, now = t{deep}.h AS verified FROM tf{deep}, t{deep}"
+
+
 #: The others have no SQL: hash orders, lattices, archives, page trees and byte strings are tested against plain Python.
-ORACLES: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op2_minhash_dedup": _NEAR, "op4_quality_rules": _QUALITY, "op8_license_scan": _LICENSES}
+ORACLES: dict[str, str] = {"op1_decontaminate": _DECONTAMINATE, "op2_minhash_dedup": _NEAR, "op4_quality_rules": _QUALITY, "op8_license_scan": _LICENSES, "op11_spelling": _SPELLING, "op13_merkle": _merkle()}
