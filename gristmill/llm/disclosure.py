@@ -13,7 +13,8 @@ disclosing term to the class of its form and removes one that leaves no more tha
 Scale: one scan finds entities and writes the contexts, at most three times the words of blocks with
 an entity. Entities seen in fewer than SUPPORT texts go before pairs are made, so that pairs grow with
 the occurrences of the others; pairs are distinct per document and aggregated by (entity, term, text)
-before (entity, term). One JVM scan counts the candidate terms. The last scan marks spans; terms come
+before (entity, term). Terms that the contexts alone show to be too common go; one JVM scan counts the
+others. The last scan marks spans; terms come
 by broadcast if measured to fit, else by a shuffle to the texts that hold them.
 
 Defined results: a null text is empty and has no spans; null and repeated doc_ids are rows like others,
@@ -109,8 +110,8 @@ def _terms(text: str, spans: list[Span]) -> list[re.Match]:
     return list(_WORD.finditer(own))
 
 
-def contexts(text: str) -> Iterator[tuple[list[str], list[str], list[str]]]:
-    """(entities, those not met in an earlier block, terms) of each block of a text with an entity."""
+def contexts(text: str) -> Iterator[tuple[bool, list[str], list[str], list[str]]]:
+    """(whether it is the text's first, entities, those not met in an earlier block, terms) of each block of a text with an entity."""
     spans = entities(text)
     if not spans:
         return
@@ -120,7 +121,7 @@ def contexts(text: str) -> Iterator[tuple[list[str], list[str], list[str]]]:
         at.setdefault(bisect_left(starts, span[1]) // BLOCK, set()).add(_value(text, span))
     for block in sorted(at):
         own = at[block]
-        yield sorted(own), sorted(own - seen), sorted({m.group() for m in words[max(0, (block - 1) * BLOCK) : (block + 2) * BLOCK]})
+        yield not seen, sorted(own), sorted(own - seen), sorted({m.group() for m in words[max(0, (block - 1) * BLOCK) : (block + 2) * BLOCK]})
         seen |= own
 
 
@@ -141,12 +142,12 @@ def _collect(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sign = _least_shingle(text)
                 rows += [(number, sign, *block) for block in found]
         names = pa.list_(pa.string())
-        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), names, names, names))], names=["doc", "sign", "entities", "fresh", "terms"])
+        yield pa.record_batch([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_(), names, names, names))], names=["doc", "sign", "first", "entities", "fresh", "terms"])
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
     """term, left_bits (the least over its entities) and bits (the most): terms of the corpus over the thresholds."""
-    met = written(docs.select(docs["text"].alias("text")).mapInArrow(_collect, "doc long, sign long, entities array<string>, fresh array<string>, terms array<string>"))
+    met = written(docs.select(docs["text"].alias("text")).mapInArrow(_collect, "doc long, sign long, first boolean, entities array<string>, fresh array<string>, terms array<string>"))
     by_text = met.select("sign", F.explode("fresh").alias("entity")).groupBy("entity", "sign").agg(F.count("*").alias("n"))
     known = written(by_text.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("n").alias("n_c")).where(F.col("texts") >= SUPPORT).select("entity", "n_c"))
     blank = docs.sparkSession.createDataFrame([], "term string, left_bits double, bits double")
@@ -156,7 +157,10 @@ def disclosing(docs: DataFrame) -> DataFrame:
     pairs = met.select("doc", "sign", "terms", F.explode("entities").alias("entity")).join(side.select("entity"), "entity", "left_semi").select("doc", "sign", "entity", F.explode("terms").alias("term")).distinct()
     joint = pairs.groupBy("entity", "term", "sign").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("n").alias("n_ct"))
     joint = written(joint.where(F.col("texts") >= SUPPORT).join(side, "entity"))
-    asked = written(joint.select("term").distinct())
+    # one context a document bounds n(t) from below, so that common words need no count over all texts
+    seen = met.where("first").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_seen"))
+    most = joint.groupBy("term").agg((F.max("n_ct") * 2**LEFT_BITS).alias("most"))
+    asked = written(most.join(seen, "term", "left").where(F.coalesce("n_seen", F.lit(0)) <= F.col("most")).select("term"))
     words = docs.select(F.explode(F.array_distinct(alnum_words(ascii_lower(text_or_empty(docs["text"]))))).alias("term"))
     counted = (words.join(F.broadcast(asked), "term", "left_semi").groupBy("term") if fits(asked) else words.groupBy("term")).agg(F.count("*").alias("n_t"))
     n = docs.count()
