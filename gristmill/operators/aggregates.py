@@ -63,9 +63,51 @@ def agreement(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     return both.agg(F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("both"), F.count_if(F.col("r").isNull()).alias("left_only"), F.count_if(F.col("l").isNull()).alias("right_only"))
 
 
+#: Rows of a group up to which they are ranked in one task, and the cut points of a round of selection.
+FEW, CUTS = 50_000, 64
+
+
+def _rank_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_g, _name, _v): of rows (_g, _name, _v), FEW a key at most, the one at place _i from 0."""
+    place = F.row_number().over(Window.partitionBy("_g", "_name").orderBy("_v")) - 1
+    return rows.withColumn("_p", place).join(wanted.select("_g", "_name", "_i"), ["_g", "_name"]).where("_p = _i").select("_g", "_name", "_v")
+
+
 def nearest_rank(df: DataFrame, column: str, shares: dict[str, float], *group: str) -> DataFrame:
-    """Percentiles as sorted[int(n * share)], without interpolation, by a distributed count of ranks."""
-    w = Window.partitionBy(*group).orderBy(column) if group else Window.partitionBy(F.lit(0)).orderBy(column)
-    n = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    r = df.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(n))
-    return r.groupBy(*group).agg(*[F.max(F.when(F.col("_i") == F.floor(F.col("_n") * s), F.col(column))).alias(name) for name, s in shares.items()])
+    """Percentiles as sorted[int(n * share)], without interpolation; exact, by selection. Nulls are left out.
+
+    A group of more than FEW rows is never sorted. Cut points from a sketch part its values; counts of
+    the parts, which are exact whatever the cut points, tell which part holds the rank; if it is a cut
+    point itself, that is the value, and else the part's rows are parted again until they are few.
+    """
+    from gristmill.operators.graph import stored
+
+    key = F.struct(*[F.col(c) for c in group]) if group else F.struct(F.lit(0).alias("all"))
+    values = df.where(F.col(column).isNotNull()).select(key.alias("_g"), F.col(column).alias("_v"))
+    sizes = stored(values.groupBy("_g").agg(F.count("*").alias("_n")))
+    names = F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), F.floor(F.col("_n") * share).alias("_i")) for name, share in shares.items()])).alias("_w")
+    wanted = stored(sizes.select("_g", "_n", names).select("_g", "_n", "_w.*").withColumns({"_low": F.lit(None).cast(values.schema["_v"].dataType), "_high": F.lit(None).cast(values.schema["_v"].dataType)}))
+    answers: list[DataFrame] = []
+    while True:
+        inside = (F.col("_low").isNull() | (F.col("_v") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_v") < F.col("_high")))
+        few = wanted.where(F.col("_n") <= FEW)
+        answers.append(_rank_in(values.join(few, "_g").where(inside).select("_g", "_name", "_v"), few))
+        many = wanted.where(F.col("_n") > FEW)
+        if many.isEmpty():
+            break
+        rows = values.join(many, "_g").where(inside)
+        cuts = rows.groupBy("_g", "_name").agg(F.array_distinct(F.percentile_approx("_v", [i / CUTS for i in range(CUTS + 1)], 1000)).alias("_cuts"))
+        below = F.size(F.filter("_cuts", lambda c: c <= F.col("_v")))
+        on = (below > 0) & (F.get("_cuts", below - 1) == F.col("_v"))
+        parts = rows.join(stored(cuts), ["_g", "_name"]).groupBy("_g", "_name", "_i", "_low", "_high", "_cuts", F.when(on, 2 * below - 1).otherwise(2 * below).alias("_b")).agg(F.count("*").alias("_c"))
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy("_g", "_name").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 2 CUTS + 3 parts at most
+        own = stored(parts.withColumn("_before", before).where((F.col("_before") <= F.col("_i")) & (F.col("_i") < F.col("_before") + F.col("_c"))))
+        half = F.floor(F.col("_b") / 2).cast("int")
+        answers.append(own.where("_b % 2 = 1").select("_g", "_name", F.get("_cuts", half).alias("_v")))
+        wanted = own.where("_b % 2 = 0").select("_g", F.col("_c").alias("_n"), "_name", (F.col("_i") - F.col("_before")).alias("_i"), F.coalesce(F.get("_cuts", half - 1), "_low").alias("_low"), F.coalesce(F.get("_cuts", half), "_high").alias("_high"))
+        wanted = stored(wanted)
+    every = answers[0]
+    for more in answers[1:]:
+        every = every.unionByName(more)
+    out = every.groupBy("_g").agg(*[F.max(F.when(F.col("_name") == name, F.col("_v"))).alias(name) for name in shares])
+    return out.select(*[F.col("_g")[c].alias(c) for c in group], *shares)

@@ -33,16 +33,42 @@ def no_end(nodes: DataFrame, edges: DataFrame, key: str, src: str, dst: str) ->
     return nodes.join(ends, key, "left_anti")
 
 
+#: Items of a value up to which they are paired in one task; a fuller value is dealt in blocks.
+VALUE_ROWS = 1_000
+
+
 def shared_attribute_pairs(bridge: DataFrame, item: str, attribute: str, salt: int = 1) -> DataFrame:
     """(a, b, shared) of items a < b with a common attribute value and the number of common values.
 
-    With salt > 1 the rows of a value are dealt over so many keys on one side and copied to all of
-    them on the other, for values that very many items share.
+    A value with more than VALUE_ROWS items is cut into blocks of about that many by a hash of the item,
+    and each block meets itself and the later ones, so that no task pairs more than two blocks. With salt > 1
+    every value has at least so many blocks.
     """
     rows = bridge.select(F.col(item).alias("_i"), F.col(attribute).alias("_v")).where("_i is not null and _v is not null").distinct()
-    left = rows.select(F.col("_i").alias("a"), "_v", F.pmod(F.xxhash64("_i"), F.lit(salt)).alias("_s"))
-    right = rows.select(F.col("_i").alias("b"), "_v", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_s"))
-    return left.join(right, ["_v", "_s"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    full = rows.groupBy("_v").agg(F.ceil(F.count("*") / VALUE_ROWS).cast("int").alias("_blocks")).where("_blocks > 1")
+    own = rows.join(full, "_v", "left").withColumn("_blocks", F.greatest(F.coalesce("_blocks", F.lit(1)), F.lit(salt))).withColumn("_at", F.pmod(F.xxhash64("_i"), F.col("_blocks")).cast("int"))
+    left = own.select(F.col("_i").alias("_x"), "_v", F.col("_at").alias("_p"), F.explode(F.sequence(F.col("_at"), F.col("_blocks") - 1)).alias("_q"))
+    right = own.select(F.col("_i").alias("_y"), "_v", F.col("_at").alias("_q"), F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("_p"))
+    met = left.join(right, ["_v", "_p", "_q"]).where("_p < _q or _x < _y")
+    return met.groupBy(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def band_join(left: DataFrame, right: DataFrame, tolerance: float, width: float) -> DataFrame:
+    """Rows (x: left, y: right) whose intervals [start, end] are at most `tolerance` apart; no key is equal, no nested loop is planned.
+
+    Both have columns start and end; rows with a null end, or an end before their start, meet nothing. An
+    interval stands in each cell of `width` that it touches, the left one widened by the tolerance; a
+    pair meets in the first cell that both have and nowhere else. A width near the usual length of the
+    intervals keeps copies few.
+    """
+    cell = lambda c: F.floor(c / F.lit(float(width)))
+    whole = "start is not null and end is not null and start <= end"
+    one = left.where(whole).select(F.struct(*left.columns).alias("x"), cell(F.col("start") - tolerance).alias("_xa"), cell(F.col("end") + tolerance).alias("_xb"))
+    two = right.where(whole).select(F.struct(*right.columns).alias("y"), cell(F.col("start")).alias("_ya"), cell(F.col("end")).alias("_yb"))
+    one = one.select("x", "_xa", F.explode(F.sequence("_xa", "_xb")).alias("_cell"))
+    two = two.select("y", "_ya", F.explode(F.sequence("_ya", "_yb")).alias("_cell"))
+    gap = F.greatest("x.start", "y.start") - F.least("x.end", "y.end")
+    return one.join(two, "_cell").where((F.col("_cell") == F.greatest("_xa", "_ya")) & (gap <= tolerance)).select("x", "y")
 
 
 def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gristmill.operators import joins as J
+from gristmill.operators import quotes as Q
 from gristmill.plans.registry import query, table
 
 #: Documents stand for items and lines for links: an order is an item, its parts are the concepts.
@@ -217,10 +217,20 @@ def j32(spark, d):
 
 @query("j33_quote_located", "SELECT i.item_id, d.doc_id FROM (SELECT item_id, text AS q FROM benchmark) i JOIN documents d ON contains(d.text, i.q) QUALIFY row_number() OVER (PARTITION BY i.item_id ORDER BY length(i.q) DESC, d.doc_id) = 1")
 def j33(spark, d):
-    quotes = table(spark, d, "benchmark").select("item_id", F.col("text").alias("q"))
-    quotes = F.broadcast(quotes) if quotes.limit(100_001).count() <= 100_000 else quotes
-    hits = table(spark, d, "documents").select("doc_id", "text").join(quotes, F.col("text").contains(F.col("q"))).select("item_id", "doc_id", "q")
-    return hits.withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy(F.length("q").desc(), "doc_id"))).where("r = 1").select("item_id", "doc_id")
+    texts, quotes = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return Q.located(texts, quotes).groupBy(F.col("quote_id").alias("item_id")).agg(F.min("id").alias("doc_id"))
+
+
+_SPANS = "(SELECT p_partkey AS id, p_retailprice::DOUBLE AS a, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice::DOUBLE + p_size / 100 END AS b FROM part)"
+
+
+@query("j29_band_join", f"SELECT x.id AS x, y.id AS y, CASE WHEN greatest(x.a, y.a) - least(x.b, y.b) <= 0.05 THEN 'overlap' ELSE 'near' END AS relation FROM {_SPANS} x JOIN {_SPANS} y ON x.id < y.id AND greatest(x.a, y.a) - least(x.b, y.b) <= 0.2 AND x.b IS NOT NULL AND y.b IS NOT NULL")
+def j29_band(spark, d):
+    """Price spans of parts as intervals: overlap within 0.05, near within 0.2; no equal key."""
+    price = F.col("p_retailprice").cast("double")
+    spans = table(spark, d, "part").select(F.col("p_partkey").alias("id"), price.alias("start"), F.when(F.col("p_partkey") % 7 != 0, price + F.col("p_size") / 100).alias("end"))
+    near = J.band_join(spans, spans, 0.2, 0.5).where("x.id < y.id")
+    return near.select(F.col("x.id").alias("x"), F.col("y.id").alias("y"), J.interval_relation(F.col("x.start"), F.col("x.end"), F.col("y.start"), F.col("y.end"), 0.05, 0.2).alias("relation"))
 
 
 @query("j34_three_counts", "SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n_done, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) AS n_large FROM customer")

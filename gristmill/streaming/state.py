@@ -44,14 +44,23 @@ def admit(times: list[float], held: list[float], most: int, seconds: float) -> t
 
 
 def limiter(df: DataFrame, key: str, ts: str, order: str, most: int, seconds: int) -> DataFrame:
-    """df with `allowed`. Each decision depends on earlier ones, so that a key is one sequential pass over its rows."""
+    """df with `allowed`. Each decision depends on earlier ones of the window, so that a run of calls without a gap of `seconds` is one sequential pass.
+
+    After such a gap nothing is held any more: a key's runs are groups of their own, and in one of up to
+    `most` calls all are admitted.
+    """
     schema = df.withColumn("allowed", F.lit(True)).schema
+    w = Window.partitionBy(key).orderBy(ts, order)
+    gap = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")) - F.lag(F.unix_micros(F.col(ts).cast("timestamp"))).over(w) >= seconds * 1_000_000, F.lit(False))
+    runs = df.withColumn("_gap", gap).withColumn("_run", F.sum(F.col("_gap").cast("int")).over(w)).drop("_gap")
+    runs = runs.withColumn("_calls", F.count("*").over(Window.partitionBy(key, "_run")))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([ts, order], kind="stable")
-        return rows.assign(allowed=admit([t.timestamp() for t in rows[ts]], [], most, seconds)[0])
+        return rows.assign(allowed=admit([t.timestamp() for t in rows[ts]], [], most, seconds)[0])[[f.name for f in schema]]
 
-    return df.groupBy(key).applyInPandas(run, schema)
+    few = runs.where(F.col("_calls") <= most).withColumn("allowed", F.lit(True)).select([f.name for f in schema])
+    return few.unionByName(runs.where(F.col("_calls") > most).groupBy(key, "_run").applyInPandas(run, schema))
 
 
 def stream_limiter(stream: DataFrame, key: str, ts: str, order: str, most: int, seconds: int) -> DataFrame:
