@@ -132,9 +132,20 @@ def modularity(links: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return own / whole - resolution * squares / whole**2 if whole else 0.0
 
 
-def _settle(links: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """(id, label): each node in the community that gains most, by rounds in which about half of the nodes may move."""
-    nodes = stored(links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k")).withColumn("label", F.col("id")))
+def _labelled(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """links with la and lb, the labels of their ends."""
+    return links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
+
+
+def _settle(links: DataFrame, resolution: float, rounds: int, labels: DataFrame | None = None, inside: DataFrame | None = None) -> DataFrame:
+    """(id, label): each node in the community that gains most, by rounds in which about half of the nodes may move.
+
+    Nodes begin alone or with `labels`; with `inside` (id, label) they join neighbours of their own label there only.
+    """
+    nodes = links.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("k"))
+    nodes = stored(nodes.withColumn("label", F.col("id")) if labels is None else nodes.join(labels, "id"))
+    if inside is not None:
+        links = stored(_labelled(links, inside).where("la = lb").select("a", "b", "w"))
     whole = nodes.agg(F.sum("k")).first()[0] or 1.0
     still = 0
     for step in range(rounds):
@@ -174,21 +185,97 @@ def modular_communities(adjacency: DataFrame, min_size: int = 1, resolution: flo
             break
         best = value
         members = stored(members.withColumnRenamed("label", "_l").join(labels.withColumnRenamed("id", "_l"), "_l").select("id", "label"))
-        named = links.join(labels.select(F.col("id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("label").alias("lb")), "b")
-        links = stored(named.groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")))
+        links = stored(_labelled(links, labels).groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")))
+    named = members.groupBy("label").agg(F.min("id").alias("community"), F.count("*").alias("n")).where(F.col("n") >= min_size)
+    return members.join(named, "label").select("id", "community")
+
+
+def _whole(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels with each community's connected parts as communities of their own, named by their smallest node."""
+    own = _labelled(links.where("a < b"), labels).where("la = lb").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return stored(labels.select("id").join(components(own), "id", "left").select("id", F.coalesce("root", "id").alias("label")))
+
+
+def leiden(adjacency: DataFrame, min_size: int = 1, resolution: float = 1.0, levels: int = 4, rounds: int = 6) -> DataFrame:
+    """(id, community) by moving, refining and shrinking, level by level; every community is connected.
+
+    Nodes move to the community that gains most (RB configuration). Then each community is refined: its
+    nodes begin alone again and join each other inside of it only, and what does not hang together is
+    parted. The graph shrinks to the refined parts, which begin the next level in the community that
+    they came from, so that a part can still leave it. adjacency: (a, b, w), undirected. Every step is
+    a join or an aggregate; a level that doesn't raise the modularity ends the search.
+    """
+    way = adjacency.select("a", "b", F.col("w").cast("double").alias("w"))
+    links = stored(way.unionByName(way.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    place = stored(links.select(F.col("a").alias("id")).distinct().withColumn("node", F.col("id")))
+    members, labels = place.select("id", F.col("node").alias("label")), None
+    best = modularity(links, members, resolution)
+    for _ in range(levels):
+        parts = _whole(links, _settle(links, resolution, rounds, labels))
+        value = modularity(links, parts, resolution)
+        if value <= best + 1e-9:
+            break
+        best = value
+        members = stored(place.join(parts.select(F.col("id").alias("node"), "label"), "node").select("id", "label"))
+        refined = _whole(links, _settle(links, resolution, rounds, inside=parts))
+        place = stored(place.join(refined.select(F.col("id").alias("node"), F.col("label").alias("to")), "node").select("id", F.col("to").alias("node")))
+        came = refined.withColumnRenamed("label", "to").join(parts, "id")
+        name = came.groupBy("label").agg(F.min("to").alias("name"))
+        labels = stored(came.join(name, "label").select(F.col("to").alias("id"), F.col("name").alias("label")).distinct())
+        links = stored(_labelled(links, refined).groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("w").alias("w")))
     named = members.groupBy("label").agg(F.min("id").alias("community"), F.count("*").alias("n")).where(F.col("n") >= min_size)
     return members.join(named, "label").select("id", "community")
 
 
+def betweenness_by_levels(edges: DataFrame, states: int = 20_000_000) -> DataFrame:
+    """(id, betweenness) as betweenness() gives it, for graphs of any size: searches of many sources at once, level by level, as joins.
+
+    A level holds (source, node, number of shortest paths). In an undirected graph the next one has only
+    nodes that aren't in the last two, so that no table of all seen nodes is kept. Dependencies go back
+    along the same levels. Sources are dealt in batches, so that one holds `states` rows at most.
+    """
+    simple = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    links = stored(simple.unionByName(simple.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    nodes = stored(links.select(F.col("a").alias("id")).distinct())
+    n = nodes.count()
+    batches, sums = max(1, -(-n * n // states)), []
+    for batch in range(batches):
+        front = stored(nodes.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == batch).select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
+        levels = [front]
+        while not front.isEmpty():
+            step = front.withColumnRenamed("v", "a").join(links, "a").groupBy("s", F.col("b").alias("v")).agg(F.sum("paths").alias("paths"))
+            for near in levels[-2:]:
+                step = step.join(near.select("s", "v"), ["s", "v"], "left_anti")
+            front = stored(step)
+            levels.append(front)
+        depend = levels.pop().select("s", "v", F.lit(0.0).alias("d"))  # empty
+        for far, near in zip(reversed(levels[1:]), reversed(levels[:-1]), strict=True):
+            own = stored(far.join(depend, ["s", "v"], "left").select("s", "v", "paths", F.coalesce("d", F.lit(0.0)).alias("d")))
+            sums.append(own.groupBy(F.col("v").alias("id")).agg(F.sum("d").alias("d")))
+            share = own.select("s", F.col("v").alias("a"), ((1 + F.col("d")) / F.col("paths")).alias("part")).join(links, "a").select("s", F.col("b").alias("v"), "part")
+            depend = share.join(near, ["s", "v"]).groupBy("s", "v").agg(F.sum(F.col("part") * F.col("paths")).alias("d"))
+        sums = [stored(_sum(sums))] if sums else []
+    total = sums[0] if sums else nodes.select("id", F.lit(0.0).alias("d"))
+    return nodes.join(total, "id", "left").select("id", F.round(F.coalesce("d", F.lit(0.0)) / 2, 4).alias("betweenness"))
+
+
+def _sum(parts: list[DataFrame]) -> DataFrame:
+    """(id, d): the sums of d over all parts."""
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("id").agg(F.sum("d").alias("d"))
+
+
 def betweenness(edges: DataFrame) -> DataFrame:
     """(id, betweenness) of the simple undirected graph, exact: one search per source, sources dealt over the tasks.
 
-    The adjacency goes to every task, so the graph must not exceed LOCAL_EDGES.
+    The adjacency of up to LOCAL_EDGES edges goes to every task; a larger graph is searched by joins.
     """
     simple = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     rows = simple.limit(LOCAL_EDGES + 1).toPandas()
     if len(rows) > LOCAL_EDGES:
-        raise ValueError(f"betweenness is for graphs of up to {LOCAL_EDGES} edges")
+        return betweenness_by_levels(edges)
     near: dict[int, list[int]] = {}
     for a, b in zip(rows["a"].tolist(), rows["b"].tolist(), strict=True):
         near.setdefault(a, []).append(b)

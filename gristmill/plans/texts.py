@@ -267,7 +267,7 @@ def f61(spark, d):
 
 @query("f62_phrase_edges_with_evidence")
 def f62(spark, d):
-    found = Q.relation_edges(F.col("text"), ["the", "and", "that", "with"], {"derives": r"\bof\b", "prerequisite": r"\bin\b"})
+    found = Q.relation_edges(F.col("text"), ["the", "and", "that", "with"], {"derives": r"\bof\b", "prerequisite": r"\bin\b"}, r"\b(?:not|never)\W*$")
     edge = ["src", "dst", "relation"]
     e = _docs(spark, d).select("doc_id", F.explode(found).alias("e")).select("doc_id", "e.*").groupBy(*edge, "doc_id").agg(F.count("*").alias("n"))
     first = per_group(e, edge, [F.col("doc_id")], 3).groupBy(*edge).agg(F.array_sort(F.collect_list("doc_id")).alias("evidence"))

@@ -192,6 +192,9 @@ def test_ids_are_the_first_bits_of_the_digest(spark):
         assert len(got) == 26 and n == int(hashlib.sha256(f"{t}|ulid".encode()).hexdigest(), 16) >> 126
 
 
+SIGNALS = {"prerequisite": r"\b(?:based on|requires?|depends on|builds? on)\b", "subsumes": r"\b(?:includes?|consists? of)\b", "derives": r"\b(?:leads? to|implies|causes?)\b"}
+
+
 @pytest.mark.parametrize(("text", "edges"), [
     ("Free Trade leads to lower prices.", [("free trade", "lower price", "derives")]),
     ("Game theory requires set theory.", [("set theory", "game theory", "prerequisite")]),
@@ -205,7 +208,7 @@ def test_ids_are_the_first_bits_of_the_digest(spark):
     (None, []),
 ])
 def test_relation_edges(spark, text, edges):
-    found = sequential.relation_edges(F.col("t"), ["free trade", "lower price", "game theory", "set theory"])
+    found = sequential.relation_edges(F.col("t"), ["free trade", "lower price", "game theory", "set theory"], SIGNALS, r"\b(?:not|never|without)\W*$")
     assert [tuple(x) for x in spark.createDataFrame([(text,)], "t string").select(found).first()[0]] == edges
 
 
