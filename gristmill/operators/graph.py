@@ -196,10 +196,10 @@ def _whole(links: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(labels.select("id").join(components(own), "id", "left").select("id", F.coalesce("root", "id").alias("label")))
 
 
-def leiden(adjacency: DataFrame, min_size: int = 1, resolution: float = 1.0, levels: int = 4, rounds: int = 6) -> DataFrame:
+def leiden(adjacency: DataFrame, min_size: int = 1, resolution: float = 1.0, levels: int = 2, rounds: int = 6) -> DataFrame:
     """(id, community) by moving, refining and shrinking, level by level; every community is connected.
 
-    Nodes move to the community that gains most (RB configuration). Then each community is refined: its
+    The search begins with modular_communities. Nodes move to the community that gains most (RB configuration). Then each community is refined: its
     nodes begin alone again and join each other inside of it only, and what does not hang together is
     parted. The graph shrinks to the refined parts, which begin the next level in the community that
     they came from, so that a part can still leave it. adjacency: (a, b, w), undirected. Every step is
@@ -208,11 +208,12 @@ def leiden(adjacency: DataFrame, min_size: int = 1, resolution: float = 1.0, lev
     way = adjacency.select("a", "b", F.col("w").cast("double").alias("w"))
     links = stored(way.unionByName(way.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
     place = stored(links.select(F.col("a").alias("id")).distinct().withColumn("node", F.col("id")))
-    members, labels = place.select("id", F.col("node").alias("label")), None
-    best = modularity(links, members, resolution)
+    labels = stored(modular_communities(adjacency, 1, resolution).select("id", F.col("community").alias("label")))
+    members, best = labels, -1.0
     for _ in range(levels):
-        parts = _whole(links, _settle(links, resolution, rounds, labels))
-        value = modularity(links, parts, resolution)
+        tried = [_whole(links, labels), _whole(links, _settle(links, resolution, rounds, labels))]
+        values = [modularity(links, t, resolution) for t in tried]
+        value, parts = max(values), tried[values.index(max(values))]
         if value <= best + 1e-9:
             break
         best = value
