@@ -7,7 +7,14 @@ weight; runs over a share of the page's mean weight are content. The outermost a
 holds most of the content is the article; without one it is the smallest element that does, widened
 to its headings and up to the parts of the page's frame. Its other runs belong to it too, unless they
 stand in a part that is marked as no content (menus, forms, adverts and the like). A mark does not
-count on a part that holds the page's article or most of its text.
+count on a part that holds the page's article or most of its text, nor, where the name is doubtful
+(related-work, side-by-side), on a part whose own ratios reach the page's mean weight. The only h1 of
+a page stays though a banner holds it. What nothing marks and whose ratios are those of an article,
+such as a notice or comments with names that say nothing, can't be told from it by one page.
+
+Defined results: a null or empty page has an empty text; repeated rows are rows like others; pages of
+any length or depth are read whole, in time linear in both; only the three columns are read, so that
+others may have any name; an empty table gives no rows.
 
 Scale: one narrow pass over the pages, one page in memory at a time, no shuffle. Paths are numbers, and
 what is known of an element is passed down or summed up once, so that deep nesting costs no more.
@@ -28,7 +35,7 @@ from pyspark.sql import functions as F
 #: Fixed lists from the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("script style noscript template textarea iframe svg math canvas object select title xmp noembed noframes audio video".split())
+RAW = frozenset("script style noscript template textarea iframe svg canvas object select title xmp noembed noframes audio video".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",)}
 #: Parts that are no content: by tag, and by words in class, id or role.
@@ -40,6 +47,8 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|di
 PUNCTUATION = re.compile(r"[,.;:!?、。，；：？！…]")
 #: Marks of parts that may hold more text than the article does.
 THREAD = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|reply|replies|respond|related|recommended)(?:$|[\s_-])", re.I)
+#: Marks that other names are made of as well, such as related-work and side-by-side: there the ratios decide.
+AMBIGUOUS = frozenset("side related recommended search notice alert banner promo share sharing social widget ad ads sponsored respond reply skip overlay toolbar menu consent login signup".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset("article main".split())
 ROOT = frozenset(("", "html", "body"))
@@ -49,13 +58,13 @@ CUT, HOLDS = 0.5, 0.8
 
 
 class Part:
-    """An element: its path's number, whether it is no content, its own mark (0 none, 1 fixed, 2 may be lifted, 3 of a thread), its nearest block and its parent."""
+    """An element: its path's number, whether it is no content, its own mark (0 none, 1 fixed, 2 may be lifted, 3 of a thread), whether its name leaves that open, its nearest block and its parent."""
 
-    __slots__ = ("tag", "path", "out", "marked", "words", "link", "up", "depth", "block", "inside")
+    __slots__ = ("tag", "path", "out", "marked", "words", "open", "link", "up", "depth", "block", "inside")
 
-    def __init__(self, tag: str, path: int, marked: int, up: Part | None, words: bool = False):
+    def __init__(self, tag: str, path: int, marked: int, up: Part | None, words: bool = False, open_: bool = False):
         self.tag, self.path, self.up, self.depth = tag, path, up, up.depth + 1 if up else 0
-        self.words = words
+        self.words, self.open = words, open_
         self.marked, self.out, self.link = marked, bool(marked or up and up.out), tag == "a" or bool(up and up.link)
         self.block: Part = self if tag in BLOCK or up is None else up.block
         self.inside = tag in ARTICLE or bool(up and up.inside)
@@ -103,6 +112,16 @@ def own_header(p: Part) -> bool:
     return not p.marked or p.tag == "header" and p.marked == 2 and not p.words
 
 
+def doubtful(label: str) -> bool:
+    """Whether each marked name in a label is made of an ambiguous mark and some other word."""
+    for name in label.split():
+        if MARKS.search(name):
+            words = [w for w in re.split(r"[_-]+", name.lower()) if w]
+            if all(MARKS.search(w) for w in words) or any(MARKS.search(w) and w not in AMBIGUOUS for w in words):
+                return False
+    return True
+
+
 def lift(found: list[tuple[str, Part, int]]) -> None:
     """Takes words' marks off parts that hold the page's main or only article, or most of the text outside fixed marks."""
     if not any(part.out for _, part, _ in found):
@@ -218,7 +237,7 @@ def runs(html: str) -> list[tuple[str, Part, int]]:
         else:
             no = 2 if words or tag == "form" or tag == "header" and not stack[-1].inside else 0
         mark = "." + ".".join(sorted(v for k, v in named if k == "class")) if any(k == "class" for k, _ in named) else ""
-        stack.append(Part(tag, paths.setdefault((stack[-1].path, tag + mark), len(paths) + 1), no, stack[-1], words))
+        stack.append(Part(tag, paths.setdefault((stack[-1].path, tag + mark), len(paths) + 1), no, stack[-1], words, words and tag != "form" and no != 1 and doubtful(label)))
         opened[tag] += 1
         opened[stack[-1].block, tag] += 1
     flush()
@@ -226,15 +245,21 @@ def runs(html: str) -> list[tuple[str, Part, int]]:
     return out
 
 
-def weights(found: list[tuple[str, Part, int]]) -> list[float]:
-    """Fused weight of each run from its path's smoothed ratios; runs in marked parts have none."""
+def ratios(found: list[tuple[str, Part, int]]) -> dict[int, tuple[float, float]]:
+    """By path the text, less what is linked, and the punctuation of a run."""
     totals: dict[int, list[float]] = {}
     for text, part, linked in found:
         t = totals.setdefault(part.path, [0, 0, 0])
         t[0] += max(0, len(text) - 2 * linked)
         t[1] += len(PUNCTUATION.findall(text))
         t[2] += 1
-    ratio = [(0.0, 0.0) if part.out else (totals[part.path][0] / totals[part.path][2], totals[part.path][1] / totals[part.path][2]) for _, part, _ in found]
+    return {path: (a / n, b / n) for path, (a, b, n) in totals.items()}
+
+
+def weights(found: list[tuple[str, Part, int]]) -> list[float]:
+    """Fused weight of each run from its path's smoothed ratios; runs in marked parts have none."""
+    by_path = ratios(found)
+    ratio = [(0.0, 0.0) if part.out else by_path[part.path] for _, part, _ in found]
 
     def smooth(x: list[float]) -> list[float]:
         wide = [x[0], *x, x[-1]]
@@ -246,6 +271,27 @@ def weights(found: list[tuple[str, Part, int]]) -> list[float]:
     return [0.0 if part.out else a * (1 + b) for (_, part, _), a, b in zip(found, length, marks, strict=True)]
 
 
+def readmit(found: list[tuple[str, Part, int]], mean: float) -> bool:
+    """Takes the marks off parts with a doubtful name of which most text has ratios of at least the page's mean weight."""
+    parts = tree(found)
+    # the outermost part with a mark, if no other kind of mark is on the way to the run
+    own = down(parts, lambda p, above: above if above is not None and not p.marked else (above or p) if p.marked and p.open and above is not False else False if p.marked else above)
+    by_path = ratios(found)
+    mass: dict[Part, list[int]] = {}
+    for text, part, linked in found:
+        if part.out and own[part]:
+            a, b = by_path[part.path]
+            m = mass.setdefault(own[part], [0, 0])
+            m[0] += len(text)
+            m[1] += len(text) if a * (1 + b) >= mean and 2 * linked < len(text) else 0
+    free = {p for p, (whole, good) in mass.items() if 2 * good >= whole}
+    if free:
+        for p, out in down(parts, lambda p, above: above or bool(p.marked and not (p.open and own[p] in free)), False).items():
+            if p:
+                p.out = out
+    return bool(free)
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by a newline; empty if there is none."""
     found = runs(html or "")
@@ -253,19 +299,30 @@ def main_text(html: str | None) -> str:
     usable = [w for w in weight if w > 0]
     if not usable:
         return ""
+    if readmit(found, sum(usable) / len(usable)):
+        weight = weights(found)
+        usable = [w for w in weight if w > 0]
     cut = CUT * sum(usable) / len(usable)
     parts = tree(found)
     article = find_article(found, parts, weight, cut)
     inside = down(parts, lambda p, above: above or p is article, False)
     # what stands in the article and in no marked part of it
-    own = down(parts, lambda p, above: p is article and not p.out and p.tag not in ROOT or above and own_header(p), False)
+    own = down(parts, lambda p, above: p is article and not p.out and p.tag not in ROOT or above and (own_header(p) or p.open and not p.out), False)
+    titles = [i for i, (_, part, _) in enumerate(found) if part.tag == "h1"]
+    title = titles[0] if len(titles) == 1 and headline(found[titles[0]][1]) else -1
     keep = []
-    for (text, part, _), w in zip(found, weight, strict=True):
-        if own[part] or not part.out and (inside[part] or article is None or w >= cut):
+    for i, ((text, part, _), w) in enumerate(zip(found, weight, strict=True)):
+        if i == title or own[part] or not part.out and (inside[part] or article is None or w >= cut):
             keep.append(text)
     return "\n".join(keep)
 
 
+def headline(part: Part) -> bool:
+    """Whether a page's only h1 is the article's although a part with a name like banner holds it: no fixed mark and no thread is around it."""
+    marks = [p for p in part.line() if p.marked]
+    return bool(marks) and all(p.marked == 2 and p.words and p.tag not in ("header", "form") for p in marks)
+
+
 def find_article(found: list[tuple[str, Part, int]], parts: list[Part], weight: list[float], cut: float) -> Part | None:
     mass = up(parts, ((part, len(text)) for (text, part, _), w in zip(found, weight, strict=True) if w >= cut))
     most = HOLDS * max(mass.values(), default=0)

@@ -594,3 +594,30 @@ def test_pipeline_against_stages(spark):
         assert docs.columns == kinds
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert 0 < docs.select("doc_id").distinct().count() < n and last.count() == docs.count()
+
+
+PARA = "A long paragraph, with words and commas, that goes on. " * 5
+
+
+@pytest.mark.parametrize(("page", "kept", "lost"), [
+    ("<nav>m</nav><article><h1>T</h1>{a}<section class='related-work'><h2>Related work</h2><p>Also, {p}</p></section></article>", ["Related work", "Also, "], ["m"]),
+    ("<div class=c><h1>T</h1>{a}<div class='side-by-side'><p>Also, {p}</p></div></div>", ["T", "Also, "], []),
+    ("<div class=c><h1>T</h1>{a}<p class='search-results'>Also, {p}</p></div>", ["T", "Also, "], []),
+    ("<div class='hero banner'><h1>Headline</h1></div><div class=c>{a}</div>", ["Headline"], []),
+    ("<article><p>Let <math><mi>x</mi></math> be it, {p}</p>{a}</article>", ["Let x be it"], []),
+    ("<article>{a}<div class='ad-slot'><p>Buy it, now!</p></div></article>", [], ["Buy it"]),
+    ("<article>{a}</article><div class='related'><p>Also, {p}</p></div>", [], ["Also, "]),
+    ("<article>{a}</article><div class='cookie-banner'><p>Also, {p}</p></div>", [], ["Also, "]),
+    ("<article>{a}<div class='comment-list'><p>Also, {p}{p}{p}</p></div></article>", [], ["Also, "]),
+    ("<header class=banner><h1>Site</h1></header><article><h1>Art</h1>{a}</article>", ["Art"], ["Site"]),
+])
+def test_ratios_decide_doubtful_names(page, kept, lost):
+    """Names made of an ambiguous mark and another word leave it to the ratios; plain marks hold; no article text is lost."""
+    got = html.main_text(page.format(a=f"<p>{PARA}</p>" * 3, p=PARA)).split("\n")
+    assert sum(x == PARA.strip() for x in got) == 3
+    assert all(any(x.startswith(k) for x in got) for k in kept) and not any(x.startswith(k) for x in got for k in lost)
+
+
+def test_pages_with_clashing_columns_and_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "u", f"<p>{PARA}</p>", "t", 3, "k")] * 2, "page_id long, url string, html string, text string, n_chars int, _key string")
+    assert [(r.page_id, r.text) for r in html.extract(rows).collect()] == [(1, PARA.strip())] * 2
