@@ -147,12 +147,25 @@ def _product(num: int, den: int, width: int):
     return run
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """(band, _key, root, i, j, left, right): members dealt to the products of blocks that they take part in.
+
+    Only those outside a bucket's largest component are still to be compared: their blocks, the first
+    ones, meet all blocks, and a block of the largest component meets these alone.
+    """
+    n = members.groupBy("band", "root").agg(F.count("*").alias("n"))
+    heads = n.groupBy("band").agg(F.max(F.struct("n", F.col("root").alias("r"))).alias("h"), F.sum("n").alias("all"))
+    heads = heads.select("band", "h.r", F.ceil((F.col("all") - F.col("h.n")) / BLOCK).cast("int").alias("out"), F.ceil(F.col("h.n") / BLOCK).cast("int").alias("own"))
+    inner = F.col("root") == F.col("r")
+    at = F.pmod(F.xxhash64("_key", "band"), F.when(inner, F.col("own")).otherwise(F.col("out"))).cast("int")
+    dealt = members.join(heads, "band").withColumn("block", F.when(inner, F.col("out")).otherwise(0) + at)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("out") - 1 + F.when(inner, 0).otherwise(F.col("own")))))
+    return dealt.select("band", "_key", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
+
+
 def _confirm_blocks(members: DataFrame, docs: DataFrame, key: str, text: str, similarity: tuple[int, int], width: int) -> DataFrame:
-    """(a, b): links between components inside the buckets of members (band, _key, root, size), block against block."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = members.select("band", "_key", "root", n.alias("n"), F.pmod(F.xxhash64("_key", "band"), F.ceil(F.col("size") / BLOCK)).cast("int").alias("block"))
-    dealt = dealt.select("band", "_key", "root", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-    dealt = dealt.select("band", "_key", "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
+    """(a, b): links between components inside the buckets of members (band, _key, root), block against block."""
+    dealt = _dealt(members)
     ids = small(written(members.select(F.col("_key").alias("_id")).distinct()))
     texts = docs.select(F.col(key).cast("long").alias("_id"), text_or_empty(text).alias("_t")).join(ids, "_id", "left_semi").dropDuplicates(["_id"])
     rows = dealt.join(texts, dealt["_key"] == texts["_id"]).select("band", "i", "j", "_key", "root", "left", "right", "_t")

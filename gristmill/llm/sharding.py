@@ -8,8 +8,8 @@ on the global byte line, which is cut into shards. Units that are large for a sh
 number: they are dealt first, largest to the emptiest shard, and the line of the others is cut so that
 it fills the shards up; shards differ by about two small units.
 
-Scale: the sample is bounded (OVERSAMPLE x ranges), so are the large units (UNITS); ranges are sized
-for one task, and no window or task holds more than a range or a part of a unit.
+Scale: the sample is bounded (OVERSAMPLE x ranges), so are the large units (2 UNITS), which are
+large by bytes or, such as a third of all rows with no text, by rows; ranges are sized for one task, and no window or task holds more than a range or a part of a unit.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ OVERSAMPLE = 4
 OVERFULL = 2
 #: Up to so many splitters stand in the plan one by one.
 LITERALS = 4_096
-#: A unit above 1 / HEAVY of a shard is large, or above 1 / UNITS of all.
+#: A unit above 1 / HEAVY of a shard is large, or above 1 / UNITS of all, by bytes; by rows above PART_ROWS or 1 / UNITS of all.
 HEAVY, UNITS = 256, 65_536
 #: Rows of a part of a large unit; parts of a shard that an overfull unit is cut into.
 PART_ROWS, PIECES = 50_000, 4
@@ -84,9 +84,9 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, key: str = "doc_id", text: st
     spark: SparkSession = docs.sparkSession
     body = text_or_empty(text)
     keyed = written(docs.select(F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("_id"), F.crc32(body.cast("binary")).alias("_crc"), F.xxhash64(body).alias("_h"), (F.octet_length(body) + 8).cast("long").alias("size")))
-    total = keyed.agg(F.sum("size")).first()[0] or 0
-    limit = total // min(UNITS, n_shards * HEAVY)
-    large = sorted(map(tuple, keyed.groupBy("_crc", "_h").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where(F.col("b") > limit).collect()))  # fewer than UNITS
+    total, rows = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    limit, most = total // min(UNITS, n_shards * HEAVY), max(PART_ROWS, rows // UNITS)
+    large = sorted(map(tuple, keyed.groupBy("_crc", "_h").agg(F.sum("size").alias("b"), F.count("*").alias("n")).where((F.col("b") > limit) | (F.col("n") > most)).collect()))  # fewer than 2 UNITS
     dealt, load, held = deal(large, total, n_shards)
     marks = F.broadcast(spark.createDataFrame([(c, h, u, n) for u, (c, h, _, n) in enumerate(large)], "_crc long, _h long, _unit long, _n long"))
     marked = keyed.join(marks, ["_crc", "_h"], "left")

@@ -621,3 +621,39 @@ def test_ratios_decide_doubtful_names(page, kept, lost):
 def test_pages_with_clashing_columns_and_repeated_rows(spark):
     rows = spark.createDataFrame([(1, "u", f"<p>{PARA}</p>", "t", 3, "k")] * 2, "page_id long, url string, html string, text string, n_chars int, _key string")
     assert [(r.page_id, r.text) for r in html.extract(rows).collect()] == [(1, PARA.strip())] * 2
+
+
+def test_one_outsider_deals_a_large_bucket_once(spark, monkeypatch):
+    """A bucket of 1,500 members of one component and one outsider: each member is dealt to one block, the outsider to all."""
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    members = spark.createDataFrame([(1, i, 0) for i in range(1500)] + [(1, 5000, 5000)], "band long, _key long, root long")
+    rows = minhash._dealt(members).collect()
+    assert len(rows) == 1500 + 1 + 15 and sum(r._key == 5000 for r in rows) == 16
+    three = spark.createDataFrame([(1, i, i % 3) for i in range(30)], "band long, _key long, root long")
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    met = collections.defaultdict(list)
+    for r in minhash._dealt(three).collect():
+        met[r.i, r.j].append(r)
+    pairs = collections.Counter(frozenset((x._key, y._key)) for own in met.values() for x in own for y in own if x._key < y._key and x.root != y.root and (x.left and y.right or x.right and y.left))
+    assert pairs == {frozenset((a, b)): 1 for a in range(30) for b in range(a) if a % 3 != b % 3}
+
+
+def test_rows_without_text_are_a_large_unit(spark, monkeypatch):
+    """10,000 empty and null texts, few bytes of all, are parted by rows; shards stay even and slots gapless."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 500)
+    rows = [(i, None if i % 2 else "", "x") for i in range(10_000)] + [(20_000 + i, f"text {i} " * 4000, "x") for i in range(300)]
+    seen = []
+    plain = sharding.running
+
+    def running(df, within, ranges, *rest):
+        seen.append((within, df.groupBy(*within, *ranges).count().agg({"count": "max"}).first()[0] or 0))
+        return plain(df, within, ranges, *rest)
+
+    monkeypatch.setattr(sharding, "running", running)
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string"), 6).collect()
+    assert len(got) == len(rows) and all(n <= 800 for within, n in seen if within == ["_unit"]) and max(n for _, n in seen) <= 800
+    load, slots = collections.Counter(), collections.defaultdict(list)
+    for r in got:
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and max(load.values()) - min(load.values()) < 3 * 40_000
