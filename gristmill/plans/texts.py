@@ -42,6 +42,15 @@ def f05(spark, d):
     return _docs(spark, d).where("not contains(text, '#')").select("doc_id", S.derived_title(F.col("text")).alias("title"))
 
 
+_TITLED = "CASE WHEN doc_id % 3 = 0 THEN text || chr(10) || '##  ' || source ELSE text END"
+
+
+@query("f05_titles_by_heading", f"SELECT doc_id, substr(coalesce(regexp_replace(list_filter(x, lambda y: regexp_matches(y, '^#+ +[^ ]'))[1], '^#+ +', ''), list_filter(x, lambda y: length(y) >= 4)[1]), 1, 120) AS title FROM (SELECT doc_id, list_transform(string_split({_TITLED}, chr(10)), lambda y: trim(y)) AS x FROM documents)")
+def f05_titles(spark, d):
+    """All documents, every third with its source as a heading behind its text."""
+    return _docs(spark, d).select("doc_id", S.derived_title(F.expr(_TITLED.replace("chr(10)", "'\n'"))).alias("title"))
+
+
 @query("f06_snippet", "SELECT doc_id, substr(trim(regexp_replace(regexp_replace(text, '[#*_`>()|\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 400) AS snippet FROM documents")
 def f06(spark, d):
     return _docs(spark, d).select("doc_id", S.snippet(F.col("text")).alias("snippet"))
@@ -74,6 +83,16 @@ def f09(spark, d):
     return pages.select("page_id", S.file_identity(F.col("url")).alias("name"), S.short_id(F.col("url").cast("binary")).alias("id"))
 
 
+_FILE = "lower(url) || CASE page_id % 4 WHEN 1 THEN '.PDF' WHEN 2 THEN ' (z-lib.org).epub' WHEN 3 THEN '-' || substr(md5(url), 1, 12) || '.txt' ELSE '' END"
+_IDENTITY = "regexp_replace(regexp_replace(regexp_replace(lower(f), '^.*/', ''), '\\.(pdf|epub|md|txt|html)$', ''), '[-_ ]*\\(?[0-9a-f]{8,}\\)?$', '')"
+
+
+@query("f09_file_names", f"SELECT page_id, trim(regexp_replace(regexp_replace({_IDENTITY}, '\\(?(z-lib|libgen|copy|download)[^)]*\\)?', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name FROM (SELECT page_id, {_FILE} AS f FROM pages)")
+def f09_names(spark, d):
+    """All pages as files, with extensions, download notes and ids."""
+    return table(spark, d, "pages").select("page_id", S.file_identity(F.expr(_FILE)).alias("name"))
+
+
 @query("f10_title_cleanup", "SELECT p_partkey, p_name AS title FROM part WHERE p_partkey % 3 = 0")
 def f10(spark, d):
     tagged = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" (www.books.example)"))).otherwise(F.col("p_name")).alias("t"))
