@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gristmill.operators import fusion as R
 from gristmill.operators import graph as G
 from gristmill.operators import joins as J
+from gristmill.operators import spectrum as P
 from gristmill.operators import topk as K
 from gristmill.plans.joins import COS, EDGES, VEC, edges
 from gristmill.plans.ordering import DIST, QUERY
@@ -159,6 +160,13 @@ def g18(spark, d):
     return spark.createDataFrame(sides).withColumn("lambda2", F.lit(round(value, 6)))
 
 
+@query("g18_spectral_communities")
+def g18_communities(spark, d):
+    """Eight communities of the largest component, with the sides of its weakest cut, computed by joins."""
+    values, placed = P.spectral_communities(_adjacency(spark, d), 8, tolerance=1e-3)
+    return placed.withColumn("lambda2", F.lit(round(values[1], 6) if len(values) > 1 else None).cast("double"))
+
+
 @query("g19_hubs", f"SELECT id, sum(w) AS w FROM (SELECT a AS id, w FROM {_ADJ} UNION ALL SELECT b, w FROM {_ADJ}) GROUP BY 1 ORDER BY w DESC, id LIMIT 10")
 def g19(spark, d):
     return G.hubs(_adjacency(spark, d), 10)
