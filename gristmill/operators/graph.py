@@ -367,3 +367,28 @@ def chains(edges: DataFrame, longest: int = 4) -> DataFrame:
         done = ended if done is None else done.unionByName(ended)
         paths = going
     return done.unionByName(paths).where(F.size("path") >= 3).distinct()
+
+
+def all_chains(edges: DataFrame) -> DataFrame:
+    """(path) of every way from a node without predecessors on to its end, of at least three nodes; without a bound on its length.
+
+    A path ends at a node without successors, or with the first node that it meets again. If every node has a
+    predecessor, the smallest node begins. No path is part of another one: it begins with a node that has no
+    predecessor, and where it ends nothing goes on. Null ends are no edges. There are as many rows as ways, which
+    in dense graphs is many; each step is a join of the growing paths with the edges.
+    """
+    links = stored(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    starts = links.select("src").distinct().join(links.select(F.col("dst").alias("src")), "src", "left_anti")
+    if starts.isEmpty():
+        starts = links.agg(F.min(F.least("src", "dst")).alias("src")).where("src is not null")
+    going, done = stored(starts.select(F.array("src").alias("path"))), []
+    while not going.isEmpty():
+        step = stored(going.withColumn("src", F.element_at("path", -1)).join(links, "src", "left").select(
+            F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst"))).alias("path"),
+            (F.col("dst").isNull() | F.array_contains("path", F.col("dst"))).alias("ends")))
+        done.append(step.where("ends and size(path) >= 3").select("path"))
+        going = step.where("not ends").select("path")
+    out = going if not done else done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
