@@ -128,3 +128,16 @@ def g20(spark, d):
     """Parts that need others, from those that no other part needs, down to the ground."""
     edges = table(spark, d, "part").where("p_partkey > 0").selectExpr("p_partkey as src", "p_partkey div 4 as dst")
     return graph.all_chains(edges).select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
+_FIRST = "(SELECT doc_id, translate(regexp_extract(text, '[A-Za-z]+'), 'ST', 'st') AS w FROM documents)"
+_SIGNS = "[aehinorst]"
+
+
+@query("f39_generic_reasons", f"""SELECT doc_id, w AS name, CASE WHEN w = '' THEN 'empty' WHEN length(w) = 1 THEN 'single' WHEN w IN ('the', 'and') THEN 'word' WHEN regexp_full_match(w, '{_SIGNS}+') THEN 'signs'
+WHEN length(w) <= 3 AND right(w, 1) IN ('d', 'u') THEN 'office' WHEN length(w) = 2 AND right(w, 1) = 'y' AND regexp_matches(w, '^{_SIGNS}') THEN 'people' WHEN ends_with(w, 'ion') OR ends_with(w, 'ment') THEN 'clan' END AS reason FROM (SELECT doc_id, coalesce(w, '') AS w FROM {_FIRST})""")
+def f39(spark, d):
+    """The first word of every document as a name, with lists for these invented languages."""
+    word = F.translate(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0), "ST", "st")
+    reason = N.generic_reason(F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]+", 0), ["the", "and"], list("aehinorst"), ["d", "u"], "y", ["ion", "ment"], {"S": "s", "T": "t"})
+    return table(spark, d, "documents").select("doc_id", word.alias("name"), reason.alias("reason"))
