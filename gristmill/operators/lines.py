@@ -14,11 +14,14 @@ def exploded(df: DataFrame, key: str, text: str) -> DataFrame:
 def without_repeated(df: DataFrame, key: str, text: str, least: int, low: int = 5, high: int = 250) -> DataFrame:
     """(key, text, dropped): texts without lines of low to high characters that stand `least` times or more in their document.
 
-    A document's lines are an array of its row: no line leaves its task.
+    A document's lines are an array of its row: no line leaves its task. Equal lines are neighbours once they are
+    sorted, so that a text of many lines takes no square of them.
     """
     lines = F.split(text, "\n")
-    often = F.filter(F.array_distinct("_l"), lambda x: (F.length(x) >= low) & (F.length(x) <= high) & (F.size(F.filter("_l", lambda y: y == x)) >= least))
-    rows = df.select(key, lines.alias("_l")).withColumn("_often", F.when(F.size("_l") >= least, often).otherwise(F.array().cast("array<string>")))
+    same = lambda x, i: F.get(F.col("_s"), i) == x
+    often = F.filter("_s", lambda x, i: same(x, i + (least - 1)) & ~F.coalesce(same(x, i - 1), F.lit(False)))
+    rows = df.select(key, lines.alias("_l")).withColumn("_s", F.array_sort(F.filter("_l", lambda x: F.length(x).between(low, high))))
+    rows = rows.withColumn("_often", F.when(F.size("_s") >= least, often).otherwise(F.array().cast("array<string>")))
     kept = F.filter("_l", lambda x: ~F.array_contains("_often", x))
     return rows.select(key, F.array_join(kept, "\n").alias(text), (F.size("_l") - F.size(kept)).cast("bigint").alias("dropped"))
 

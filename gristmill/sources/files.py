@@ -42,9 +42,13 @@ def _stem(c):
     return F.regexp_replace(F.regexp_replace(c, r"^.*/", ""), r"\.[^.]*$", "")
 
 
-def paired(texts: DataFrame, notes: DataFrame, path: str = "path") -> DataFrame:
-    """(stem, the columns of both): texts and notes whose paths have one stem; both must be there and the note's id not empty."""
-    named = lambda df: df.select(_stem(F.col(path)).alias("stem"), *[c for c in df.columns if c != path])
+def paired(texts: DataFrame, notes: DataFrame, path: str = "path", stem: str | None = None) -> DataFrame:
+    """(stem, the columns of both): texts and notes whose paths have one stem; both must be there and the note's id not empty.
+
+    A stem is the file's name without its extension, or what the first group of the pattern `stem` matches in the path.
+    """
+    key = _stem(F.col(path)) if stem is None else F.regexp_extract(path, stem, 1)
+    named = lambda df: df.select(key.alias("stem"), *[c for c in df.columns if c != path])
     return named(texts).join(named(notes).where("id is not null and id <> ''"), "stem")
 
 
@@ -57,12 +61,30 @@ def admitted(files: DataFrame, suffixes: Sequence[str], most_bytes: int, seen: D
     return hashed if seen is None else hashed.join(seen.select("hash"), "hash", "left_anti").select("path", "length", "hash")
 
 
-def documents_with_sidecars(spark: SparkSession, folder: str, schema: str = "id string, title string, medium string") -> DataFrame:
-    """Markdown files and their JSON sidecars, as paired() joins them."""
+def documents_with_sidecars(spark: SparkSession, folder: str, schema: str = "id string, title string, medium string", kind: str = "*.md", stem: str | None = None) -> DataFrame:
+    """Text files of a kind and their JSON sidecars anywhere below a folder, as paired() joins them."""
     path = F.col("_metadata.file_path").alias("path")
-    texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(folder).select(path, F.col("value").alias("text"))
-    notes = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).select(path, "*")
-    return paired(texts, notes)
+    below = spark.read.option("recursiveFileLookup", True)
+    texts = below.option("pathGlobFilter", kind).text(folder, wholetext=True).select(path, F.col("value").alias("text"))
+    notes = spark.read.option("recursiveFileLookup", True).schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder).select(path, "*")
+    return paired(texts, notes, stem=stem)
+
+
+def shelved(df: DataFrame, shelf: str, order: str, text: str, folder: str) -> None:
+    """Writes the texts as lines of one file a shelf, `<folder>/<shelf>=<value>/...txt`, in order; a null text is an empty line.
+
+    A shelf is written by one task: it must be small, as a range of ids is.
+    """
+    df.repartition(shelf).sortWithinPartitions(shelf, order).select(shelf, F.col(text).alias("value")).write.partitionBy(shelf).text(folder)
+
+
+def needs(spark: SparkSession, folder: str, most: int = 10) -> DataFrame:
+    """(topic, reason): the needs in JSON files (topic, reason, subtopics), each with its first subtopics as needs of their own; blank ones are left out."""
+    rows = spark.read.schema("topic string, reason string, subtopics array<string>").json(folder)
+    topic = F.coalesce("topic", F.lit(""))
+    subs = F.transform(F.slice(F.coalesce("subtopics", F.array().cast("array<string>")), 1, most), lambda x: F.struct(F.trim(x).alias("topic"), F.concat(F.lit("subtopic of "), topic).alias("reason")))
+    every = F.concat(F.array(F.struct(F.trim(topic).alias("topic"), F.col("reason").alias("reason"))), subs)
+    return rows.select(F.explode(every).alias("x")).select("x.topic", "x.reason").where("topic <> ''")
 
 
 def folder_scan(spark: SparkSession, folder: str, suffixes: Sequence[str], most_bytes: int, seen: DataFrame | None = None) -> DataFrame:
