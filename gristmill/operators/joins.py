@@ -155,6 +155,33 @@ def similar_pairs(df: DataFrame, key: str, vector: str, least: float, same: str
     return _products(df, df, key, vector, None, least, same=same, halves=True).select(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b"), "sim")
 
 
+def best_pairs(df: DataFrame, key: str, vector: str, k: int, same: str | None = None) -> DataFrame:
+    """(a, b, sim): the k most similar pairs a < b, within a group if `same` is given; of equal ones those of smaller keys.
+
+    A row passes on its k best partners of each block only: whatever goes before one of these for the row goes before it in
+    the whole order as well. Keys are unique; rows with a null vector, or a null in it, make no pair.
+    """
+    near = _products(df, df, key, vector, k, None, same=same, halves=True)
+    return near.select(F.least("q", "n").alias("a"), F.greatest("q", "n").alias("b"), "sim").orderBy(F.col("sim").desc(), "a", "b").limit(k)
+
+
+def pair_counts(df: DataFrame, group: str, attributes: list[str], verdict: Column) -> DataFrame:
+    """(verdict, n): how many pairs of rows of a group have each verdict, without making the pairs.
+
+    The verdict is symmetric and speaks of x.<attribute> and y.<attribute> only, so that rows with equal attributes count as one
+    with a number: what is joined are the different values of a group. Rows of a null group make no pair; null attributes are
+    equal to each other as values. n is a decimal, as pairs of large groups exceed a long.
+    """
+    kinds = df.where(F.col(group).isNotNull()).groupBy(group, *attributes).agg(F.count("*").alias("_n"))
+    x, y = F.col("x._n").cast("decimal(19,0)"), F.col("y._n").cast("decimal(19,0)")
+    equal = F.lit(True)
+    for name in attributes:
+        equal = equal & F.col(f"x.{name}").eqNullSafe(F.col(f"y.{name}"))
+    both = kinds.alias("x").join(kinds.alias("y"), F.col(f"x.{group}") == F.col(f"y.{group}"))
+    ordered = both.select(verdict.alias("verdict"), (x * F.when(equal, y - 1).otherwise(y)).alias("_p"))  # each pair twice
+    return ordered.groupBy("verdict").agg((F.sum("_p") / 2).cast("decimal(38,0)").alias("n")).where("n > 0")
+
+
 def new_pairs(df: DataFrame, new: DataFrame, key: str, vector: str, least: float) -> DataFrame:
     """Similar pairs with at least one new end: new x all, canonical, distinct."""
     fresh = df.join(new.select(key), key, "left_semi")

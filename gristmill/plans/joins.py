@@ -100,7 +100,7 @@ def j13(spark, d):
 
 @query("j14_same_group_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({COS}, 6) AS sim FROM {VEC} a JOIN {VEC} b ON a.vec_id < b.vec_id AND a.label = b.label ORDER BY sim DESC, a, b LIMIT 50")
 def j14(spark, d):
-    return J.similar_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", -2.0, same="label").orderBy(F.col("sim").desc(), "a", "b").limit(50)
+    return J.best_pairs(table(spark, d, "embeddings"), "vec_id", "embedding", 50, same="label")
 
 
 @query("j15_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -196,10 +196,8 @@ def j29(spark, d):
 
 @query("j30_pairwise_rules", "SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN x.p_type = y.p_type AND x.p_size = y.p_size THEN 'same' WHEN x.p_type = y.p_type OR abs(x.p_size - y.p_size) <= 2 THEN 'maybe' ELSE 'different' END AS verdict FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_partkey < y.p_partkey) GROUP BY 1")
 def j30(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    both = p.alias("x").join(p.alias("y"), F.expr("x.p_brand = y.p_brand and x.p_partkey < y.p_partkey"))
     verdict = F.expr("case when x.p_type = y.p_type and x.p_size = y.p_size then 'same' when x.p_type = y.p_type or abs(x.p_size - y.p_size) <= 2 then 'maybe' else 'different' end")
-    return both.select(verdict.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+    return J.pair_counts(table(spark, d, "part"), "p_brand", ["p_type", "p_size"], verdict).select("verdict", F.col("n").cast("bigint").alias("n"))
 
 
 @query("j31_edge_tier", f"SELECT e.src, e.dst, coalesce(t.tier, 'none') AS tier FROM {EDGES} e LEFT JOIN (SELECT least(src, dst) AS a, greatest(src, dst) AS b, CASE WHEN w >= 4 THEN 'strong' WHEN w >= 3 THEN 'medium' ELSE 'weak' END AS tier FROM {EDGES} WHERE w >= 2) t ON t.a = least(e.src, e.dst) AND t.b = greatest(e.src, e.dst)")
