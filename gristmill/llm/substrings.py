@@ -45,6 +45,8 @@ LENGTH, KEY = 50, 32
 BUCKET_BYTES = 6 << 20
 #: A key is hot if it has more neighbourhoods than HOT_ROWS, and than one in HOT_KEYS of all, as one document in SAMPLE tells.
 HOT_ROWS, HOT_KEYS, SAMPLE = 200_000, 1_000_000, 64
+#: Bytes that are hashed, and rows that are listed or sorted, at a time: hashes take many times their text's memory.
+PIECE, ROWS = 1 << 18, 1 << 15
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -82,6 +84,34 @@ def _neighbourhood(places: np.ndarray, doc: np.ndarray, offsets: np.ndarray, len
     return np.maximum(offsets[doc], places - (length - key)), np.minimum(offsets[doc + 1], places + length)
 
 
+def marked(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, key: int = KEY) -> tuple[np.ndarray, ...]:
+    """(places, document of each, key hashes, neighbourhoods' first bytes, ends and hashes) of all anchors, PIECE bytes of data at a time."""
+    out = []
+    for begin in range(0, max(1, len(data)), PIECE):
+        end = begin + PIECE
+        # the strings that hold a place reach this far; they alone tell whether it is an anchor
+        low, high = max(0, begin - (length - key)), min(len(data), end + length - 1)
+        one, two = int(np.searchsorted(offsets, low, "right")) - 1, int(np.searchsorted(offsets, high))
+        part = np.clip(offsets[one : two + 1], low, high) - low
+        places, doc, prefix = anchors(data[low:high], part, length, key)
+        mine = (places >= begin - low) & (places < end - low)
+        places, doc = places[mine], doc[mine]
+        first, last = _neighbourhood(places, doc, part, length, key)
+        out.append((places + low, doc + one, blocks.span_hash(prefix, places, places + key), first + low, last + low, blocks.span_hash(prefix, first, last)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _key_hashes(data: np.ndarray, places: np.ndarray, key: int) -> np.ndarray:
+    """Hash of the key at each place, PIECE bytes of data at a time."""
+    out, order = np.zeros(len(places), np.uint64), np.argsort(places, kind="stable")
+    for begin in range(0, len(data), PIECE):
+        a, b = np.searchsorted(places, (begin, begin + PIECE), sorter=order)
+        if a < b:
+            at = places[order[a:b]] - begin
+            out[order[a:b]] = blocks.span_hash(blocks.prefix_hash(data[begin : begin + PIECE + key]), at, at + key)
+    return out
+
+
 def _among(hashes: np.ndarray, hot: np.ndarray) -> np.ndarray:
     """Which hashes are hot (hot: sorted)."""
     if not len(hot):
@@ -117,16 +147,14 @@ def _pack(buckets: int, length: int, key: int, twins: bool, hot: np.ndarray):
         for batch in batches:
             ids, owns = batch.column("_id").to_numpy(), batch.column("_own").to_numpy()
             for row, data, offsets in blocks.text_blocks(batch.column("text")):
-                places, doc, prefix = anchors(data, offsets, length, key)
-                hashes = blocks.span_hash(prefix, places, places + key)
+                places, doc, hashes, first, last, spans = marked(data, offsets, length, key)
                 if len(hot):
                     cold = ~_among(hashes, hot)
-                    places, doc, hashes = places[cold], doc[cold], hashes[cold]
+                    places, doc, hashes, first, last, spans = (x[cold] for x in (places, doc, hashes, first, last, spans))
                 if not len(places):
                     continue
                 owner, self_ = ids[row + doc], owns[row + doc]
-                first, last = _neighbourhood(places, doc, offsets, length, key)
-                around = blocks.mix(blocks.span_hash(prefix, first, last) + (places - first).astype(np.uint64))
+                around = blocks.mix(spans + (places - first).astype(np.uint64))
                 place = (places - offsets[doc]).astype(np.uint32)
                 # of equal neighbourhoods in this block only the smallest document's goes on; the others are settled
                 order = np.lexsort((place, owner, around, hashes))
@@ -211,9 +239,13 @@ def _spans(length: int, key: int):
             out.append((own, begin, int(place[b - 1]) + length, None if known else int(src[a]), None if known else begin + int(shift[a]), [] if known else place[a:b].tolist()))
         return out
 
+    def listed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SPANS)], schema=_SPANS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
+            held = 0
             for own, parts in zip(batch.column("_own").to_pylist(), batch.column("parts"), strict=True):
                 parts = parts.values
                 flat = lambda c: parts.field(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: E731,B023
@@ -222,7 +254,11 @@ def _spans(length: int, key: int):
                     rows += joined(own, place, flat("src"), flat("at"), False)
                 if len(done):
                     rows += joined(own, done, np.zeros_like(done), done, True)
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SPANS)], schema=_SPANS)
+                held += len(place) + len(done)
+                if held >= ROWS:
+                    yield listed(rows)
+                    rows, held = [], 0
+            yield listed(rows)
     return run
 
 
@@ -305,14 +341,15 @@ def _fetch(buckets: int, length: int, key: int):
                 sizes = np.diff(lists.offsets.to_numpy())
                 doc = np.repeat(np.arange(docs), sizes)
                 places = lists.flatten().to_numpy() + offsets[doc]
-                prefix = blocks.prefix_hash(data)
-                hashes = blocks.span_hash(prefix, places, places + key)
+                hashes = _key_hashes(data, places, key)
                 first, last = _neighbourhood(places, doc, offsets, length, key)
                 whole, back = data.tobytes(), data[::-1].tobytes()
                 n = len(data)
-                heads = [back[n - p : n - f] for f, p in zip(first.tolist(), places.tolist(), strict=True)]
-                tails = [whole[p:e] for p, e in zip(places.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array(ids[row + doc]), pa.array(owns[row + doc]), pa.array((places - offsets[doc]).astype(np.int32)), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())], ["bucket", "key", "_id", "_own", "place", "head", "tail"])
+                for a in range(0, len(places), ROWS):
+                    h, p, d, f, e = (x[a : a + ROWS] for x in (hashes, places, doc, first, last))
+                    heads = [back[n - i : n - j] for j, i in zip(f.tolist(), p.tolist(), strict=True)]
+                    tails = [whole[i:j] for i, j in zip(p.tolist(), e.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)), pa.array(h.view(np.int64)), pa.array(ids[row + d]), pa.array(owns[row + d]), pa.array((p - offsets[d]).astype(np.int32)), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())], ["bucket", "key", "_id", "_own", "place", "head", "tail"])
     return run
 
 
@@ -328,7 +365,14 @@ def _groups(order: np.ndarray, lcp: np.ndarray, depth: int) -> np.ndarray:
 
 def _resolve(length: int, key: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("key", "ascending")])
+        """Whole keys, about ROWS anchors at a time."""
+        keys = table.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        heads = np.flatnonzero(np.diff(keys[order], prepend=keys[order[:1]] - 1))
+        cuts = heads[np.unique(heads // ROWS, return_index=True)[1]]
+        return pa.concat_tables([_HITS.empty_table(), *(some(table.take(order[a:b])) for a, b in zip(cuts, np.append(cuts[1:], len(keys)), strict=True))])
+
+    def some(table: pa.Table) -> pa.Table:
         segment, ids, owns, place = (table.column(c).to_numpy() for c in ("key", "_id", "_own", "place"))
         sides = []
         for name in ("head", "tail"):
@@ -364,9 +408,8 @@ def _keys(length: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, data, offsets in blocks.text_blocks(batch.column("text")):
-                places, doc, prefix = anchors(data, offsets, length, key)
-                first, last = _neighbourhood(places, doc, offsets, length, key)
-                pairs = np.stack((blocks.span_hash(prefix, places, places + key), blocks.span_hash(prefix, first, last)), axis=1)
+                _, _, hashes, _, _, spans = marked(data, offsets, length, key)
+                pairs = np.stack((hashes, spans), axis=1)
                 kinds, n = np.unique(np.unique(pairs, axis=0)[:, 0], return_counts=True)  # equal neighbourhoods of a block travel once
                 yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n)], ["key", "n"])
     return run
@@ -376,8 +419,8 @@ def _keys_at(key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, places in zip(batch.column("text"), batch.column("places"), strict=True):
-                prefix, at = blocks.prefix_hash(np.frombuffer(text.as_buffer(), np.uint8)), places.values.to_numpy().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(blocks.span_hash(prefix, at, at + key).view(np.int64))], ["key"])
+                hashes = _key_hashes(np.frombuffer(text.as_buffer(), np.uint8), places.values.to_numpy().astype(np.int64), key)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["key"])
     return run
 
 
@@ -387,8 +430,8 @@ def _hot_strings(length: int, key: int, hot: np.ndarray):
         for batch in batches:
             ids, owns = batch.column("_id").to_numpy(), batch.column("_own").to_numpy()
             for row, data, offsets in blocks.text_blocks(batch.column("text")):
-                places, doc, prefix = anchors(data, offsets, length, key)
-                use = np.flatnonzero(_among(blocks.span_hash(prefix, places, places + key), hot))
+                places, doc, hashes, *_ = marked(data, offsets, length, key)
+                use = np.flatnonzero(_among(hashes, hot))
                 whole, strings = data.tobytes(), {}
                 for p, d in zip(places[use].tolist(), doc[use].tolist(), strict=True):
                     for start in range(max(int(offsets[d]), p - (length - key)), min(p, int(offsets[d + 1]) - length) + 1):

@@ -7,9 +7,11 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -582,6 +584,49 @@ def test_every_repeated_window_has_an_anchor():
     assert blocks.plain_words(np.frombuffer(b"a bc", np.uint8), np.array([0, 0, 1, 4]))[2].tolist() == [0, 0, 1, 2]
 
 
+def test_anchors_of_pieces_are_those_of_the_block(monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (700, 0, 20, 49, 50, 51, 0, 333, 1400)] + ["a" * 300, "ab" * 120, ""]
+    for chosen in (texts, ["", ""], [], ["a" * 49], ["", "b" * 50]):
+        data = np.frombuffer("".join(chosen).encode(), np.uint8)
+        offsets = np.cumsum([0, *map(len, chosen)])
+        places, doc, prefix = substrings.anchors(data, offsets)
+        first, last = np.maximum(offsets[doc], places - 18), np.minimum(offsets[doc + 1], places + 50)
+        want = [places, doc, blocks.span_hash(prefix, places, places + 32), first, last, blocks.span_hash(prefix, first, last)]
+        for piece in (1, 31, 64, 1000, 1 << 18):
+            monkeypatch.setattr(substrings, "PIECE", piece)
+            assert [x.tolist() for x in substrings.marked(data, offsets)] == [x.tolist() for x in want]
+            mixed = np.array(rng.sample(places.tolist(), len(places)), np.int64)
+            assert (substrings._key_hashes(data, mixed, 32) == blocks.span_hash(prefix, mixed, mixed + 32)).all()
+
+
+@pytest.mark.parametrize("texts", [1000, 1])
+def test_memory_of_a_block_is_bounded(texts):
+    """Two blocks of many texts, or one text of two blocks' size."""
+    rng = np.random.default_rng(5)
+    each = 2 * blocks.BLOCK_BYTES // texts
+    batch = pa.RecordBatch.from_arrays([pa.array(range(texts)), pa.array(range(texts)), pa.array([rng.integers(97, 123, each, np.uint8).tobytes().decode() for _ in range(texts)])], ["_id", "_own", "text"])
+    blocks.powers(1), blocks.powers(1, True)  # kept for all blocks
+    for kernel in (substrings._pack(20, 50, 32, False, np.zeros(0, np.uint64)), substrings._keys(50, 32)):
+        tracemalloc.start()
+        for _ in kernel(iter([batch])):
+            pass
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 30 * batch.nbytes
+
+
+def test_open_anchors_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "ROWS", 5)
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    phrases = [noise(70) for _ in range(4)]
+    rows = [(i, noise(rng.randrange(0, 80)) + phrases[i % 4][: 50 + i % 21] + noise(rng.randrange(0, 80)) + phrases[i % 3] + noise(i % 9)) for i in range(120)]
+    want = cut_by_hand(rows)
+    got = substrings.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(str((r[0], *w[:4])) for r, w in zip(rows, want, strict=True))
+
+
 def test_pipeline_against_stages(spark):
     import corpus_pipeline
 
