@@ -49,6 +49,13 @@ def html_words(c: Column) -> Column:
     return F.size(F.array_remove(F.split(plain, r"\s+"), ""))
 
 
+def basic_references(c: Column) -> Column:
+    """The references that HTML itself needs (lt, gt, quot, apostrophes, amp), decoded where a semicolon ends them; amp last, so that nothing is decoded twice."""
+    for name, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return c
+
+
 def guessed_language(c: Column, head: int = 20_000) -> Column:
     """zh if more than a tenth of the first characters is Han, else en."""
     start = F.substring(c, 1, head)
