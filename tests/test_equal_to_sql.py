@@ -40,3 +40,17 @@ def test_titles_decode_as_sql_does(same):
 def test_titles_decoded_in_full(same):
     got = {r.page_id: r.title for r in same("f07_html_titles_decoded", pages=("page_id long, html string", PAGES))}
     assert got == {1: "a &", 2: "", 3: "&lt; <b> 'q' \" &amp;", 4: html.unescape("&eacute;&nbsp;&#228; &copy"), 5: None, 6: ""}
+
+
+ITEMS = [(1, "and.\nHa Fox  or"), (2, "学习机器 \n x"), (3, "a b"), (4, None), (5, "a"), (6, "not here")]
+TEXTS = [(1, "The fox and. a Ha", None), (2, "我学习机", None), (3, None, None), (4, "x", None), (5, "", None), (6, "HERE it is", None)]
+
+
+def test_coverage_as_sql_has_it(same):
+    got = {(r.item_id, r.term): r.covered for r in same("f34_coverage", benchmark=("item_id long, text string", ITEMS), documents=("doc_id long, text string, lang string", TEXTS))}
+    assert got[1, "and.\nHa"] is False and got[1, "Fox"] is True and got[2, "学习机器"] is False and got[3, "a"] is False
+
+
+def test_coverage_by_parts(same):
+    got = {(r.item_id, r.term): r.covered for r in same("f34_coverage_by_parts", benchmark=("item_id long, text string", ITEMS), documents=("doc_id long, text string, lang string", TEXTS))}
+    assert got[1, "and.\nHa"] and got[2, "学习机器"] and not got[1, "or"] and not got[3, "a"] and not got[5, "a"] and got[6, "here"] and not got[6, "not"]
