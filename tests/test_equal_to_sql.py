@@ -54,3 +54,11 @@ def test_coverage_as_sql_has_it(same):
 def test_coverage_by_parts(same):
     got = {(r.item_id, r.term): r.covered for r in same("f34_coverage_by_parts", benchmark=("item_id long, text string", ITEMS), documents=("doc_id long, text string, lang string", TEXTS))}
     assert got[1, "and.\nHa"] and got[2, "学习机器"] and not got[1, "or"] and not got[3, "a"] and not got[5, "a"] and got[6, "here"] and not got[6, "not"]
+
+
+def test_books_as_sql_has_them(same):
+    """A share on a tie of the first decimal (37 of 2,000), short lines that look like chapters, running heads, odd line ends."""
+    long, tie = "x" * 20, "\n".join(["b"] * 980 + ["bb", "y" * 22])
+    texts = [tie, f"# Chapter 1: a\n{long}", f"{long}\n# Chapter 2: b", "\n".join([long + "C H A P T E R 1"] * 5), None, "", "\n", f"{long}\r\n{long}\u2028# Chapter 9: z\n", "é🙂" * 10]
+    got = {r.doc_id: r for r in same("q13_book_acceptance", documents=("doc_id long, text string", list(enumerate(texts))))}
+    assert got[0].chapters == 1 and got[0].largest == 1.9 and got[2].chapters == 1 and got[3].accepted
