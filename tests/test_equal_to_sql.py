@@ -62,3 +62,16 @@ def test_books_as_sql_has_them(same):
     texts = [tie, f"# Chapter 1: a\n{long}", f"{long}\n# Chapter 2: b", "\n".join([long + "C H A P T E R 1"] * 5), None, "", "\n", f"{long}\r\n{long}\u2028# Chapter 9: z\n", "é🙂" * 10]
     got = {r.doc_id: r for r in same("q13_book_acceptance", documents=("doc_id long, text string", list(enumerate(texts))))}
     assert got[0].chapters == 1 and got[0].largest == 1.9 and got[2].chapters == 1 and got[3].accepted
+
+
+def test_interval_relations_are_counted_without_pairs(same):
+    """Null years, a null start, repeated and null keys, a null brand; the join is over years, not over parts."""
+    rows = [(k % 60, f"Brand#{k % 3}", k * 7 % 50) for k in range(90)] + [(None, "Brand#1", 3), (200, None, 3), (201, "Brand#1", None), (202, "Brand#2", 5), (202, "Brand#2", 5)]
+    assert {r.rel for r in same("j29_interval_relation", part=("p_partkey long, p_brand string, p_size int", rows))} == {"overlap", "near", "far", "unknown"}
+
+
+def test_interval_relations_of_a_large_brand(spark, tmp_path):
+    """100,000 parts of one brand are 5 billion pairs."""
+    n = 100_000
+    spark.range(n).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    assert sum(r.n for r in QUERIES["j29_interval_relation"](spark, str(tmp_path)).collect()) == n * (n - 1) // 2
