@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block; a task multiplies two.
-BLOCK = 2_048
+#: Rows of a block, rows of a tile: a task multiplies two blocks, tile by tile. A row is sent once for each block that it meets.
+BLOCK, TILE = 32_768, 2_048
 
 
 def pair(a: str, b: str) -> list[Column]:
@@ -80,56 +83,120 @@ def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
     return out / np.maximum(np.sqrt((out * out).sum(1)), 1e-12)[:, None]
 
 
-def _product(k: int | None, least: float | None, other_group: bool, halves: bool, schema: pa.Schema):
-    """Of two blocks the pairs (q, n, sim): all with sim >= least, or each query's k best; halves: a block with itself gives q < n only."""
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        right = right.sort_by("n")
-        q, n = left.column("q").to_numpy(), right.column("n").to_numpy()
-        a, b = _matrix(left.column("_v")), _matrix(right.column("_v"))
-        if a.shape[1] != b.shape[1]:
-            return schema.empty_table()
-        sim = np.round(a @ b.T, 6)
-        good = ~np.isnan(sim) & (q[:, None] != n[None, :])
-        if other_group:
-            good &= left.column("_o").to_numpy()[:, None] != right.column("_o").to_numpy()[None, :]
-        if least is not None:
-            good &= sim >= least
-        if halves and key[1].as_py() == key[2].as_py():
-            good &= q[:, None] < n[None, :]
+def _firsts(x: np.ndarray, y: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each x the k pairs of largest sim, of equal ones those of smaller y, and their ranks from 0."""
+    order = np.lexsort((y, -sim, x))
+    x, y, sim = x[order], y[order], sim[order]
+    start = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, int)
+    rank = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)]))
+    keep = rank < k
+    return x[keep], y[keep], sim[keep], rank[keep]
+
+
+def _best(tiles: Iterator[tuple[np.ndarray, np.ndarray]], a: np.ndarray, b: np.ndarray, good: Callable, k: int | None, least: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(x, y, sim) of the tiles of a @ b.T, tile by tile: all good pairs with sim >= least, or each x's k best at the end.
+
+    With k, a row's floor is what k of its pairs reach already, so that of later tiles few pairs are looked at. Floors lie one unit
+    of rounding below.
+    """
+    floor = np.full(len(a), -np.inf if least is None else least - 1e-6)
+    parts, pending = [], 0
+    for rows, cols in tiles:
+        sim = a[rows] @ b[cols].T
+        high = sim >= floor[rows][:, None]  # never of NaN
+        if k is not None and len(cols) > k and np.count_nonzero(high) > 8 * k * len(rows):
+            high &= good(rows[:, None], cols[None, :])
+            top = np.partition(np.where(high, sim, -np.inf), len(cols) - k, axis=1)[:, len(cols) - k]
+            floor[rows] = np.maximum(floor[rows], top - 1e-6)
+            high &= sim >= floor[rows][:, None]
+        i, j = np.nonzero(high)
+        x, y, s = rows[i], cols[j], np.round(sim[i, j], 6)
+        keep = good(x, y) if least is None else good(x, y) & (s >= least)
         if k is None:
-            x, y = np.nonzero(good)
-        else:  # the right side is in order of n, so that a stable sort breaks ties by it
-            y = np.argsort(np.where(good, -sim, np.inf), axis=1, kind="stable")[:, :k]
-            x = np.repeat(np.arange(len(q)), y.shape[1])
-            y = y.reshape(-1)
-            x, y = x[good[x, y]], y[good[x, y]]
-        return pa.Table.from_arrays([pa.array(q[x], schema.field("q").type), pa.array(n[y], schema.field("n").type), pa.array(sim[x, y])], schema=schema)
-    return run
+            yield x[keep], y[keep], s[keep]
+            continue
+        parts.append((x[keep], y[keep], s[keep]))
+        pending += len(parts[-1][0])
+        if pending > TILE * TILE // 8:
+            *held, rank = _firsts(*map(np.concatenate, zip(*parts, strict=True)), k)
+            last = rank == k - 1
+            floor[held[0][last]] = np.maximum(floor[held[0][last]], held[2][last] - 1e-6)
+            parts, pending = [tuple(held)], 0
+    if parts:
+        yield _firsts(*map(np.concatenate, zip(*parts, strict=True)), k)[:3]
+
+
+def _tiles(n: int, m: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for i in range(0, n, TILE):
+        for j in range(0, m, TILE):
+            yield np.arange(i, min(i + TILE, n)), np.arange(j, min(j + TILE, m))
+
+
+def swept(left: DataFrame, right: DataFrame, k: int | None, least: float | None, halves: bool = False, tiles: Callable | None = None) -> DataFrame:
+    """(q, n, sim) of the rows of both sides (_k, _v, _o, _x) that meet at equal (_g, _i, _j): all with sim >= least, or each q's k best there.
+
+    _o: a group that two rows must not share, unless it is null in the whole table; halves: where _i = _j, q < n only. `tiles` of the key and
+    both sides' _x says which rows and columns are multiplied, else all are. A task holds two blocks and one tile of products.
+    """
+    kind = right.schema["_k"].dataType.simpleString()
+    schema = pa.schema([("q", _arrow(kind)), ("n", _arrow(kind)), ("sim", pa.float64())])
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        one, two = table.filter(table.column("_left")), table.filter(pa.compute.invert(table.column("_left"))).sort_by("_k")  # ties are broken by place
+        if not len(one) or not len(two):
+            return
+        a, b = _matrix(one.column("_v")), _matrix(two.column("_v"))
+        if a.shape[1] != b.shape[1]:
+            return
+        q, n = one.column("_k").to_numpy(), two.column("_k").to_numpy()
+        if q.dtype == object:  # compared as numbers
+            codes = np.unique(np.concatenate([q, n]), return_inverse=True)[1]
+            q, n = codes[: len(q)], codes[len(q) :]
+        o, u = (None, None) if one.column("_o").null_count else (one.column("_o").to_numpy(), two.column("_o").to_numpy())
+        half = halves and key[1].as_py() == key[2].as_py()
+
+        def good(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = q[x] < n[y] if half else q[x] != n[y]
+            return out if o is None else out & (o[x] != u[y])
+
+        at = _tiles(len(q), len(n)) if tiles is None else tiles(key, one.column("_x"), two.column("_x"))
+        for x, y, sim in _best(at, a, b, good, k, least):
+            yield pa.RecordBatch.from_arrays([one.column("_k").take(pa.array(x)).combine_chunks(), two.column("_k").take(pa.array(y)).combine_chunks(), pa.array(sim)], schema=schema)
+
+    both = left.withColumn("_left", F.lit(True)).unionByName(right.withColumn("_left", F.lit(False)))
+    return both.groupBy("_g", "_i", "_j").applyInArrow(run, f"q {kind}, n {kind}, sim double")
+
+
+def sided(df: DataFrame, key: str, vector: str, group: str | None, *more: Column) -> DataFrame:
+    """(_k, _v, _o and more) of rows with a vector (and a group): what `swept` reads, vectors in their own precision."""
+    kind = df.schema[vector].dataType.simpleString()
+    out = df.select(F.col(key).alias("_k"), F.col(vector).cast(kind if kind == "array<float>" else "array<double>").alias("_v"), (F.col(group) if group else F.lit(None).cast("int")).alias("_o"), *more)
+    return out.where("_v is not null and _o is not null" if group else "_v is not null")
+
+
+def blocks(n: Column) -> Column:
+    """Blocks of n rows: of BLOCK at most on average, and four of a small table, for tasks to share."""
+    return F.greatest(F.ceil(n / BLOCK), F.least(F.lit(4), F.ceil(n / TILE))).cast("int")
 
 
 def _products(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int | None, least: float | None, group: str | None = None, same: str | None = None, halves: bool = False) -> DataFrame:
     """(q, n, sim) of different rows, each block of queries times each block of the base, inside a group if `same` is given.
 
     Blocks are of a fixed size, dealt by a hash of the key, so that a task's memory is bounded whatever
-    the sizes of tables and groups; a block is sent once for each block that it meets.
+    the sizes of tables and groups; a row is sent once for each block that it meets, which makes n * n / BLOCK rows.
     """
-    def dealt(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(key).alias(name), F.col(vector).cast("array<double>").alias("_v"), *([F.col(group).alias("_o")] if group else []), (F.col(same) if same else F.lit(0)).alias("_g")).where("_v is not null and _g is not null")
-        sizes = rows.groupBy("_g").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(f"_{name}s"))
-        return rows, sizes
+    def dealt(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        rows = sided(df, key, vector, group, (F.col(same) if same else F.lit(0)).alias("_g"), F.lit(None).cast("binary").alias("_x")).where("_g is not null")
+        return rows, rows.groupBy("_g").agg(blocks(F.count("*")).alias(name))
 
-    (left, lefts), (right, rights) = dealt(queries, "q"), dealt(base, "n")
+    (left, lefts), (right, rights) = dealt(queries, "_is"), dealt(base, "_js")
     sizes = lefts.join(rights, "_g")
-    left = left.join(sizes, "_g").withColumn("_i", F.pmod(F.xxhash64("q"), F.col("_qs")).cast("int"))
-    right = right.join(sizes, "_g").withColumn("_j", F.pmod(F.xxhash64("n"), F.col("_ns")).cast("int"))
-    left = left.withColumn("_j", F.explode(F.sequence(F.col("_i") if halves else F.lit(0), F.col("_ns") - 1)))
-    right = right.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j") if halves else F.col("_qs") - 1)))
-    kind = base.schema[key].dataType
-    schema = pa.schema([("q", _arrow(kind.simpleString())), ("n", _arrow(kind.simpleString())), ("sim", pa.float64())])
-    at = ["_g", "_i", "_j"]
-    return left.drop("_qs", "_ns").groupBy(*at).cogroup(right.drop("_qs", "_ns").groupBy(*at)).applyInArrow(_product(k, least, group is not None, halves, schema), f"q {kind.simpleString()}, n {kind.simpleString()}, sim double")
+    left = left.join(sizes, "_g").withColumn("_i", F.pmod(F.xxhash64("_k"), F.col("_is")).cast("int"))
+    right = right.join(sizes, "_g").withColumn("_j", F.pmod(F.xxhash64("_k"), F.col("_js")).cast("int"))
+    left = left.withColumn("_j", F.explode(F.sequence(F.col("_i") if halves else F.lit(0), F.col("_js") - 1)))
+    right = right.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j") if halves else F.col("_is") - 1)))
+    return swept(left.drop("_is", "_js"), right.drop("_is", "_js"), k, least, halves)
 
 
 def _arrow(kind: str) -> pa.DataType:

@@ -4,8 +4,9 @@ import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from gristmill.operators import topk
+from gristmill.operators import joins, topk
 
 
 @pytest.mark.parametrize("look, sides", [(2, (9, 25)), (16, (25, 9))])
@@ -24,3 +25,32 @@ def test_degree_cap_of_two_kinds_of_ends(spark, monkeypatch, look, sides):
                 degree.update(r[1:3])
     got = topk.degree_capped(spark.createDataFrame(rows, "g long, src long, dst long, w long"), "g", "src", "dst", "w", 2)
     assert got.columns == ["g", "src", "dst", "w"] and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_a_vector_is_sent_few_times(spark):
+    """600,000 vectors are 19 blocks; a small table is shared by four tasks a side."""
+    n = spark.createDataFrame([(600_000,), (51_282,), (5_000,), (3,)], "n long")
+    assert [r[0] for r in n.select(joins.blocks(F.col("n"))).collect()] == [19, 4, 3, 1]
+
+
+@pytest.mark.parametrize("k, block, tile", [(3, 40, 7), (1, 1000, 16), (50, 33, 5)])
+def test_best_of_tiles(spark, monkeypatch, k, block, tile):
+    """Many ties, null vectors, nulls in vectors, null groups and string keys, over blocks of several tiles."""
+    monkeypatch.setattr(joins, "BLOCK", block)
+    monkeypatch.setattr(joins, "TILE", tile)
+    rng = random.Random(6)
+    rows = [(f"k{i}", [float(rng.choice([-1, 0, 1])) + (0.1 if rng.random() < 0.5 else 0) for _ in range(3)], rng.choice([1, 2, None])) for i in range(120)] + [("n", None, 1), ("h", [1.0, None, 2.0], 1)]
+    df = spark.createDataFrame(rows, "id string, v array<double>, g int")
+    norm = {i: sum(x * x for x in v) ** 0.5 for i, v, _ in rows[:120]}
+    cos = lambda x, y: round(sum(p * q for p, q in zip(x[1], y[1])) / max(norm[x[0]], 1e-12) / max(norm[y[0]], 1e-12), 5)
+    for group in (None, "g"):
+        want = collections.defaultdict(list)
+        for x in rows[:120]:
+            sims = sorted((cos(x, y) for y in rows[:120] if x[0] != y[0] and (group is None or None not in (x[2], y[2]) and x[2] != y[2])), reverse=True)
+            want[x[0]] = sims[:k]
+        got = collections.defaultdict(list)
+        for r in joins.knn(df, df, "id", "v", k, group).orderBy("q", "rank").collect():
+            got[r.q].append(round(r.sim, 5))
+        assert {q: pytest.approx(s, abs=2e-5) for q, s in want.items() if s} == got
+        order = [(r.q, -r.sim, r.n) for r in joins.knn(df, df, "id", "v", k, group).orderBy("q", "rank").collect()]
+        assert order == sorted(order)
