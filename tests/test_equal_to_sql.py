@@ -75,3 +75,9 @@ def test_interval_relations_of_a_large_brand(spark, tmp_path):
     n = 100_000
     spark.range(n).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "cast(id % 50 as int) as p_size").write.parquet(f"{tmp_path}/part.parquet")
     assert sum(r.n for r in QUERIES["j29_interval_relation"](spark, str(tmp_path)).collect()) == n * (n - 1) // 2
+
+
+def test_neighbours_of_other_groups(same):
+    """A vector without a group is in no other group than any."""
+    rows = [(i, [float(i % 5), 1.0 + i % 3], None if i % 4 == 0 else i % 2) for i in range(20)]
+    assert {r.q for r in same("j13_knn_cross_group", embeddings=("vec_id long, embedding array<float>, label int", rows))} == {i for i in range(20) if i % 4}
