@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.operators import joins, topk
+from gristmill.operators import ivf, joins, topk
 
 
 @pytest.mark.parametrize("look, sides", [(2, (9, 25)), (16, (25, 9))])
@@ -54,3 +54,24 @@ def test_best_of_tiles(spark, monkeypatch, k, block, tile):
         assert {q: pytest.approx(s, abs=2e-5) for q, s in want.items() if s} == got
         order = [(r.q, -r.sim, r.n) for r in joins.knn(df, df, "id", "v", k, group).orderBy("q", "rank").collect()]
         assert order == sorted(order)
+
+
+def _shelved(spark, monkeypatch):
+    """300 vectors of which half are in one list, on shelves of 40 rows."""
+    monkeypatch.setattr(joins, "BLOCK", 40)
+    monkeypatch.setattr(joins, "TILE", 16)
+    monkeypatch.setattr(ivf, "LIST_ROWS", 30)
+    rng = random.Random(7)
+    rows = [(i, [5 + rng.gauss(0, 0.01), 1.0, rng.gauss(0, 0.01)] if i % 2 else [rng.gauss(0, 1) for _ in range(3)], i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, g int")
+    lists = ivf.build(df, "id", "v", "g")
+    assert max(lists.parts) > 1 and len(lists.held) > 3
+    return df, lists
+
+
+def test_an_asked_vector_is_sent_once_a_shelf(spark, monkeypatch):
+    df, lists = _shelved(spark, monkeypatch)
+    every = len(lists.centroids)
+    assert ivf._asked(df, lists, every, None).count() == 300 * len(lists.held)
+    assert ivf._asked(df, lists, 1, None).groupBy("_k").count().where(F.col("count") > max(lists.parts)).isEmpty()
+    assert {tuple(r) for r in ivf.knn(lists, df, 4, every).collect()} == {tuple(r) for r in joins.knn(df, df, "id", "v", 4).collect()}
