@@ -75,3 +75,11 @@ def test_an_asked_vector_is_sent_once_a_shelf(spark, monkeypatch):
     assert ivf._asked(df, lists, every, None).count() == 300 * len(lists.held)
     assert ivf._asked(df, lists, 1, None).groupBy("_k").count().where(F.col("count") > max(lists.parts)).isEmpty()
     assert {tuple(r) for r in ivf.knn(lists, df, 4, every).collect()} == {tuple(r) for r in joins.knn(df, df, "id", "v", 4).collect()}
+
+
+def test_indexed_pairs_over_shelves(spark, monkeypatch):
+    """Every pair of the dense list, whose rows lie on several shelves; no list's rows are sent with each query."""
+    df, lists = _shelved(spark, monkeypatch)
+    pairs = ivf.similar_pairs(lists, 0.9, len(lists.centroids))
+    assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in joins.similar_pairs(df, "id", "v", 0.9).collect()}
+    assert "_list" not in pairs._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[1].split("\n")[0]
