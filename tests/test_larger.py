@@ -83,3 +83,12 @@ def test_indexed_pairs_over_shelves(spark, monkeypatch):
     pairs = ivf.similar_pairs(lists, 0.9, len(lists.centroids))
     assert {tuple(r) for r in pairs.collect()} == {tuple(r) for r in joins.similar_pairs(df, "id", "v", 0.9).collect()}
     assert "_list" not in pairs._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[1].split("\n")[0]
+
+
+def test_indexed_neighbours_of_other_groups_over_shelves(spark, monkeypatch):
+    """Of other groups only, and none for rows without a group."""
+    df, lists = _shelved(spark, monkeypatch)
+    df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    lists.rows = lists.rows.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    got = {tuple(r) for r in ivf.knn(lists, df, 3, len(lists.centroids), "g").collect()}
+    assert got == {tuple(r) for r in joins.knn(df, df, "id", "v", 3, "g").collect()} and {r[0] % 3 for r in got} == {1, 2}
