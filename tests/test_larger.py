@@ -92,3 +92,16 @@ def test_indexed_neighbours_of_other_groups_over_shelves(spark, monkeypatch):
     lists.rows = lists.rows.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
     got = {tuple(r) for r in ivf.knn(lists, df, 3, len(lists.centroids), "g").collect()}
     assert got == {tuple(r) for r in joins.knn(df, df, "id", "v", 3, "g").collect()} and {r[0] % 3 for r in got} == {1, 2}
+
+
+def test_band_pairs_look_at_a_pair_once(spark, monkeypatch):
+    """Gaps of exactly the tolerance, long and empty intervals, nulls, equal keys; blocks of a cell meet once, in order."""
+    monkeypatch.setattr(joins, "PAIR_ROWS", 5)
+    rng = random.Random(5)
+    rows = [(i % 280, a := round(rng.uniform(-20, 20), 1), None if i % 11 == 0 else a + rng.choice([0.0, 0.1, 3.0, 40.0, -1.0])) for i in range(300)] + [(None, 0.0, 1.0), (301, 1e6, 1e6), (302, 1e6 + 2, 1e6 + 3), (303, None, 2.0)]
+    near = joins.band_pairs(spark.createDataFrame(rows, "id int, start double, end double"), "id", 2.0, 1.5)
+    got = collections.Counter(tuple(r) for r in near.selectExpr("x.id", "x.start", "y.id", "y.start").collect())
+    good = [r for r in rows if None not in r and r[1] <= r[2]]
+    assert got == collections.Counter((x[0], x[1], y[0], y[1]) for x in good for y in good if x[0] < y[0] and max(x[1], y[1]) - min(x[2], y[2]) <= 2.0)
+    ordered = joins.pairs_in_order(spark.range(100).selectExpr("id % 1 as g", "id"), ["g"], "id")
+    assert ordered.count() == 4950 and ordered.groupBy("x._i", "x._j").count().count() == 20 * 21 // 2
