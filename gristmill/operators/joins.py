@@ -43,17 +43,22 @@ VALUE_ROWS = 1_000
 def shared_attribute_pairs(bridge: DataFrame, item: str, attribute: str, salt: int = 1) -> DataFrame:
     """(a, b, shared) of items a < b with a common attribute value and the number of common values.
 
-    A value with more than VALUE_ROWS items is cut into blocks of about that many by a hash of the item,
-    and each block meets itself and the later ones, so that no task pairs more than two blocks. With salt > 1
+    An item is sent, for each of its values, with the list of the value's later items, so that what is shuffled is a number a
+    pair; pairs are made and counted where their first item is. A value with more than VALUE_ROWS items is cut along the items
+    into blocks of about that many, and lists are of one block, so that no list is long. With salt > 1
     every value has at least so many blocks.
     """
     rows = bridge.select(F.col(item).alias("_i"), F.col(attribute).alias("_v")).where("_i is not null and _v is not null").distinct()
-    full = rows.groupBy("_v").agg(F.ceil(F.count("*") / VALUE_ROWS).cast("int").alias("_blocks")).where("_blocks > 1")
-    own = rows.join(full, "_v", "left").withColumn("_blocks", F.greatest(F.coalesce("_blocks", F.lit(1)), F.lit(salt))).withColumn("_at", F.pmod(F.xxhash64("_i"), F.col("_blocks")).cast("int"))
-    left = own.select(F.col("_i").alias("_x"), "_v", F.col("_at").alias("_p"), F.explode(F.sequence(F.col("_at"), F.col("_blocks") - 1)).alias("_q"))
-    right = own.select(F.col("_i").alias("_y"), "_v", F.col("_at").alias("_q"), F.explode(F.sequence(F.lit(0), F.col("_at"))).alias("_p"))
-    met = left.join(right, ["_v", "_p", "_q"]).where("_p < _q or _x < _y")
-    return met.groupBy(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")).agg(F.count("*").alias("shared"))
+    value = Window.partitionBy("_v")
+    rows = rows.withColumn("_r", F.row_number().over(value.orderBy("_i")) - 1).withColumn("_n", F.count("*").over(value))
+    at = F.floor(F.col("_r") * F.greatest(F.ceil(F.col("_n") / VALUE_ROWS), F.lit(salt)) / F.col("_n")).cast("int")
+    lists = rows.groupBy("_v", at.alias("_at")).agg(F.sort_array(F.collect_list("_i")).alias("_l"), F.first("_n").alias("_n"))
+    own = lists.where(F.size("_l") > 1).select("_l", F.posexplode("_l").alias("_k", "a")).where(F.col("_k") + 1 < F.size("_l"))
+    own = own.select("a", F.slice("_l", F.col("_k") + 2, F.size("_l") - F.col("_k") - 1).alias("_later"))
+    many = lists.where((F.col("_n") > VALUE_ROWS) | F.lit(salt > 1)).drop("_n")
+    later = many.alias("x").join(many.alias("y"), F.expr("x._v = y._v and x._at < y._at")).select(F.explode("x._l").alias("a"), F.col("y._l").alias("_later"))
+    sent = own.unionByName(later).repartition("a")
+    return sent.select("a", F.explode("_later").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def band_join(left: DataFrame, right: DataFrame, tolerance: float, width: float) -> DataFrame:

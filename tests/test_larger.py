@@ -105,3 +105,14 @@ def test_band_pairs_look_at_a_pair_once(spark, monkeypatch):
     assert got == collections.Counter((x[0], x[1], y[0], y[1]) for x in good for y in good if x[0] < y[0] and max(x[1], y[1]) - min(x[2], y[2]) <= 2.0)
     ordered = joins.pairs_in_order(spark.range(100).selectExpr("id % 1 as g", "id"), ["g"], "id")
     assert ordered.count() == 4950 and ordered.groupBy("x._i", "x._j").count().count() == 20 * 21 // 2
+
+
+def test_shared_pairs_are_sent_as_lists(spark, monkeypatch):
+    """A value of 40 items is 780 pairs; what is shuffled by item are lists, of a block's length at most."""
+    monkeypatch.setattr(joins, "VALUE_ROWS", 6)
+    rows = spark.range(40).selectExpr("id as k", "'all' as v").union(spark.range(0, 40, 3).selectExpr("id", "'third'"))
+    pairs = joins.shared_attribute_pairs(rows, "k", "v")
+    got = {(r.a, r.b): r.shared for r in pairs.collect()}
+    assert got == {(a, b): 2 if a % 3 == b % 3 == 0 else 1 for a in range(40) for b in range(a + 1, 40)}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(_later") < plan.index("hashpartitioning(a#") and "hashpartitioning(a#" not in plan[: plan.index("explode(_later")]
